@@ -178,7 +178,7 @@ def latest_momentum(bars: DataFrame, benchmark: DataFrame, min_history: int = MI
     w = bar_window()
     b = bar_window()
     bench = (benchmark.withColumn("_b63", pct_change(F.col("close"), 63, b))
-             .agg(F.max_by("_b63", "date").alias("_b63")))
+             .agg(F.max_by("_b63", "date").alias("_b63")))   # one row
     close = F.col("close")
     staged = bars.withColumn("_r", pct_change(close, 1, w)).withColumns({
         "_rn": F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date"))),
@@ -189,8 +189,7 @@ def latest_momentum(bars: DataFrame, benchmark: DataFrame, min_history: int = MI
         "liquidity": F.avg(close * F.col("volume")).over(trailing(w, 20)),
     })
     last = staged.where((F.col("_rn") == 1) & (F.col("_bars") >= min_history))
-    return (last.join(F.broadcast(bench))   # one row
-            .withColumn("relative_63", F.col("return_63") - F.coalesce("_b63", F.lit(0.0)))
+    return (last.withColumn("relative_63", F.col("return_63") - F.coalesce(bench.scalar(), F.lit(0.0)))
             .select("code", "date", "close", "return_63", "return_126", "relative_63",
                     "volatility_60", "drawdown_126", "liquidity"))
 

@@ -6,7 +6,7 @@ import importlib
 
 from asofia.plans.registry import QUERIES, Query
 
-MODULES = ("market",)
+MODULES = ("market", "research")
 
 
 def catalog() -> dict[str, Query]:

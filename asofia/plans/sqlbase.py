@@ -132,3 +132,7 @@ cte("features", """SELECT t.code, t.date AS feature_date, open, high, low, close
  return_20-benchmark_return_20 AS relative_20, return_60-benchmark_return_60 AS relative_60
  FROM tech t LEFT JOIN market m ON t.date=m.date
  WHERE nbars>=127 AND return_126 IS NOT NULL AND benchmark_ma_120_gap IS NOT NULL""", "tech", "market")
+
+cte("queue", f"""SELECT CAST(o_orderkey AS VARCHAR) AS queue_event_id, {code('(o_custkey%(SELECT count(*) FROM supplier))')} AS code,
+ CASE o_orderstatus WHEN 'F' THEN 'CASH_DIVIDEND' WHEN 'O' THEN 'CORPORATE_ACTION' WHEN 'P' THEN 'RIGHTS' END AS event_family,
+ strftime(CAST(o_orderdate AS DATE),'%Y%m%d') AS source_reference_date, o_orderpriority AS source_description FROM orders""")

@@ -150,3 +150,20 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("action_type") == "SPLIT", 2.0).otherwise(1.0).alias("adjustment_factor"),
         F.when(F.col("action_type") == "SPLIT", 0.0).otherwise(snap(F.col("close") * 0.01, 4)).alias("cash_amount"),
         F.col("date").alias("known_at"), F.lit("FILING").alias("source"))
+
+
+# order status to event family
+FAMILIES = (("F", "CASH_DIVIDEND"), ("O", "CORPORATE_ACTION"), ("P", "RIGHTS"))
+
+
+def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event queue: one event per order, assigned to a security by customer key."""
+    n = row_bound(spark, f"{sf_dir}/supplier.parquet")
+    family = None
+    for status, name in FAMILIES:
+        test = F.col("o_orderstatus") == status
+        family = F.when(test, name) if family is None else family.when(test, name)
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("queue_event_id"),
+        norm_code((F.col("o_custkey") % n).cast("string")).alias("code"), family.alias("event_family"),
+        _key("o_orderdate").alias("source_reference_date"), F.col("o_orderpriority").alias("source_description"))

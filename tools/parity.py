@@ -48,6 +48,7 @@ def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
     ap.add_argument("--match", default="")
+    ap.add_argument("--module", default="")
     args = ap.parse_args()
     from asofia.plans import catalog
     sf_dir = f"/root/testdata/sf{args.sf}"
@@ -57,6 +58,8 @@ def main() -> int:
     spark = local_session()
     bad = 0
     for name, q in catalog().items():
+        if args.module and q.build.__module__.split(".")[-1] not in args.module.split(","):
+            continue
         if args.match and not re.search(args.match, name):
             continue
         try:
