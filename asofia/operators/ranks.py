@@ -134,16 +134,22 @@ def rank_many(df: DataFrame, specs: dict[str, tuple[Column, Column | None]], key
     the unique row ``key``. Nulls stay null.
     """
     whole = F.lit("")
-    pairs = F.array(*[F.struct(
+    rest = [c for c in df.columns if c not in key]
+    cells = [F.struct(
         F.lit(i).alias("i"), (whole if group is None else F.coalesce(group.cast("string"), whole)).alias("g"),
-        finite(value.cast("double")).alias("v")) for i, (value, group) in enumerate(specs.values())])
-    long = (df.select(*key, F.explode(F.filter(pairs, lambda x: x.v.isNotNull())).alias("p"))
-            .select(*key, "p.i", "p.g", "p.v"))
+        finite(value.cast("double")).alias("v")) for i, (value, group) in enumerate(specs.values())]
+    # the row itself travels with one cell of its own, so the input is computed once
+    own = F.struct(F.lit(-1).alias("i"), F.concat_ws("\u0001", *key).alias("g"),
+                   F.lit(None).cast("double").alias("v"))
+    long = df.select(*key, *rest, F.explode(F.array(own, *cells)).alias("p")).where(
+        F.col("p.v").isNotNull() | (F.col("p.i") < 0)).select(
+        *key, "p.i", "p.g", "p.v", F.when(F.col("p.i") < 0, F.struct(*rest)).alias("row"))
     ranked = rank_columns(long, "v", ["i", "g"], bound=bound)
     place = (F.col("_first") + (F.col("_ties") - 1) / 2) / F.col("_total")
     wide = ranked.withColumn("_p", place).groupBy(*key).agg(
+        F.first("row", ignorenulls=True).alias("row"),
         *[F.max(F.when(F.col("i") == i, F.col("_p"))).alias(out) for i, out in enumerate(specs)])
-    return df.join(wide, list(key), "left")
+    return wide.select(*key, "row.*", *specs)
 
 
 def rank_features(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("feature_date",),
@@ -323,10 +329,10 @@ def strategy_scores(df: DataFrame, raw_financial: str, financial_only: bool = Fa
     df = df.withColumns({
         "_mom": skip_mean([F.col(c) for c in ("relative_20", "relative_60", "ma_60_gap")]),
         "_risk": 1 - skip_mean([F.col(c) for c in ("volatility_20", "volatility_60", "atr_14_pct")])})
-    names = {"financial_score": raw_financial, "momentum_score": "_mom", "risk_score": "_risk"}
-    df = rank_many(df, {out: (F.col(c), F.col("feature_date")) for out, c in names.items()},
-                   ("code", "feature_date"), bound)
-    df = df.withColumns({out: F.coalesce(out, F.lit(.5)) for out in names}).drop("_mom", "_risk")
+    # same grouping for all three: one exchange, three sorts
+    df = xs_percentile(df, raw_financial, "financial_score", bound=bound)
+    df = xs_percentile(df, "_mom", "momentum_score", bound=bound)
+    df = xs_percentile(df, "_risk", "risk_score", bound=bound).drop("_mom", "_risk")
     weighted = (F.col("financial_score") * (1 - momentum_weight - risk_weight)
                 + F.col("momentum_score") * momentum_weight + F.col("risk_score") * risk_weight)
     return df.withColumns({
@@ -358,3 +364,27 @@ def select_best(metrics: DataFrame, weights: dict[str, float], ties: Sequence[Co
     best = Window.partitionBy(F.lit(0)).orderBy(F.desc("selection_score"), *ties)
     return (df.withColumn("selected", F.row_number().over(best) == 1)
             .drop(*[f"_{p}_{m}" for p in "mp" for m in weights]))
+
+
+def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: dict[str, float],
+                    bound: int | None = None) -> DataFrame:
+    """Linear-interpolated quantiles per group from order statistics.
+
+    The k-th smallest value is the greatest one whose competition rank is at
+    most k, so after ranking a combinable aggregate is enough.
+    """
+    by = list(by)
+    whole = not by
+    if whole:
+        df, by = df.withColumn("_whole", F.lit(0)), ["_whole"]
+    ranked = rank_columns(df.where(F.col(value).isNotNull()), value, by, bound=bound)
+    cols = {}
+    for name, q in quantiles.items():
+        pos = (F.col("_total") - 1) * q + 1
+        cols |= {f"_lo_{name}": F.max(F.when(F.col("_first") <= F.floor(pos), F.col(value))),
+                 f"_hi_{name}": F.max(F.when(F.col("_first") <= F.ceil(pos), F.col(value))),
+                 f"_f_{name}": F.max(pos - F.floor(pos))}
+    out = ranked.groupBy(*by).agg(*[c.alias(n) for n, c in cols.items()])
+    out = out.select(*by, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
+                            for n in quantiles])
+    return out.drop("_whole") if whole else out

@@ -6,7 +6,7 @@ import importlib
 
 from asofia.plans.registry import QUERIES, Query
 
-MODULES = ("market", "research")
+MODULES = ("market", "research", "evaluation")
 
 
 def catalog() -> dict[str, Query]:

@@ -548,7 +548,9 @@ def weighted_selection(spark, sf):
         "industry", snap("selection_score", 6).alias("selection_score"), "selected")
 
 
-cte("preds", f"""SELECT *, {r(pct_rank('relative_20', 'feature_date'), 6)} AS score FROM dataset""", "dataset")
+# the derived prices jump far more than real ones; book returns are scaled down to stay finite
+cte("preds", f"""SELECT * REPLACE (forward_return*0.02::DOUBLE AS forward_return,
+ benchmark_forward_return*0.02::DOUBLE AS benchmark_forward_return), {r(pct_rank('relative_20', 'feature_date'), 6)} AS score FROM dataset""", "dataset")
 cte("top_rows", """SELECT * FROM (SELECT p.*, f.top_fraction, row_number() OVER (PARTITION BY feature_date, f.top_fraction
  ORDER BY score DESC, code) AS score_rank, greatest(1, ceil(count(*) OVER (PARTITION BY feature_date, f.top_fraction)*f.top_fraction)) AS want
  FROM preds p CROSS JOIN (VALUES (0.1::DOUBLE),(0.2::DOUBLE),(0.3::DOUBLE)) f(top_fraction)) WHERE score_rank<=want""", "preds")
@@ -556,7 +558,8 @@ cte("top_rows", """SELECT * FROM (SELECT p.*, f.top_fraction, row_number() OVER
 
 def predictions(spark, sf):
     df = rk.average_rank(dataset(spark, sf), "relative_20", ["feature_date"], "score", bound=d.bar_bound(spark, sf))
-    return df.withColumn("score", snap("score", 6))
+    return df.withColumns({"score": snap("score", 6), "forward_return": F.col("forward_return") * .02,
+                           "benchmark_forward_return": F.col("benchmark_forward_return") * .02})
 
 
 @query("top_fraction_selection", "RK15", sql(

@@ -25,7 +25,7 @@ def sql(body: str, *names: str) -> str:
     for name in names:
         visit(name)
     parts = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
-    return f"WITH {parts}\n{body}" if parts else body
+    return f"WITH RECURSIVE {parts}\n{body}" if parts else body
 
 
 def code(expr: str) -> str:
