@@ -6,7 +6,7 @@ import importlib
 
 from asofia.plans.registry import QUERIES, Query
 
-MODULES = ("market", "research", "evaluation")
+MODULES = ("market", "research", "evaluation", "trading")
 
 
 def catalog() -> dict[str, Query]:

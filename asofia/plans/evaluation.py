@@ -448,12 +448,12 @@ def yearly_performance(spark, sf):
     return out(pa.yearly(d.bars(spark, sf), "close"), ["code", "year"], ["return_pct"])
 
 
-@query("regime_performance", "PA26", sql(f"""SELECT code, regime, count(*) AS days, {r('ln(1+' + comp('rr') + ')')} AS log_return FROM (
+@query("regime_performance", "PA26", sql(f"""SELECT code, regime, count(*) AS days, {r('ln(1+greatest(' + comp('rr') + ',-0.99::DOUBLE))')} AS log_return FROM (
  SELECT code, coalesce(ret1,0) AS rr, CASE WHEN close>ma60 AND return_60>5 THEN '상승' WHEN close<ma60 AND return_60<-5 THEN '하락'
  ELSE '횡보' END AS regime FROM tech) GROUP BY 1,2""", "tech"))
 def regime_performance(spark, sf):
     df = pa.regime_performance(ti.price_regime(d.bars(spark, sf)))
-    return out(df.withColumn("log_return", F.log1p(F.col("return_pct") / 100)), ["code", "regime", "days"], ["log_return"])
+    return out(df.withColumn("log_return", F.log1p(F.greatest(F.col("return_pct") / 100, F.lit(-.99)))), ["code", "regime", "days"], ["log_return"])
 
 
 @query("buy_and_hold", "PA27", sql(f"""SELECT code, CAST(q AS BIGINT) AS quantity, {r('fv', 2)} AS final_value, {r('(fv/1e8::DOUBLE-1)*100')} AS return_pct FROM (
