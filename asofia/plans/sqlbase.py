@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from asofia.functions.rounding import snap_sql as r
-from asofia.sources.derived import ACCOUNTS
+from asofia.sources.derived import ACCOUNTS, TITLES
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -136,3 +136,17 @@ cte("features", """SELECT t.code, t.date AS feature_date, open, high, low, close
 cte("queue", f"""SELECT CAST(o_orderkey AS VARCHAR) AS queue_event_id, {code('(o_custkey%(SELECT count(*) FROM supplier))')} AS code,
  CASE o_orderstatus WHEN 'F' THEN 'CASH_DIVIDEND' WHEN 'O' THEN 'CORPORATE_ACTION' WHEN 'P' THEN 'RIGHTS' END AS event_family,
  strftime(CAST(o_orderdate AS DATE),'%Y%m%d') AS source_reference_date, o_orderpriority AS source_description FROM orders""")
+
+_titles = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TITLES))
+cte("disc", f"""SELECT {code('(o_custkey%(SELECT count(*) FROM supplier))')} AS code,
+ strftime(CAST(o_orderdate AS DATE),'%Y%m%d')||substr(CAST(1000000+o_orderkey%1000000 AS VARCHAR),2) AS rcept_no,
+ strftime(CAST(o_orderdate AS DATE),'%Y%m%d') AS rcept_dt, CASE o_orderkey%6 {_titles} END AS report_nm,
+ CAST(year(o_orderdate) AS INTEGER) AS fiscal_year, o_orderkey AS order_key, o_totalprice AS amount FROM orders""")
+cte("evidence", f"""SELECT CAST(o_orderkey AS VARCHAR)||'-'||CAST(copy AS VARCHAR) AS evidence_id,
+ CASE WHEN o_orderkey%7=0 THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS queue_event_id,
+ {code('(o_custkey%(SELECT count(*) FROM supplier))')} AS code,
+ CASE o_orderstatus WHEN 'F' THEN 'CASH_DIVIDEND' WHEN 'O' THEN 'CORPORATE_ACTION' ELSE 'RIGHTS' END AS event_family,
+ CASE WHEN o_orderkey%2=0 THEN strftime(CAST(o_orderdate AS DATE),'%Y%m%d') ELSE '' END AS source_reference_date,
+ strftime(CAST(o_orderdate AS DATE)+to_days(CAST(copy*60 AS INTEGER)),'%Y%m%d') AS effective_date,
+ strftime(CAST(o_orderdate AS DATE),'%Y%m%d') AS known_at, 'CASH_DIVIDEND' AS action_type, o_totalprice AS cash_amount
+ FROM orders JOIN (VALUES (1),(2)) c(copy) ON copy<=o_orderkey%3""")

@@ -167,3 +167,41 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("queue_event_id"),
         norm_code((F.col("o_custkey") % n).cast("string")).alias("code"), family.alias("event_family"),
         _key("o_orderdate").alias("source_reference_date"), F.col("o_orderpriority").alias("source_description"))
+
+
+# disclosure titles by order key
+TITLES = ("현금ㆍ현물배당결정", "[기재정정]현금ㆍ현물배당결정", "주요사항보고서(유상증자결정)", "주식분할결정",
+          "회사합병결정", "[첨부추가]회사합병결정")
+
+
+def disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One disclosure per order: code, receipt number and date, title, issuer JSON."""
+    n = row_bound(spark, f"{sf_dir}/supplier.parquet")
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        norm_code((F.col("o_custkey") % n).cast("string")).alias("code"),
+        F.concat(_key("o_orderdate"), F.lpad((k % 1_000_000).cast("string"), 6, "0")).alias("rcept_no"),
+        _key("o_orderdate").alias("rcept_dt"),
+        F.element_at(F.array(*[F.lit(t) for t in TITLES]), (k % len(TITLES) + 1).cast("int")).alias("report_nm"),
+        F.year("o_orderdate").alias("fiscal_year"), k.alias("order_key"),
+        F.col("o_totalprice").alias("amount"))
+
+
+EVIDENCE_SHIFT = 60
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0, 1 or 2 shifted copies of each queue event (order key modulo 3)."""
+    n = row_bound(spark, f"{sf_dir}/supplier.parquet")
+    k = F.col("o_orderkey")
+    copies = F.explode(F.sequence(F.lit(1), (k % 3).cast("int"))).alias("copy")
+    status = F.element_at(F.array(*[F.lit(f) for _, f in FAMILIES]), F.when(F.col("o_orderstatus") == "F", 1)
+                          .when(F.col("o_orderstatus") == "O", 2).otherwise(3))
+    return table(spark, sf_dir, "orders").where(k % 3 > 0).select("*", copies).select(
+        F.concat(k.cast("string"), F.lit("-"), F.col("copy").cast("string")).alias("evidence_id"),
+        F.when(k % 7 == 0, k.cast("string")).otherwise("").alias("queue_event_id"),
+        norm_code((F.col("o_custkey") % n).cast("string")).alias("code"), status.alias("event_family"),
+        F.when(k % 2 == 0, _key("o_orderdate")).otherwise("").alias("source_reference_date"),
+        F.date_format(F.date_add(F.to_date("o_orderdate"), F.col("copy") * EVIDENCE_SHIFT), "yyyyMMdd").alias("effective_date"),
+        _key("o_orderdate").alias("known_at"), F.lit("CASH_DIVIDEND").alias("action_type"),
+        F.col("o_totalprice").alias("cash_amount"))
