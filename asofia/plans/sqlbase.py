@@ -134,7 +134,7 @@ cte("features", """SELECT t.code, t.date AS feature_date, open, high, low, close
  WHERE nbars>=127 AND return_126 IS NOT NULL AND benchmark_ma_120_gap IS NOT NULL""", "tech", "market")
 
 cte("queue", f"""SELECT CAST(o_orderkey AS VARCHAR) AS queue_event_id, {code('(o_custkey%(SELECT count(*) FROM supplier))')} AS code,
- CASE o_orderstatus WHEN 'F' THEN 'CASH_DIVIDEND' WHEN 'O' THEN 'CORPORATE_ACTION' WHEN 'P' THEN 'RIGHTS' END AS event_family,
+ CASE o_orderstatus WHEN 'F' THEN 'DIVIDEND_OR_DISTRIBUTION' ELSE 'CORPORATE_ACTION' END AS event_family,
  strftime(CAST(o_orderdate AS DATE),'%Y%m%d') AS source_reference_date, o_orderpriority AS source_description FROM orders""")
 
 _titles = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TITLES))
@@ -145,7 +145,7 @@ cte("disc", f"""SELECT {code('(o_custkey%(SELECT count(*) FROM supplier))')} AS
 cte("evidence", f"""SELECT CAST(o_orderkey AS VARCHAR)||'-'||CAST(copy AS VARCHAR) AS evidence_id,
  CASE WHEN o_orderkey%7=0 THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS queue_event_id,
  {code('(o_custkey%(SELECT count(*) FROM supplier))')} AS code,
- CASE o_orderstatus WHEN 'F' THEN 'CASH_DIVIDEND' WHEN 'O' THEN 'CORPORATE_ACTION' ELSE 'RIGHTS' END AS event_family,
+ CASE o_orderstatus WHEN 'F' THEN 'DIVIDEND_OR_DISTRIBUTION' ELSE 'CORPORATE_ACTION' END AS event_family,
  CASE WHEN o_orderkey%2=0 THEN strftime(CAST(o_orderdate AS DATE),'%Y%m%d') ELSE '' END AS source_reference_date,
  strftime(CAST(o_orderdate AS DATE)+to_days(CAST(copy*60 AS INTEGER)),'%Y%m%d') AS effective_date,
  strftime(CAST(o_orderdate AS DATE),'%Y%m%d') AS known_at, 'CASH_DIVIDEND' AS action_type, o_totalprice AS cash_amount

@@ -153,7 +153,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # order status to event family
-FAMILIES = (("F", "CASH_DIVIDEND"), ("O", "CORPORATE_ACTION"), ("P", "RIGHTS"))
+FAMILIES = (("F", "DIVIDEND_OR_DISTRIBUTION"), ("O", "CORPORATE_ACTION"), ("P", "CORPORATE_ACTION"))
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
