@@ -35,7 +35,8 @@ def _c(c: Column | str) -> Column:
 
 def strip_markup(c: Column | str) -> Column:
     """Text of a page: no scripts, styles or tags, entities decoded, blanks collapsed."""
-    t = F.regexp_replace(_c(c), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    t = F.regexp_replace(_c(c), r"(?is)<script\b.*?</script\s*>", " ")
+    t = F.regexp_replace(t, r"(?is)<style\b.*?</style\s*>", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
     for entity, char in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(char))
@@ -198,7 +199,7 @@ def rank_endpoints(found: DataFrame, n: int) -> DataFrame:
         F.desc("rank_score"), "link").limit(n)
 
 
-def membership_rank(df: DataFrame, field: str, text: str, name: str) -> Column:
+def membership_rank(field: str, text: str, name: str) -> Column:
     """1 when the company field equals the name, 2 when the text holds it."""
     return F.when(F.trim(_c(field)) == F.col(name), 1).when(F.contains(_c(text), F.col(name)), 2)
 
@@ -247,10 +248,11 @@ def names_in_text(names: DataFrame, docs: DataFrame, name: str, key: str, text:
     wanted = names.select(F.col(name).alias("_name")).where(F.length("_name") > 0).distinct()
     keyed = wanted.withColumn("_g", F.substring("_name", 1, gram))
     lengths = [r[0] for r in keyed.select(F.length("_g")).distinct().collect()]     # at most ``gram`` values
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col(text), i, F.lit(n)))
-        for n in lengths])))
-    # only grams that start some name travel with their document
-    cut = docs.select(key, text, F.explode(grams).alias("_g"))
-    hit = cut.join(keyed, "_g").where(F.contains(F.col(text), F.col("_name")))
+
+    # all overlapping grams in one pass over the text (a zero-width match at every position)
+    every = F.array_distinct(F.flatten(F.array(*[
+        F.regexp_extract_all(_c(text), F.lit(rf"(?s)(?=(.{{{n}}}))"), 1) for n in lengths])))
+    # the texts stay behind: only (document, gram) travels, and the few candidates fetch their text
+    candidates = docs.select(key, F.explode(every).alias("_g")).join(keyed, "_g").select(key, "_name").distinct()
+    hit = docs.select(key, text).join(candidates, key).where(F.contains(F.col(text), F.col("_name")))
     return hit.select(key, F.col("_name").alias(name)).distinct()
