@@ -6,7 +6,7 @@ import importlib
 
 from asofia.plans.registry import QUERIES, Query
 
-MODULES = ("market", "research", "evaluation", "trading", "intake", "events", "filings")
+MODULES = ("market", "research", "evaluation", "trading", "intake", "events", "filings", "learning")
 
 
 def catalog() -> dict[str, Query]:
