@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from asofia.functions.norm import OPEN_END, day_number
+from asofia.functions.norm import OPEN_END, day_number, to_day
 
 
 def _stack(left: DataFrame, right: DataFrame, by: Sequence[str], forward: bool) -> DataFrame:
@@ -137,7 +137,7 @@ def calendar_context(events: DataFrame, calendar: DataFrame, day: str) -> DataFr
     days = calendar.select(F.col("date")).distinct()
     whole = Window.partitionBy(F.lit(0))
     lagged = days.withColumns({"_p1": F.lag("date", 1).over(whole.orderBy("date")), "_k": F.lit(0)})
-    asked = events.where(F.col(day).isNotNull()).select(F.col(day)).distinct().withColumn("_k", F.lit(0))
+    asked = events.where(to_day(day).isNotNull()).select(F.col(day)).distinct().withColumn("_k", F.lit(0))
     before = asked.withColumn("_eve", F.date_format(F.date_sub(F.to_date(day, "yyyyMMdd"), 1), "yyyyMMdd"))
     back = asof_join(before, lagged.select("_k", F.col("date").alias("prior_1"), F.col("_p1").alias("prior_2")),
                      ["_k"], "_eve", "prior_1", ["prior_1", "prior_2"], left_unique=True, right_unique=True)

@@ -385,9 +385,9 @@ def market_factor_evidence(spark, sf):
 
 
 @query("ex_rights_check", "CA6", sql(f"""SELECT c.code, c.date AS cum_date, (SELECT min(date) FROM bars x WHERE x.code=c.code AND x.date>c.date) AS ex_date,
- {r('(c.raw+0.25::DOUBLE*c.raw*0.1::DOUBLE)/(1+0.25::DOUBLE)')} AS theoretical, abs(c.adj/((c.raw+0.25::DOUBLE*2000)/(1+0.25::DOUBLE))-1)<=0.01 AS verified FROM (
+ {r('(c.raw+0.25::DOUBLE*2000)/(1+0.25::DOUBLE)')} AS theoretical, abs(c.adj/((c.raw+0.25::DOUBLE*2000)/(1+0.25::DOUBLE))-1)<=0.01 AS verified FROM (
  SELECT a.code, a.date, a.close AS adj, b.close AS raw, row_number() OVER (PARTITION BY a.code ORDER BY a.date DESC) AS k FROM adj a JOIN bars b ON a.code=b.code AND a.date=b.date
- WHERE abs(a.close/b.close-1)>1e-9) c WHERE k=1""".replace("0.25::DOUBLE*c.raw*0.1::DOUBLE", "0.25::DOUBLE*2000"), "adj", "bars"))
+ WHERE abs(a.close/b.close-1)>1e-9) c WHERE k=1""", "adj", "bars"))
 def ex_rights_check(spark, sf):
     terms = d.industries(spark, sf).select("code", F.lit(.25).alias("allotment_ratio"), F.lit(2000.0).alias("issue_price"))
     return ca.terp_check(terms, d.bars(spark, sf), adjusted(spark, sf)).select(

@@ -287,11 +287,8 @@ def membership_filters(spark, sf):
 
 @query("trading_calendar_neighbors", "J9", sql("""SELECT queue_event_id, source_reference_date,
  (SELECT max(date) FROM bench WHERE date<source_reference_date) AS prior_1,
- (SELECT max(date) FROM bench WHERE date<(SELECT max(date) FROM bench WHERE date<source_reference_date)) AS prior_2,
- (SELECT min(date) FROM bench WHERE date>=source_reference_date) AS next_or_same FROM queue""".replace(
-     "(SELECT max(date) FROM bench WHERE date<(SELECT max(date) FROM bench WHERE date<source_reference_date))",
-     "(SELECT max(p1) FROM (SELECT date, lag(date) OVER (ORDER BY date) AS p1 FROM bench) WHERE date<source_reference_date)"),
-    "queue", "bench"))
+ (SELECT max(p1) FROM (SELECT date, lag(date) OVER (ORDER BY date) AS p1 FROM bench) WHERE date<source_reference_date) AS prior_2,
+ (SELECT min(date) FROM bench WHERE date>=source_reference_date) AS next_or_same FROM queue""", "queue", "bench"))
 def trading_calendar_neighbors(spark, sf):
     return jn.calendar_context(d.queue(spark, sf), d.benchmark(spark, sf), "source_reference_date").select(
         "queue_event_id", "source_reference_date", "prior_1", "prior_2", "next_or_same")

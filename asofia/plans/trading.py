@@ -67,10 +67,9 @@ def parameter_neighbourhood(spark, sf):
 
 
 @query("parameter_choice", "SG6", sql(f"""SELECT industry, fold, CAST(-p AS INTEGER) AS param_id, {r('s')} AS score FROM (
- SELECT industry, fold, max_by(-pid, (s, -pid)) AS p, max(s) AS s FROM (SELECT industry, fold, CAST(code AS INTEGER)%7 AS pid,
+ SELECT industry, fold, max_by(-pid, {{'a': s, 'b': -pid}}) AS p, max(s) AS s FROM (SELECT industry, fold, CAST(code AS INTEGER)%7 AS pid,
  CASE WHEN count(*)<2 THEN -10000.0::DOUBLE+count(*) ELSE avg(return_pct)+avg(return_pct/10)*3+avg(least(return_pct,0))*0.2::DOUBLE
- +(avg(return_pct)-5)*0.25::DOUBLE-count(*)*100/1000000.0::DOUBLE END AS s FROM yfold GROUP BY 1,2,3) GROUP BY 1,2)""".replace(
-     "max_by(-pid, (s, -pid))", "max_by(-pid, {'a': s, 'b': -pid})"), "yfold"))
+ +(avg(return_pct)-5)*0.25::DOUBLE-count(*)*100/1000000.0::DOUBLE END AS s FROM yfold GROUP BY 1,2,3) GROUP BY 1,2)""", "yfold"))
 def parameter_choice(spark, sf):
     y = _yearly_folds(spark, sf).withColumn("param_id", F.col("code").cast("int") % 7)
     res = y.groupBy("industry", "fold", "param_id").agg(
@@ -264,8 +263,8 @@ def position_updates(spark, sf):
     return out(sg.apply_fills(positions, orders), ["portfolio_id", "code", "quantity"], ["average_price"])
 
 
-@query("run_guard", "SG18", sql("""SELECT code AS portfolio_id, date, length(code)=6 AND volume%3<>0 OR volume%3=0 AND true AS accepted FROM bars
- WHERE volume%2=1""".replace("length(code)=6 AND volume%3<>0 OR volume%3=0 AND true", "CAST(code AS INTEGER)%3<>0 OR volume%5=1"), "bars"))
+@query("run_guard", "SG18", sql("""SELECT code AS portfolio_id, date, CAST(code AS INTEGER)%3<>0 OR volume%5=1 AS accepted FROM bars
+ WHERE volume%2=1""", "bars"))
 def run_guard(spark, sf):
     b = d.bars(spark, sf).select(F.col("code").alias("portfolio_id"), "date", "volume")
     requests = b.select("portfolio_id", "date", (F.col("volume") % 5).alias("top_n"), F.lit(.9).alias("exposure"))
