@@ -33,21 +33,32 @@ def _c(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def strip_markup(c: Column | str) -> Column:
-    """Text of a page: no scripts, styles or tags, entities decoded, blanks collapsed."""
+def without_code(c: Column | str) -> Column:
+    """Markup without its scripts and styles."""
     t = F.regexp_replace(_c(c), r"(?is)<script\b.*?</script\s*>", " ")
-    t = F.regexp_replace(t, r"(?is)<style\b.*?</style\s*>", " ")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
+    return F.regexp_replace(t, r"(?is)<style\b.*?</style\s*>", " ")
+
+
+def plain(c: Column) -> Column:
+    """Text of a piece of markup: no tags, entities decoded, blanks collapsed."""
+    t = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
+    decoded = t
     for entity, char in ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(char))
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    t = F.when(F.contains(t, F.lit("&")), decoded).otherwise(t)
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def strip_markup(c: Column | str) -> Column:
+    """Text of a whole page."""
+    return plain(without_code(c))
+
+
 def table_rows(docs: DataFrame, key: str, html: str) -> DataFrame:
     """(key, row_no, cells): the cells of every table row."""
-    parts = F.slice(F.split(_c(html), r"(?i)<tr\b"), 2, 1 << 30)
+    parts = F.slice(F.split(without_code(html), r"(?i)<tr\b"), 2, 1 << 30)
     rows = docs.select(key, F.posexplode(parts).alias("row_no", "_row"))
-    cells = F.transform(F.regexp_extract_all("_row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), 1), strip_markup)
+    cells = F.transform(F.regexp_extract_all("_row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), 1), plain)
     return rows.withColumn("cells", cells).where(F.size("cells") > 0).drop("_row")
 
 

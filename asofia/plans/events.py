@@ -9,6 +9,7 @@ from asofia.operators import documents as dx, evidence as ev, joins as jn
 from asofia.plans.registry import query
 from asofia.plans.sqlbase import cte, sql
 from asofia.sources import derived as d
+from asofia.sources.session import spread
 
 DAYS = "abs(date_diff('day', strptime({0},'%Y%m%d'), strptime({1},'%Y%m%d')))"
 STAT = "CASE WHEN {0}=1 THEN '{1}' WHEN {0}>1 THEN '{2}' ELSE '{3}' END"
@@ -85,7 +86,7 @@ def receipt_or_only_candidate(spark, sf):
 @query("names_in_documents", "J14", """SELECT DISTINCT d.doc_id, p.p_name FROM documents d JOIN (SELECT DISTINCT left(text, 12) AS p_name FROM benchmark) p ON contains(d.text, p.p_name)""")
 def names_in_documents(spark, sf):
     names = d.table(spark, sf, "benchmark").select(F.substring("text", 1, 12).alias("p_name"))
-    return dx.names_in_text(names, d.table(spark, sf, "documents"), "p_name", "doc_id", "text")
+    return dx.names_in_text(names, spread(d.table(spark, sf, "documents").select("doc_id", "text")), "p_name", "doc_id", "text")
 
 
 @query("decision_before_notice", "J16", sql("""SELECT queue_event_id, max(x.rcept_dt) AS decision_date, max_by(x.rcept_no, x.rcept_dt||x.rcept_no) AS decision_no FROM queue q

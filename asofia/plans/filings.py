@@ -9,6 +9,7 @@ from asofia.plans.events import disclosure_queue
 from asofia.plans.registry import query
 from asofia.plans.sqlbase import sql
 from asofia.sources import derived as d
+from asofia.sources.session import spread
 
 
 @query("explicit_exdate_promotion", "EV18", sql("""SELECT queue_event_id, CASE WHEN order_key%5=0 THEN 'DATE_NOT_UNIQUE' WHEN order_key%7=0 THEN 'NOT_AN_EX_DATE' WHEN source_reference_date>'20000101' THEN 'AFTER_CUTOFF'
@@ -135,7 +136,7 @@ def filings(spark, sf):
         F.lit(" </td></tr><tr><td>3. 배당기준일</td><td>"), rec, F.lit("</td></tr><tr><td>4. 배당금지급 예정일자</td><td>"), pay,
         F.lit("</td></tr></TABLE><p acode=\"SHR\">"), amount,
         F.lit("주</p><p>유상증자 해당사항 없음</p><a href='/kind/dividend?id=20240101"), two(k % 60), F.lit("1234'>x</a></html>"))
-    return d.table(spark, sf, "orders").select("o_orderkey", html.alias("html"), rec.alias("rec"))
+    return spread(d.table(spark, sf, "orders").select("o_orderkey")).select("o_orderkey", html.alias("html"), rec.alias("rec"))
 
 
 REC = ("'20'||substr(CAST(100+o_orderkey%30 AS VARCHAR),2)||'{0}'||substr(CAST(101+o_orderkey%12 AS VARCHAR),2)"

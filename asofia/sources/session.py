@@ -50,3 +50,13 @@ def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     returned without a hint and the join shuffles (AQE splits skewed keys).
     """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer partitions than the cluster has cores.
+
+    For CPU-heavy text work on few, unsplittable files. A scan that is already
+    wide enough is returned as it is, so large inputs are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
