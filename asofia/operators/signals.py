@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from asofia.functions.windows import bar_window, full_mean, running
 from asofia.operators import analytics as pa, indicators as ti
+from asofia.operators.ranks import exact_quantiles
 
 # The default walk-forward grid.
 GRID_AXES = {"fast": (10, 20), "slow": (60, 120), "rsi_min": (40, 45), "rsi_max": (68,),
@@ -161,19 +162,24 @@ def score_params(results: DataFrame, by: Sequence[str], min_trades: int) -> Data
         *by, F.col("b.param_id").alias("param_id"), F.col("b.score").alias("score"))
 
 
-def sensitivity(details: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Robustness over the variants of one base (a handful of rows per group)."""
+def sensitivity(details: DataFrame, by: Sequence[str], bound: int | None = None) -> DataFrame:
+    """Robustness over the variants of one base; the exact median comes from ranks."""
+    median = exact_quantiles(details, "return_pct", by, {"median_return": .5}, bound)
     out = details.groupBy(*by).agg(
         (F.avg((F.col("return_pct") > 0).cast("double")) * 100).alias("positive_rate"),
         (F.avg((F.col("excess_return") > 0).cast("double")) * 100).alias("beat_rate"),
-        F.percentile("return_pct", .5).alias("median_return"), F.stddev_pop("return_pct").alias("dispersion"))
+        F.stddev_pop("return_pct").alias("dispersion")).join(median, list(by))
     calm = ((F.col("positive_rate") >= 80) & (F.col("beat_rate") >= 60)
             & (F.col("dispersion") <= F.greatest(F.abs("median_return"), F.lit(1.0))))
     return out.withColumn("verdict", F.when(calm, "안정").otherwise("민감"))
 
 
 def trade_bootstrap(trades: DataFrame, sims: int = 5000, seed: int = 42) -> DataFrame:
-    """Resampled compounded result and path drawdown of one report's trades."""
+    """Resampled compounded result and path drawdown of one report's trades.
+
+    The draws are simulations times observations, so a report over many
+    securities should pass one averaged observation per period.
+    """
     draws = pa.bootstrap_draws(trades.withColumn("_key", F.struct("entry_date", "exit_date", "return_pct")),
                                "_key", "return_pct", sims, seed)
     w = Window.partitionBy("sim").orderBy("step")          # one path: as many steps as there are trades

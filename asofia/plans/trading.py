@@ -83,14 +83,17 @@ def parameter_choice(spark, sf):
  avg((return_pct-5>0)::INT)*100 AS b, quantile_cont(return_pct,0.5) AS m, stddev_pop(return_pct) AS s FROM yfold GROUP BY 1)""", "yfold"))
 def sensitivity_verdict(spark, sf):
     y = _yearly_folds(spark, sf).withColumn("excess_return", F.col("return_pct") - 5)
-    return out(sg.sensitivity(y, ["industry"]), ["industry", "verdict"], ["positive_rate", "beat_rate", "median_return", "dispersion"])
+    return out(sg.sensitivity(y, ["industry"], d.row_bound(spark, f"{sf}/lineitem.parquet")), ["industry", "verdict"], ["positive_rate", "beat_rate", "median_return", "dispersion"])
 
 
 @query("trade_bootstrap", "SG8")
 def trade_bootstrap(spark, sf):
     trades = durable(sg.extract_trades(d.bars(spark, sf), sg.default_grid()[:1]))
-    newest = trades.groupBy("code").agg(F.max_by(F.struct("entry_date", "exit_date", "return_pct"), "entry_date").alias("t"))
-    return sg.trade_bootstrap(newest.select("code", "t.*"), sims=500)
+    # one observation per exit month: bounded by the calendar, made from every trade
+    month = F.substring("exit_date", 1, 6)
+    monthly = trades.groupBy(month.alias("exit_date")).agg(F.avg("return_pct").alias("return_pct")).withColumn(
+        "entry_date", F.col("exit_date"))
+    return sg.trade_bootstrap(monthly, sims=500)
 
 
 # ---- weights ------------------------------------------------------------
