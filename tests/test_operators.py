@@ -340,3 +340,10 @@ def test_models_learn_a_planted_signal(spark):
     fit = ml.fit_regressor(df, ["a", "b"], "ridge")
     assert ml.coefficients(fit, ["a", "b"], spark).first()["feature"] == "a_filled"
     assert ml.candidates(spark).count() == 5
+
+
+def test_book_tables_hold_one_portfolio(spark, folder):
+    df = spark.createDataFrame([("p", 1), ("q", 2)], "portfolio_id string, v int")
+    tables = ig.book_tables({"ranking": df, "positions": df.where("v = 2")}, "p")
+    ig.write_report(tables["ranking"], f"{folder}/ranking")
+    assert spark.read.parquet(f"{folder}/ranking").count() == 1 and tables["positions"].count() == 0
