@@ -25,6 +25,10 @@ from pyspark.sql import DataFrame
 from asofia.llm import base, units
 
 
+# Distinct units that a worker keeps before it starts over.
+MOST_UNITS = 800_000
+
+
 def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
     """Ids of each piece after every merge of the vocabulary has been applied in rank order."""
     whole = [ranks.get(p) for p in pieces]
@@ -105,25 +109,27 @@ class Encoder:
 
     def reset(self) -> None:
         self.number = units.Numbering()
-        self.ids: list[list[int]] = []
+        self.pieces: dict[str, tuple[str, int, bytes]] = {}
         self.said: list[str] = []
         self.counts: list[int] = []
         self.raw: list[bytes] = []
 
     def learn(self) -> None:
+        """Replay the merges over the pattern matches that no earlier unit had."""
         fresh, self.number.fresh = self.number.fresh, []
-        pieces = units.Numbering()
-        split = [[pieces[m] for m in self.pattern.findall(units.text_of(k))] for k in fresh]
-        done = replay([p.encode("utf-8", "surrogatepass") for p in pieces.fresh], self.ranks)
+        split = [self.pattern.findall(units.text_of(k)) for k in fresh]
+        known = self.pieces
+        new = list(dict.fromkeys(p for parts in split for p in parts if p not in known))
+        for p, ids in zip(new, replay([p.encode("utf-8", "surrogatepass") for p in new], self.ranks)):
+            known[p] = ",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
         for parts in split:
-            ids = [i for p in parts for i in done[p]]
-            self.ids.append(ids)
-            self.said.append(",".join(map(str, ids)))
-            self.counts.append(len(ids))
-            self.raw.append(b"".join(map(self.bytes_of.__getitem__, ids)))
+            said, counts, raw = zip(*map(known.__getitem__, parts)) if parts else ((), (), ())
+            self.said.append(",".join(said))
+            self.counts.append(sum(counts))
+            self.raw.append(b"".join(raw))
 
     def numbers(self, text: str) -> list[int]:
-        if len(self.number) > units.MOST_UNITS:
+        if len(self.number) > MOST_UNITS:
             self.reset()
         at = list(map(self.number.__getitem__, units.keys_of(text)))
         if self.number.fresh:
@@ -131,14 +137,14 @@ class Encoder:
         return at
 
     def encode(self, text: str) -> list[int]:
-        return [i for n in self.numbers(text) for i in self.ids[n]]
+        return [int(i) for n in self.numbers(text) if self.said[n] for i in self.said[n].split(",")]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def digests(self, texts: list) -> dict:
         """n_tokens, ids_sha256 and decoded_sha256 of each text."""
-        if len(self.number) > units.MOST_UNITS:
+        if len(self.number) > MOST_UNITS:
             self.reset()
         every = [list(map(self.number.__getitem__, units.keys_of(t or ""))) for t in texts]
         if self.number.fresh:
