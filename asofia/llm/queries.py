@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from asofia.llm import blob_ledger, merge_replay, quality_rules
+from asofia.llm import blob_ledger, grammar, merge_replay, quality_rules
 
 QUERIES = {
     "op4_quality_rules": (quality_rules.op4_quality_rules, None),
+    "op5_grammar": (grammar.op5_grammar, None),
     "op8_merge_replay": (merge_replay.op8_merge_replay, None),
     "op10_blob_ledger": (blob_ledger.op10_blob_ledger, None),
 }
