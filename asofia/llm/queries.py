@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from asofia.llm import blob_ledger, grammar, merge_replay, packing, quality_rules, tool_links, topk_bounds
+from asofia.llm import blob_ledger, grammar, merge_replay, near_dedup, packing, quality_rules, tool_links, topk_bounds
 
 QUERIES = {
     "op2_topk_bounds": (topk_bounds.op2_topk_bounds, topk_bounds.OP2_SQL),
     "op4_quality_rules": (quality_rules.op4_quality_rules, None),
     "op5_grammar": (grammar.op5_grammar, None),
     "op6_packing": (packing.op6_packing, None),
+    "op7_near_dedup": (near_dedup.op7_near_dedup, None),
     "op8_merge_replay": (merge_replay.op8_merge_replay, None),
     "op9_tool_links": (tool_links.op9_tool_links, tool_links.OP9_SQL),
     "op10_blob_ledger": (blob_ledger.op10_blob_ledger, None),
