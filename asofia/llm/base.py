@@ -132,3 +132,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     picked = known.where("y = 0").orderBy(*order).limit(per_class).unionAll(known.where("y = 1").orderBy(*order).limit(per_class))
     return (docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= TRAIN_BYTES)
             .join(F.broadcast(picked), "doc_id"))
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[list[dict]], object]):
+    """The object that `fit` makes of all rows of a bounded sample, computed in one task.
+
+    Rows are handed over in order of doc_id and then of the rest, so that the
+    result does not depend on partitioning.
+    """
+    import pickle
+
+    def run(batches):
+        found = [r for b in batches for r in b.to_pylist()]
+        found.sort(key=lambda r: (r["doc_id"], repr(sorted(r.items()))))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found))], pa.binary())], names=["model"])
+
+    return pickle.loads(map_batches(rows.repartition(1), run, "model binary").first().model)

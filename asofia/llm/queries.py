@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from asofia.llm import blob_ledger, grammar, merge_replay, near_dedup, packing, quality_rules, tool_links, topk_bounds
+from asofia.llm import (blob_ledger, grammar, merge_replay, near_dedup, packing, passage_attention, quality_rules, recurrent_toxicity, tool_links,
+                        topk_bounds)
 
 QUERIES = {
+    "op1_passage_attention": (passage_attention.op1_passage_attention, None),
     "op2_topk_bounds": (topk_bounds.op2_topk_bounds, topk_bounds.OP2_SQL),
+    "op3_recurrent_toxicity": (recurrent_toxicity.op3_recurrent_toxicity, None),
     "op4_quality_rules": (quality_rules.op4_quality_rules, None),
     "op5_grammar": (grammar.op5_grammar, None),
     "op6_packing": (packing.op6_packing, None),
