@@ -147,4 +147,5 @@ def fit_in_task(rows: DataFrame, fit: Callable[[list[dict]], object]):
         found.sort(key=lambda r: (r["doc_id"], repr(sorted(r.items()))))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found))], pa.binary())], names=["model"])
 
-    return pickle.loads(map_batches(rows.repartition(1), run, "model binary").first().model)
+    made = map_batches(rows.repartition(1), run, "model binary").first()
+    return pickle.loads(made.model) if made else fit([])   # an empty sample may have no task

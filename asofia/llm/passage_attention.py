@@ -166,9 +166,9 @@ def fit(texts: list, labels: list, steps: int = STEPS, seed: int = 7) -> Model:
         rate = RATE * (1 - step / (steps + 1))
         for k, g in grad.items():
             a, b = mom[k]
-            a += 0.1 * (g + 1e-4 * m.p[k] - a)
+            a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
-            m.p[k] = m.p[k] - rate * (a / (1 - 0.9 ** step)) / (np.sqrt(b / (1 - 0.99 ** step)) + 1e-8)
+            m.p[k] = (1 - 0.05 * rate) * m.p[k] - rate * (a / (1 - 0.9 ** step)) / (np.sqrt(b / (1 - 0.99 ** step)) + 1e-6)
     return m
 
 

@@ -134,7 +134,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotone=MONOTONE, rounds: int = 60,
     not taken; its children inherit the midpoint as a bound on their values, so
     the whole ensemble is monotonic in that feature.
     """
-    x, y = np.asarray(x, float).reshape(len(y), -1), np.asarray(y, float)
+    x, y = np.asarray(x, float), np.asarray(y, float)
     if len(y) == 0 or y.min() == y.max():
         side = 0.0 if len(y) == 0 else (2.0 if y[0] else -2.0)
         z = np.zeros(1, np.int64)
