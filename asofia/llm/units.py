@@ -19,8 +19,8 @@ import numpy as np
 # A space between two spaces, or after one at the end: simple splitting would cut a run.
 INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 AFTER_WORD = re.compile(r"(?<=\S)(?= )")
-# Distinct units that a worker keeps before it starts over.
-MOST_UNITS = 400_000
+# Distinct units that a worker keeps; beyond that, those that were met only once go.
+MOST_UNITS = 700_000
 
 
 def keys_of(text: str) -> list:
@@ -57,15 +57,40 @@ class TokenIds:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.mark = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
         self.reset()
 
     def reset(self) -> None:
         self.number = Numbering()
-        self.lens, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.lens, self.starts, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
+    def shrink(self) -> None:
+        """Keep the units that were met more than once."""
+        keep = np.flatnonzero(self.hits > 1)
+        keys, lens, starts = list(self.number), self.lens, self.starts
+        if 2 * len(keep) > MOST_UNITS:
+            return self.reset()
+        ids = self.ids[:self.used]
+        self.reset()
+        for i in keep.tolist():
+            self.number[keys[i]] = len(self.number)
+        self.lens, self.hits = lens[keep], np.ones(len(keep), np.int32)
+        ends = np.cumsum(self.lens, dtype=np.int64)
+        self.starts, self.used = ends - self.lens, int(ends[-1]) if len(keep) else 0
+        self.ids = ids[np.arange(self.used) + np.repeat(starts[keep] - self.starts, self.lens)] if len(keep) else np.zeros(1 << 16, np.int32)
+
     def _add(self, fresh: list) -> None:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast([text_of(k) for k in fresh], add_special_tokens=False)]
+        first = len(self.lens)
+        # a comma or stop after a letter is a match of its own: its unit is the word's ids and one more
+        ends = [type(k) is str and k[-1:] in self.mark and k[-2:-1].isalpha() and k[:-1] in self.number for k in fresh]
+        plain = iter(self.tokenizer.encode_batch_fast([text_of(k) for k, e in zip(fresh, ends) if not e], add_special_tokens=False))
+        made = [None if e else next(plain).ids for e in ends]
+        for j, e in enumerate(ends):
+            if e:
+                b = self.number[fresh[j][:-1]]
+                word = made[b - first] if b >= first else self.ids[self.starts[b]:self.starts[b] + self.lens[b]].tolist()
+                made[j] = word + self.mark[fresh[j][-1]]
         lens = np.fromiter(map(len, made), np.int32, len(made))
         total = int(lens.sum())
         if self.used + total > len(self.ids):
@@ -73,6 +98,7 @@ class TokenIds:
         self.ids[self.used:self.used + total] = np.fromiter((i for m in made for i in m), np.int32, total)
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
+        self.hits = np.concatenate([self.hits, np.zeros(len(lens), np.int32)])
         self.used += total
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +106,7 @@ class TokenIds:
         if not texts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         if len(self.number) > MOST_UNITS:
-            self.reset()
+            self.shrink()
         keys, counts = [], []
         for t in texts:
             own = keys_of(t or "")
@@ -90,6 +116,7 @@ class TokenIds:
         if self.number.fresh:
             self._add(self.number.fresh)
             self.number.fresh = []
+        self.hits += np.bincount(at, minlength=len(self.hits)).astype(np.int32)
         lens = self.lens[at]
         ends = np.cumsum(lens, dtype=np.int64)
         total = int(ends[-1])
