@@ -25,18 +25,18 @@ COSTS = {"commission": .015, "tax": .18, "slippage": .05}
 
 # ---- information coefficient --------------------------------------------
 
-def daily_ic(pred: DataFrame, bound: int | None = None) -> DataFrame:
+def daily_ic(pred: DataFrame) -> DataFrame:
     """Spearman correlation of score and excess return per date; null on constant days."""
     both = pred.where(F.col("score").isNotNull() & F.col("excess_return").isNotNull())
-    ranked = average_rank(both, "score", ["feature_date"], "_a", pct=False, bound=bound)
-    ranked = average_rank(ranked, "excess_return", ["feature_date"], "_b", pct=False, bound=bound)
+    ranked = average_rank(both, "score", ["feature_date"], "_a", pct=False)
+    ranked = average_rank(ranked, "excess_return", ["feature_date"], "_b", pct=False)
     varied = (F.min("score") != F.max("score")) & (F.min("excess_return") != F.max("excess_return"))
     return ranked.groupBy("feature_date").agg(F.when(varied, F.corr("_a", "_b")).alias("rank_ic"))
 
 
-def ic_rows(pred: DataFrame, horizon: int, bound: int | None = None) -> DataFrame:
+def ic_rows(pred: DataFrame, horizon: int) -> DataFrame:
     flags = rebalance_index(pred, horizon).select("feature_date", "non_overlapping")
-    return flags.join(daily_ic(pred, bound), "feature_date", "left")
+    return flags.join(daily_ic(pred), "feature_date", "left")
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:
@@ -75,10 +75,9 @@ def bootstrap_ci(values: DataFrame, order: str, value: str, sims: int = 2000, se
 
 # ---- equal-weight books -------------------------------------------------
 
-def book_holdings(rows: DataFrame, scope: str, fractions: Sequence[float] = (.1, .2, .3),
-                  bound: int | None = None) -> DataFrame:
+def book_holdings(rows: DataFrame, scope: str, fractions: Sequence[float] = (.1, .2, .3)) -> DataFrame:
     """Top fraction of every rebalance date, equally weighted (``rows`` from on_rebalance_days)."""
-    picked = top_fraction(rows, fractions, bound=bound)
+    picked = top_fraction(rows, fractions)
     return picked.withColumns({"scope": F.lit(scope), "weight": F.lit(1.0) / F.col("selected_count")})
 
 
@@ -279,7 +278,7 @@ def auc_from_ranks(positives: Column, negatives: Column, rank_sum: Column) -> Co
                   (rank_sum - positives * (positives + 1) / 2) / (positives * negatives))
 
 
-def classification_metrics(pred: DataFrame, by: Sequence[str] = (), bound: int | None = None) -> DataFrame:
+def classification_metrics(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """AUC, accuracy at .5, Brier score, mean and top-quintile excess per group.
 
     The rank behind the AUC and the quantile cut-off come from the same split
@@ -288,8 +287,8 @@ def classification_metrics(pred: DataFrame, by: Sequence[str] = (), bound: int |
     by = list(by)
     base = pred if by else pred.withColumn("_whole", F.lit(0))
     keys = by or ["_whole"]
-    cut = exact_quantiles(base, "probability", keys, {"_cut": .8}, bound)
-    ranked = rank_columns(base, "probability", keys, bound=bound).join(cut, keys)
+    cut = exact_quantiles(base, "probability", keys, {"_cut": .8})
+    ranked = rank_columns(base, "probability", keys).join(cut, keys)
     y, p = F.col("positive_excess"), F.col("probability")
     rank = F.col("_first") + (F.col("_ties") - 1) / 2
     out = ranked.groupBy(*keys).agg(
@@ -332,13 +331,13 @@ def volatility_terciles(pred: DataFrame) -> DataFrame:
     return staged.select("split", "feature_date", label.alias("volatility_regime"))
 
 
-def regime_rows(pred: DataFrame, bound: int | None = None) -> DataFrame:
+def regime_rows(pred: DataFrame) -> DataFrame:
     """Samples, AUC and means by market trend and by volatility tercile."""
     trend = pred.select("*", F.lit("market_trend").alias("dimension"), F.col("market_regime").cast("string").alias("regime"))
     vol = pred.join(F.broadcast(volatility_terciles(pred)), ["split", "feature_date"]).withColumns({
         "dimension": F.lit("market_volatility"), "regime": F.col("volatility_regime")}).drop("volatility_regime")
     keys = ["split", "dimension", "regime"]
-    ranked = rank_columns(trend.unionByName(vol), "probability", keys, bound=bound)
+    ranked = rank_columns(trend.unionByName(vol), "probability", keys)
     y = F.col("positive_excess")
     rank = F.col("_first") + (F.col("_ties") - 1) / 2
     return ranked.groupBy(*keys).agg(
@@ -460,14 +459,14 @@ def adoption_facts_criteria() -> dict[str, Column]:
     }
 
 
-def compare_scores(scored: dict[str, DataFrame], horizon: int, bound: int | None = None) -> DataFrame:
+def compare_scores(scored: dict[str, DataFrame], horizon: int) -> DataFrame:
     """One metrics row per (strategy, split) for champion and challenger side by side."""
     rows = None
     for name, pred in scored.items():
-        ic = ic_summary(ic_rows(pred, horizon, bound)).select(F.lit(name).alias("scope"), "nonoverlap_rank_ic",
+        ic = ic_summary(ic_rows(pred, horizon)).select(F.lit(name).alias("scope"), "nonoverlap_rank_ic",
                                                               "independent_ic_periods")
         on_days = durable(on_rebalance_days(pred, horizon))
-        held = book_holdings(on_days, name, (.2,), bound)
+        held = book_holdings(on_days, name, (.2,))
         book = book_summary(book_periods(on_days, held)).select(
             "scope", "universe_net_excess_return", "etf_net_excess_return", "positive_vs_universe_rate",
             "positive_vs_etf_rate")

@@ -76,13 +76,13 @@ def total_return_labels(data: DataFrame, history: DataFrame, benchmark_code: str
         .drop("entry_price", "exit_price", "benchmark_entry", "benchmark_exit", "price_covered"))
 
 
-def make_target(df: DataFrame, kind: str, out: str = "target", bound: int | None = None) -> DataFrame:
+def make_target(df: DataFrame, kind: str, out: str = "target") -> DataFrame:
     """Excess value, or its same-day percentile over the market or the industry."""
     if kind == "excess_regression":
         return df.withColumn(out, F.col("excess_return").cast("double"))
     by = {"cross_sectional_rank": ["feature_date"],
           "industry_neutral_rank": ["feature_date", "industry"]}[kind]
-    return average_rank(df, "excess_return", by, out, bound=bound)
+    return average_rank(df, "excess_return", by, out)
 
 
 def rebalance_index(df: DataFrame, horizon: int, day: str = "feature_date") -> DataFrame:

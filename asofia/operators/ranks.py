@@ -1,131 +1,95 @@
 """Cross-sectional ranks that survive a hot group.
 
 A cross-section (one date, one industry on one date) can hold any number of
-securities, so a plain window over it would put the whole group in one task.
-Each operator therefore has two forms with the same result:
-
-* one pass - a single window, used when the caller can show an upper bound of
-  the group size (for instance the row count in Parquet footers) that is small;
-* split - values are first reduced to (group, value, count) with map-side
-  combine, cut into quantile buckets per group, numbered inside each bucket,
-  and shifted by the counts of the buckets before it. No task sees more than
-  one bucket of one group, and ties cost one row however many they are.
-
-The quantile cuts are written to the checkpoint folder before use: both
-branches of the split form must see the same cuts even after an executor loss.
+securities, so a window over the group would put all of it in one task. Ranks
+are therefore computed over cells: rows are first reduced to (group, value,
+count) with map-side combine, so ties cost one row however many they are;
+distinct values fall into cells by a monotonic function of the value alone;
+values are numbered inside their cell and shifted by the counts of the cells
+before it. The cells of a value do not depend on the data around it, so every
+branch of the plan sees the same ones, whatever executor computes it, and
+nothing has to be written in between. There is one form for groups of any size.
+
+Groups are compared null-safe. Null values have no rank; NaN is the greatest
+value, as in Spark's own order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from asofia.functions.norm import finite, is_financial, join_reasons
-from asofia.sources.session import broadcast_checked, durable
 
-ONE_PASS_ROWS = 2_000_000   # a group of this size is sorted in one task without spilling
-SPLIT_ROWS = 100_000         # split form: smaller groups are not cut
-BUCKETS = 512
+CELLS = 4_096   # per unit of log(1 + 1e6 |v|): cells are narrower than 0.03 % of the value
 
 
-def fits_one_task(bound: int | None) -> bool:
-    return bound is not None and bound <= ONE_PASS_ROWS
+def value_cell(v: Column) -> Column:
+    """Number that never falls as the value grows."""
+    place = F.signum(v) * F.log1p(F.abs(v) * 1e6) * CELLS
+    return F.when(F.isnan(v), F.lit(9e18)).otherwise(F.floor(F.greatest(F.lit(-9e17), F.least(F.lit(9e17), place)))).cast("long")
 
 
-def text_position(c: Column | str, chars: int = 6) -> Column:
-    """Number that grows with the text order of the first characters.
-
-    Only used to place cuts; rows inside a bucket are ordered by the full text.
-    """
-    t = F.col(c) if isinstance(c, str) else c
-    out = F.lit(0.0)
-    for i in range(1, chars + 1):
-        out = out * 256 + F.least(F.ascii(F.substring(t, i, 1)), F.lit(255))
-    return out
+def on_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null; the right side's keys are dropped."""
+    if not keys:
+        return left.join(right, how=how) if how != "inner" else left.crossJoin(right)
+    named = right.withColumnsRenamed({k: f"_same_{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_same_{i}")) for i, k in enumerate(keys)])
+    return left.join(named, same, how).drop(*[f"_same_{i}" for i in range(len(keys))])
 
 
-def _numbered(df: DataFrame, value: str, by: Sequence[str], ascending: bool,
-              position: Column) -> DataFrame:
+def _numbered(df: DataFrame, value: str, by: Sequence[str], ascending: bool, cell: Column) -> DataFrame:
     """One row per (group, distinct value): ``_first`` (1-based), ``_ties``, ``_total``.
 
-    ``position`` is a number that grows with the value. Groups below SPLIT_ROWS
-    stay in one bucket.
+    ``cell`` is computed from the row and grows with the value.
     """
     by = list(by)
-    present = df.where(F.col(value).isNotNull())
-    counted = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = (present.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"),
-                                     F.percentile_approx(position, probs, 10 * BUCKETS).alias("_cuts"))
-            .where(F.col("_rows") > SPLIT_ROWS).drop("_rows"))
-    placed = counted.join(broadcast_checked(durable(cuts), 1_000), by, "left").withColumn(
-        "_bucket", F.coalesce(F.size(F.filter("_cuts", lambda c: c < position)), F.lit(0))).drop("_cuts")
-    placed = placed.withColumn("_bucket", F.greatest("_bucket", F.lit(0)))
-    totals = placed.groupBy(*by, "_bucket").agg(F.sum("_ties").alias("_in_bucket"))
-    step = F.col("_bucket") if ascending else -F.col("_bucket")
-    ahead = Window.partitionBy(*by).orderBy(step)          # at most BUCKETS rows per group
-    offsets = totals.select(
-        *by, "_bucket",
-        F.coalesce(F.sum("_in_bucket").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("_offset"),
-        F.sum("_in_bucket").over(Window.partitionBy(*by)).alias("_total"))
-    order = F.col(value).asc() if ascending else F.col(value).desc()
-    inside = (Window.partitionBy(*by, "_bucket").orderBy(order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return (placed.withColumn("_before", F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
-            .join(offsets, [*by, "_bucket"])
-            .select(*by, value, (F.col("_offset") + F.col("_before") + 1).alias("_first"),
-                    "_ties", "_total"))
-
-
-def rank_columns(df: DataFrame, value: str, by: Sequence[str], ascending: bool = True,
-                 bound: int | None = None) -> DataFrame:
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"), F.first(cell).alias("_cell"))
+    totals = counted.groupBy(*by, "_cell").agg(F.sum("_ties").alias("_in_cell"))
+    way = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
+    offsets = totals.select(*by, "_cell", F.coalesce(F.sum("_in_cell").over(before(group.orderBy(way("_cell")))), F.lit(0)).alias("_offset"),
+                            F.sum("_in_cell").over(group).alias("_total"))
+    inside = before(Window.partitionBy(*by, "_cell").orderBy(way(value)))
+    placed = counted.withColumn("_before", F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
+    return on_same(placed, offsets, [*by, "_cell"]).select(*by, value, (F.col("_offset") + F.col("_before") + 1).alias("_first"), "_ties", "_total")
+
+
+def rank_columns(df: DataFrame, value: str, by: Sequence[str], ascending: bool = True) -> DataFrame:
     """Add ``_first`` (competition rank), ``_ties`` and ``_total`` over non-null values."""
     by = list(by)
-    if fits_one_task(bound):
-        v = F.col(value)
-        order = v.asc_nulls_last() if ascending else v.desc_nulls_last()
-        w = Window.partitionBy(*by).orderBy(order)
-        peers = w.rangeBetween(Window.currentRow, Window.currentRow)
-        everyone = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        known = v.isNotNull()
-        return df.withColumns({
-            "_first": F.when(known, F.rank().over(w)),
-            "_ties": F.when(known, F.count(F.lit(1)).over(peers)),
-            "_total": F.when(known, F.count(v).over(everyone))})
     if not by:
-        keyed = df.withColumn("_whole", F.lit(0))
-        return rank_columns(keyed, value, ["_whole"], ascending).drop("_whole")
-    return df.join(_numbered(df, value, by, ascending, F.col(value).cast("double")), [*by, value], "left")
+        return rank_columns(df.withColumn("_whole", F.lit(0)), value, ["_whole"], ascending).drop("_whole")
+    return on_same(df, _numbered(df, value, by, ascending, value_cell(F.col(value).cast("double"))), [*by, value], "left")
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str], out: str, ascending: bool = True,
-                 pct: bool = True, bound: int | None = None) -> DataFrame:
+                 pct: bool = True) -> DataFrame:
     """Average-tie rank, as a share of the non-null values when ``pct``; null stays null."""
     ranked = rank_columns(df.withColumn("_value", finite(F.col(value).cast("double"))), "_value", by,
-                          ascending, bound)
+                          ascending)
     place = F.col("_first") + (F.col("_ties") - 1) / 2
     return (ranked.withColumn(out, place / F.col("_total") if pct else place)
             .drop("_value", "_first", "_ties", "_total"))
 
 
-def pct_score(df: DataFrame, value: str, out: str, higher: bool = True, by: Sequence[str] = (),
-              bound: int | None = None) -> DataFrame:
+def pct_score(df: DataFrame, value: str, out: str, higher: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Percentile score 0..100 with a neutral 50 for missing values."""
-    ranked = average_rank(df, value, by, out, ascending=higher, bound=bound)
+    ranked = average_rank(df, value, by, out, ascending=higher)
     return ranked.withColumn(out, F.coalesce(F.col(out) * 100, F.lit(50.0)))
 
 
-def xs_percentile(df: DataFrame, value: str, out: str, by: Sequence[str] = ("feature_date",),
-                  bound: int | None = None) -> DataFrame:
+def xs_percentile(df: DataFrame, value: str, out: str, by: Sequence[str] = ("feature_date",)) -> DataFrame:
     """Same-day percentile with a neutral 0.5."""
-    return average_rank(df, value, by, out, bound=bound).withColumn(
+    return average_rank(df, value, by, out).withColumn(
         out, F.coalesce(out, F.lit(.5)))
 
 
-def rank_many(df: DataFrame, specs: dict[str, tuple[Column, Column | None]], key: Sequence[str],
-              bound: int | None = None) -> DataFrame:
+def rank_many(df: DataFrame, specs: dict[str, tuple[Column, Column | None]], key: Sequence[str]) -> DataFrame:
     """Average-tie percentiles of many expressions in one pass.
 
     ``specs`` maps an output name to (value, group); negate a value to rank it
@@ -144,7 +108,7 @@ def rank_many(df: DataFrame, specs: dict[str, tuple[Column, Column | None]], key
     long = df.select(*key, *rest, F.explode(F.array(own, *cells)).alias("p")).where(
         F.col("p.v").isNotNull() | (F.col("p.i") < 0)).select(
         *key, "p.i", "p.g", "p.v", F.when(F.col("p.i") < 0, F.struct(*rest)).alias("row"))
-    ranked = rank_columns(long, "v", ["i", "g"], bound=bound)
+    ranked = rank_columns(long, "v", ["i", "g"])
     place = (F.col("_first") + (F.col("_ties") - 1) / 2) / F.col("_total")
     wide = ranked.withColumn("_p", place).groupBy(*key).agg(
         F.first("row", ignorenulls=True).alias("row"),
@@ -153,67 +117,57 @@ def rank_many(df: DataFrame, specs: dict[str, tuple[Column, Column | None]], key
 
 
 def rank_features(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("feature_date",),
-                  keys: Sequence[str] = ("code", "feature_date"), bound: int | None = None) -> DataFrame:
+                  keys: Sequence[str] = ("code", "feature_date")) -> DataFrame:
     """Same-day percentile of many columns at once; nulls are kept.
 
-    One pass: all columns share the grouping, so there is one exchange of the
-    rows and a sort inside each partition per column. Split: the columns are
-    stacked, because a hot group has to be cut by value anyway.
+    The columns are stacked and ranked together: one exchange of the values
+    instead of one sort of the rows for each column.
     """
-    if fits_one_task(bound):
-        extra = [c for c in by if c not in keys]
-        clean = df.select(*keys, *extra, *[finite(F.col(c).cast("double")).alias(c) for c in columns])
-        whole = Window.partitionBy(*by)
-
-        def share(c: str) -> Column:
-            w = whole.orderBy(F.col(c).asc_nulls_last())
-            peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
-            place = F.rank().over(w) + (peers - 1) / 2
-            return F.when(F.col(c).isNotNull(), place / F.count(c).over(whole)).alias(c)
-
-        return clean.select(*keys, *extra, *[share(c) for c in columns])
-    group = F.concat_ws("\u0001", *by)
+    group = F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in by])
     extra = [c for c in by if c not in keys]
     named = {f"{c}_rank": (F.col(c), group) for c in columns}
-    ranked = rank_many(df.select(*keys, *extra, *columns), named, keys, bound)
+    ranked = rank_many(df.select(*keys, *extra, *columns), named, keys)
     return ranked.select(*keys, *extra, *[F.col(f"{c}_rank").alias(c) for c in columns])
 
 
-def with_total_order(df: DataFrame, by: Sequence[str], score: str, tie: str, out: str = "score_rank",
-                     bound: int | None = None) -> DataFrame:
+def with_total_order(df: DataFrame, by: Sequence[str], score: str, tie: str, out: str = "score_rank") -> DataFrame:
     """Row number by score descending, then tie key ascending, and ``group_rows``.
 
     The tie key must be unique inside a group; rows without a score come last.
+    Equal scores are numbered by the tie key in cells again: by the characters
+    that follow what all tie keys of the score have in common.
     """
     by = list(by)
-    if fits_one_task(bound):
-        w = Window.partitionBy(*by).orderBy(F.col(score).desc_nulls_last(), F.col(tie).asc())
-        everyone = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return df.withColumns({out: F.row_number().over(w), "group_rows": F.count(F.lit(1)).over(everyone)})
-    filled = df.withColumn("_score", F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))))
-    placed = (rank_columns(filled, "_score", by, ascending=False)
-              .withColumnsRenamed({"_first": "_place", "_total": "group_rows"}))
-    # equal scores are ordered by the tie key, again in buckets
-    inside = _numbered(placed.where(F.col("_ties") > 1), tie, [*by, "_place"], True, text_position(tie))
+    if not by:
+        return with_total_order(df.withColumn("_whole", F.lit(0)), ["_whole"], score, tie, out).drop("_whole")
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("group_rows"), F.count(score).alias("_known"))
+    placed = on_same(rank_columns(df.withColumn("_score", F.col(score).cast("double")), "_score", by, ascending=False), sizes, by)
+    placed = placed.withColumns({"_place": F.coalesce("_first", F.col("_known") + 1), "_same": F.coalesce("_ties", F.col("group_rows") - F.col("_known")),
+                                 "_hex": F.hex(F.encode(F.col(tie).cast("string"), "UTF-8"))})   # sorts as the text does
+    tied = placed.where(F.col("_same") > 1)
+    ends = tied.groupBy(*by, "_place").agg(F.min("_hex").alias("_lo"), F.max("_hex").alias("_hi"))
+    shared = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_lo"))), F.lit(0), lambda n, i: F.when(
+        (n == i - 1) & (F.substring(F.col("_lo"), i, F.lit(1)) == F.substring(F.col("_hi"), i, F.lit(1))) & (F.length("_lo") >= i), i).otherwise(n))
+    spread = on_same(tied, ends.select(*by, "_place", shared.alias("_shared")), [*by, "_place"])
+    inside = _numbered(spread, tie, [*by, "_place"], True, F.substring(F.col("_hex"), F.col("_shared") + 1, F.lit(6)))
     inside = inside.select(*by, "_place", tie, (F.col("_first") - 1).alias("_step"))
-    return (placed.join(inside, [*by, "_place", tie], "left")
-            .withColumn(out, F.col("_place") + F.coalesce("_step", F.lit(0)))
-            .drop("_score", "_place", "_ties", "_step"))
+    return (on_same(placed.drop("_first", "_ties", "_total"), inside, [*by, "_place", tie], "left")
+            .withColumn(out, (F.col("_place") + F.coalesce("_step", F.lit(0))).cast("int"))
+            .drop("_score", "_place", "_same", "_hex", "_known", "_step"))
 
 
 def top_fraction(df: DataFrame, fractions: Sequence[float] = (.1, .2, .3),
                  by: Sequence[str] = ("feature_date",), score: str = "score", tie: str = "code",
-                 minimum: int = 1, bound: int | None = None) -> DataFrame:
+                 minimum: int = 1) -> DataFrame:
     """Best ceil(n * fraction) rows of each group, for several fractions at once."""
-    ordered = with_total_order(df, by, score, tie, bound=bound)
+    ordered = with_total_order(df, by, score, tie)
     want = F.greatest(F.lit(minimum), F.ceil(F.col("group_rows") * F.col("top_fraction")))
     return (ordered.withColumn("top_fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
             .where(F.col("score_rank") <= want)
             .withColumn("selected_count", F.least(want, F.col("group_rows"))))
 
 
-def quality_value_momentum(df: DataFrame, key: Sequence[str] = ("code",), min_peers: int = 3,
-                           bound: int | None = None) -> DataFrame:
+def quality_value_momentum(df: DataFrame, key: Sequence[str] = ("code",), min_peers: int = 3) -> DataFrame:
     """Quality, value, momentum and risk scores of a universe in one ranking pass.
 
     Quality is the mean of five part scores; financial firms use ROE, growth
@@ -232,7 +186,7 @@ def quality_value_momentum(df: DataFrame, key: Sequence[str] = ("code",), min_pe
         specs |= {f"_local_{field}": (signed, c("industry")), f"_all_{field}": (signed, None)}
     counts = df.groupBy("industry").agg(*[F.count(v).alias(f"_n_{f}") for f, v in valid.items()])
     whole = counts.agg(*[F.sum(f"_n_{f}").alias(f) for f in ("per", "pbr")])
-    df = rank_many(df, specs, key, bound).join(counts, "industry")
+    df = rank_many(df, specs, key).join(counts, "industry")
 
     def score(name: str) -> Column:
         return F.coalesce(c(name) * 100, F.lit(50.0))
@@ -294,7 +248,7 @@ def eligibility(df: DataFrame, min_liquidity: float = 1_000_000_000) -> DataFram
 
 
 def rank_universe(momentum: DataFrame, valuation: DataFrame, annual: DataFrame, industry: DataFrame,
-                  min_liquidity: float = 1_000_000_000, bound: int | None = None) -> DataFrame:
+                  min_liquidity: float = 1_000_000_000) -> DataFrame:
     """Score every security: 30 % quality, 25 % value, 25 % momentum, 20 % risk."""
     df = (momentum.join(industry.select("code", "industry"), "code", "left")
           .withColumn("industry", F.coalesce("industry", F.lit("미분류")))
@@ -304,7 +258,7 @@ def rank_universe(momentum: DataFrame, valuation: DataFrame, annual: DataFrame,
         "return_3m": F.col("return_63") * 100, "return_6m": F.col("return_126") * 100,
         "relative_3m": F.col("relative_63") * 100, "volatility_60": F.col("volatility_60") * 100,
         "drawdown_6m": F.col("drawdown_126") * 100})
-    df = quality_value_momentum(df, bound=bound)
+    df = quality_value_momentum(df)
     df = eligibility(input_status(data_confidence(df)), min_liquidity)
     return df.withColumn("total_score", F.col("quality_score") * .30 + F.col("value_score") * .25
                          + F.col("momentum_score") * .25 + F.col("risk_score") * .20)
@@ -340,16 +294,15 @@ def blend(financial: Column, momentum: Column, weight: float | None = None,
 
 def strategy_scores(df: DataFrame, raw_financial: str, financial_only: bool = False,
                     financial_threshold: float = .0, timing_threshold: float = .0,
-                    momentum_weight: float = .0, risk_weight: float = .0,
-                    bound: int | None = None) -> DataFrame:
+                    momentum_weight: float = .0, risk_weight: float = .0) -> DataFrame:
     """Three same-day percentiles, their weighted score and the common entry gate."""
     df = df.withColumns({
         "_mom": skip_mean([F.col(c) for c in ("relative_20", "relative_60", "ma_60_gap")]),
         "_risk": 1 - skip_mean([F.col(c) for c in ("volatility_20", "volatility_60", "atr_14_pct")])})
     # same grouping for all three: one exchange, three sorts
-    df = xs_percentile(df, raw_financial, "financial_score", bound=bound)
-    df = xs_percentile(df, "_mom", "momentum_score", bound=bound)
-    df = xs_percentile(df, "_risk", "risk_score", bound=bound).drop("_mom", "_risk")
+    df = xs_percentile(df, raw_financial, "financial_score")
+    df = xs_percentile(df, "_mom", "momentum_score")
+    df = xs_percentile(df, "_risk", "risk_score").drop("_mom", "_risk")
     weighted = (F.col("financial_score") * (1 - momentum_weight - risk_weight)
                 + F.col("momentum_score") * momentum_weight + F.col("risk_score") * risk_weight)
     return df.withColumns({
@@ -359,10 +312,9 @@ def strategy_scores(df: DataFrame, raw_financial: str, financial_only: bool = Fa
     }).withColumn("signal_eligible", F.col("financial_eligible") & F.col("momentum_eligible"))
 
 
-def rank_predictions(df: DataFrame, score: str = "probability", by: Sequence[str] = (),
-                     bound: int | None = None) -> DataFrame:
+def rank_predictions(df: DataFrame, score: str = "probability", by: Sequence[str] = ()) -> DataFrame:
     """Competition rank, best first."""
-    return (rank_columns(df, score, by, ascending=False, bound=bound)
+    return (rank_columns(df, score, by, ascending=False)
             .withColumnRenamed("_first", "prediction_rank").drop("_ties", "_total"))
 
 
@@ -375,7 +327,7 @@ def select_best(metrics: DataFrame, weights: dict[str, float], ties: Sequence[Co
     total = F.lit(0.0)
     for metric, weight in weights.items():
         df = df.withColumn(f"_m_{metric}", F.coalesce(finite(F.col(metric).cast("double")), F.lit(-999.0)))
-        df = average_rank(df, f"_m_{metric}", [], f"_p_{metric}", bound=ONE_PASS_ROWS)
+        df = average_rank(df, f"_m_{metric}", [], f"_p_{metric}")
         total = total + F.col(f"_p_{metric}") * weight
     df = df.withColumn("selection_score", total)
     best = Window.partitionBy(F.lit(0)).orderBy(F.desc("selection_score"), *ties)
@@ -383,8 +335,7 @@ def select_best(metrics: DataFrame, weights: dict[str, float], ties: Sequence[Co
             .drop(*[f"_{p}_{m}" for p in "mp" for m in weights]))
 
 
-def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: dict[str, float],
-                    bound: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per group from order statistics.
 
     The k-th smallest value is the greatest one whose competition rank is at
@@ -394,7 +345,7 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: dic
     whole = not by
     if whole:
         df, by = df.withColumn("_whole", F.lit(0)), ["_whole"]
-    ranked = rank_columns(df.where(F.col(value).isNotNull()), value, by, bound=bound)
+    ranked = rank_columns(df.where(F.col(value).isNotNull()), value, by)
     cols = {}
     for name, q in quantiles.items():
         pos = (F.col("_total") - 1) * q + 1

@@ -1,8 +1,9 @@
-"""Signals, trades over a parameter grid, target weights and the paper book."""
+"""Signals, statistics of given trades, target weights and the paper book."""
 
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -64,67 +65,6 @@ TRADE_SCHEMA = ("code string, param_id int, entry_date string, exit_date string,
                 "exit_price double, return_pct double, holding_days int, exit_reason string")
 
 
-def _episodes(day: pd.DataFrame, p: dict) -> Iterator[tuple]:
-    """Entry-to-exit episodes of one security under one parameter set."""
-    fast, slow, slope = day[f"ma{p['fast']}"], day[f"ma{p['slow']}"], day[f"slope{p['slow']}"]
-    usable = (fast.notna() & slow.notna() & day["rsi14"].notna() & (day["open"] > 0) & (day["close"] > 0)).to_numpy()
-    at = np.flatnonzero(usable)
-    if len(at) < 2:
-        return
-    o, c, f, s, sl, r, a = (x.to_numpy()[at] for x in (
-        day["open"], day["close"], fast, slow, slope, day["rsi14"], day["atr14"]))
-    rising = sl > 0
-    buy = (f > s) & (c >= f) & (r >= p["rsi_min"]) & (r <= p["rsi_max"]) & rising
-    strong, trend_out = (f > s) & rising & (c >= f), (f < s) | (c < s)
-    ratio = np.where(np.isnan(a), abs(p["stop_loss"]) / 2, a / c)
-    stop = -np.maximum(abs(p["stop_loss"]), np.minimum(.15, ratio * 2))
-    width = np.clip(ratio * ATR_MULTIPLE, .07, .20)
-    start = None
-    for i in range(1, len(at)):
-        y = i - 1                                   # decisions use the previous close
-        if start is None:
-            if buy[y]:
-                start, price, peak = i, o[i] * (1 + SLIPPAGE), c[i]
-            continue
-        gain = c[y] / price - 1
-        peak = max(peak, c[y])
-        ripe = i - start >= p["min_hold"]
-        reason = ("volatility_stop" if gain <= stop[y] else
-                  "trailing_stop" if ripe and c[y] <= peak * (1 - width[y]) else
-                  "take_profit" if ripe and not strong[y] and gain >= p["take_profit"] else
-                  "trend_exit" if ripe and trend_out[y] else None)
-        if reason:
-            yield at[start], at[i], price, o[i] * (1 - SLIPPAGE), reason
-            start = None
-    if start is not None:
-        yield at[start], at[-1], price, c[-1] * (1 - SLIPPAGE), "end_of_period"
-
-
-def extract_trades(bars: DataFrame, grid: Sequence[dict] | None = None) -> DataFrame:
-    """Trades of every security under every parameter set, one unit of money each.
-
-    The stop depends on the entry, so a security's calendar is walked in order
-    inside one group; its bars are shuffled once for the whole grid.
-    """
-    grid = list(grid or default_grid())
-    cols = ["code", "date", "open", "close", "rsi14", "atr14"]
-    wide = indicator_columns(bars, tuple({p["fast"] for p in grid}), tuple({p["slow"] for p in grid}))
-    cols += [c for c in wide.columns if c.startswith(("ma", "slope"))]
-
-    def walk(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values("date", ignore_index=True)
-        when = pd.to_datetime(day["date"], format="%Y%m%d")
-        rows = []
-        for p in grid:
-            for a, b, buy, sell, reason in _episodes(day, p):
-                back = sell * (1 - COMMISSION - SELL_TAX) / (buy * (1 + COMMISSION)) - 1
-                rows.append((day["code"][0], p["param_id"], day["date"][a], day["date"][b], buy, sell, back * 100,
-                             (when[b] - when[a]).days, reason))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in TRADE_SCHEMA.split(", ")])
-
-    return wide.select(*dict.fromkeys(cols)).groupBy("code").applyInPandas(walk, TRADE_SCHEMA)
-
-
 def trade_stats(trades: DataFrame, by: Sequence[str]) -> DataFrame:
     """Win rate, profit factor (infinite without losses), mean holding, count."""
     r = F.col("return_pct")
@@ -162,9 +102,9 @@ def score_params(results: DataFrame, by: Sequence[str], min_trades: int) -> Data
         *by, F.col("b.param_id").alias("param_id"), F.col("b.score").alias("score"))
 
 
-def sensitivity(details: DataFrame, by: Sequence[str], bound: int | None = None) -> DataFrame:
+def sensitivity(details: DataFrame, by: Sequence[str]) -> DataFrame:
     """Robustness over the variants of one base; the exact median comes from ranks."""
-    median = exact_quantiles(details, "return_pct", by, {"median_return": .5}, bound)
+    median = exact_quantiles(details, "return_pct", by, {"median_return": .5})
     out = details.groupBy(*by).agg(
         (F.avg((F.col("return_pct") > 0).cast("double")) * 100).alias("positive_rate"),
         (F.avg((F.col("excess_return") > 0).cast("double")) * 100).alias("beat_rate"),
@@ -174,25 +114,44 @@ def sensitivity(details: DataFrame, by: Sequence[str], bound: int | None = None)
     return out.withColumn("verdict", F.when(calm, "안정").otherwise("민감"))
 
 
-def trade_bootstrap(trades: DataFrame, sims: int = 5000, seed: int = 42) -> DataFrame:
-    """Resampled compounded result and path drawdown of one report's trades.
+BOOTSTRAP_COLUMNS = ("simulations long, median_return double, return_p05 double, return_p95 double, loss_probability double,"
+                     " median_mdd double, mdd_p05 double, verdict string")
+
+
+def trade_bootstrap(trades: DataFrame, by: Sequence[str], sims: int = 5000, seed: int = 42) -> DataFrame:
+    """Resampled compounded result and path drawdown of the trades of each report.
 
-    The draws are simulations times observations, so a report over many
-    securities should pass one averaged observation per period.
+    Every trade of a group is resampled. A report is one security's trades, so a
+    group is bounded by the calendar; paths are drawn in blocks of bounded size.
     """
-    draws = pa.bootstrap_draws(trades.withColumn("_key", F.struct("entry_date", "exit_date", "return_pct")),
-                               "_key", "return_pct", sims, seed)
-    w = Window.partitionBy("sim").orderBy("step")          # one path: as many steps as there are trades
-    path = draws.withColumn("_log", F.sum(F.log1p(F.greatest(F.col("value") / 100, F.lit(-.999999)))).over(running(w)))
-    path = path.withColumn("_dd", F.exp(F.col("_log") - F.greatest(F.max("_log").over(running(w)), F.lit(0.0))) - 1)
-    sim = path.groupBy("sim").agg(((F.exp(F.max_by("_log", "step")) - 1) * 100).alias("total_return"),
-                                  (F.least(F.min("_dd"), F.lit(0.0)) * 100).alias("mdd"))
-    out = sim.agg(F.count(F.lit(1)).alias("simulations"), F.percentile("total_return", .5).alias("median_return"),
-                  F.percentile("total_return", .05).alias("return_p05"), F.percentile("total_return", .95).alias("return_p95"),
-                  (F.avg((F.col("total_return") < 0).cast("double")) * 100).alias("loss_probability"),
-                  F.percentile("mdd", .5).alias("median_mdd"), F.percentile("mdd", .05).alias("mdd_p05"))
-    steady = (F.col("return_p05") > 0) & (F.col("loss_probability") < 10) & (F.col("mdd_p05") > -40)
-    return out.withColumn("verdict", F.when(steady, "안정").otherwise("주의"))
+    keys = trades.select(*by).schema
+
+    def walk(key: tuple, day: pd.DataFrame) -> pd.DataFrame:
+        values = np.log1p(np.maximum(np.sort(day["return_pct"].dropna().to_numpy(float)) / 100, -.999999))
+        n = len(values)
+        if not n:
+            return pd.DataFrame(columns=[*by, *(c.split()[0] for c in BOOTSTRAP_COLUMNS.split(", "))])
+        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+        total, worst = [], []
+        for size in _blocks(sims, max(1, 2_000_000 // n)):
+            path = values[rng.integers(0, n, (size, n))].cumsum(axis=1)
+            total.append(path[:, -1].copy())
+            worst.append((path - np.maximum(np.maximum.accumulate(path, axis=1), 0)).min(axis=1))
+        result, mdd = np.expm1(np.concatenate(total)) * 100, np.minimum(np.expm1(np.concatenate(worst)), 0) * 100
+        low, mid, high = np.quantile(result, (.05, .5, .95))
+        loss, bad = (result < 0).mean() * 100, np.quantile(mdd, .05)
+        steady = low > 0 and loss < 10 and bad > -40
+        return pd.DataFrame([(*key, sims, mid, low, high, loss, np.median(mdd), bad, "안정" if steady else "주의")],
+                            columns=[*by, *(c.split()[0] for c in BOOTSTRAP_COLUMNS.split(", "))])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", " + BOOTSTRAP_COLUMNS
+    return trades.select(*by, "return_pct").groupBy(*by).applyInPandas(walk, schema)
+
+
+def _blocks(total: int, most: int) -> Iterator[int]:
+    while total > 0:
+        yield min(total, most)
+        total -= most
 
 
 # ---- weights ------------------------------------------------------------
@@ -418,9 +377,8 @@ def lockbox_compare(curve: DataFrame, months: int = 12, value: str = "equity", b
         F.col("lockbox_sharpe") >= F.col("development_sharpe") * .5), F.lit(False)))
 
 
-def strategy_scorecard(bars: DataFrame, param: dict, min_trades: int = 1) -> DataFrame:
-    """One row per code; too few trades is a status, not a failure."""
-    trades = extract_trades(bars, [param])
+def strategy_scorecard(bars: DataFrame, trades: DataFrame, min_trades: int = 1) -> DataFrame:
+    """One row per code from its bars and a table of its trades; too few trades is a status, not a failure."""
     stats = trade_stats(trades, ["code"])
     total = trades.groupBy("code").agg(
         ((F.exp(F.sum(F.log1p(F.greatest(F.col("return_pct") / 100, F.lit(-.999999))))) - 1) * 100).alias("total_return"))
@@ -433,11 +391,7 @@ def strategy_scorecard(bars: DataFrame, param: dict, min_trades: int = 1) -> Dat
             "status": F.when(F.col("trades") < min_trades, "INSUFFICIENT_DATA").otherwise("OK")})
 
 
-# ---- capped greedy books with loss guard --------------------------------
-
-HELD_SCHEMA = ("scope string, top_fraction double, period int, feature_date string, code string, industry string, "
-               "score double, forward_return double, weight double, loss_streak int, guard_reason string")
-
+# ---- market exposure ------------------------------------------------------
 
 def market_exposure(rows: DataFrame, by: Sequence[str] = ("period", "feature_date")) -> DataFrame:
     """Exposure limit from the median regime of the cross-section.
@@ -448,57 +402,3 @@ def market_exposure(rows: DataFrame, by: Sequence[str] = ("period", "feature_dat
     regime = F.percentile(r, .5).cast("int")
     return rows.groupBy(*by).agg(regime.alias("market_regime")).withColumn(
         "market_exposure_limit", F.when(F.col("market_regime") > 0, 1.0).when(F.col("market_regime") == 0, .70).otherwise(.40))
-
-
-def guarded_book(selected: DataFrame, exposure: DataFrame, stock_cap: float = .15, industry_cap: float = .40) -> DataFrame:
-    """Greedy allocation in score order with stock, industry and exposure limits.
-
-    A security that lost twice in a row gets half the cap, after three losses
-    it sits out one rebalance; what cannot be placed stays cash. The feedback
-    across dates makes this sequential, but only a bounded part of each
-    cross-section can matter: an industry is full after industry_cap /
-    (stock_cap / 2) placements, and at most one book's worth of names is sitting
-    out. Rows beyond that rank in their industry are dropped before the groups
-    are formed - the result is unchanged and a group stays small.
-    """
-    half = stock_cap / 2
-    # full placements, one remainder per filled industry, one remainder of the exposure
-    held = int(np.ceil(1 / half)) + int(np.ceil(1 / industry_cap)) + 1
-    deep = int(np.ceil(industry_cap / half)) + held
-    w = Window.partitionBy("scope", "top_fraction", "period", "industry").orderBy("score_rank")
-    near = selected.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= deep).drop("_k")
-    near = near.join(F.broadcast(exposure.select("period", "market_exposure_limit")), "period")
-    cols = ["scope", "top_fraction", "period", "feature_date", "code", "industry", "score", "score_rank",
-            "forward_return", "market_exposure_limit"]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        streak: dict[str, int] = {}
-        resting: set[str] = set()
-        rows = []
-        for _, day in pdf.sort_values(["period", "score_rank"]).groupby("period", sort=True):
-            room: dict[str, float] = {}
-            left = min(1.0, max(0.0, float(day["market_exposure_limit"].iloc[0])))
-            placed = {}
-            for x in day.itertuples(index=False):
-                losses = streak.get(x.code, 0)
-                if losses >= 3:
-                    continue
-                weight = min(half if losses == 2 else stock_cap, room.get(x.industry, industry_cap), left)
-                if weight <= 1e-12:
-                    continue
-                room[x.industry] = room.get(x.industry, industry_cap) - weight
-                left -= weight
-                placed[x.code] = True
-                rows.append((x.scope, x.top_fraction, x.period, x.feature_date, x.code, x.industry, x.score,
-                             x.forward_return, weight, losses, "TWO_LOSSES_HALF_NEW_WEIGHT" if losses == 2 else ""))
-                streak[x.code] = losses + 1 if x.forward_return < 0 else 0
-                if streak[x.code] >= 3:
-                    resting.add(x.code)
-                if left <= 1e-12:
-                    break
-            for code in [c for c in resting if c not in placed and streak.get(c, 0) >= 3]:
-                streak[code] = 0
-                resting.discard(code)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in HELD_SCHEMA.split(", ")])
-
-    return near.select(*cols).groupBy("scope", "top_fraction").applyInPandas(walk, HELD_SCHEMA)

@@ -64,7 +64,7 @@ cte("contrib", """SELECT h.*, p.cost_pct, CASE WHEN m.bef>0 THEN 'HELD' ELSE 'NE
 def book(spark, sf):
     """Rows on rebalance days and the holdings; both are used several times, so they are written once."""
     rows = durable(pa.on_rebalance_days(predictions(spark, sf), H))
-    return rows, durable(pa.book_holdings(rows, SCOPE, bound=d.bar_bound(spark, sf)))
+    return rows, durable(pa.book_holdings(rows, SCOPE))
 
 
 # ---- splits -------------------------------------------------------------
@@ -133,19 +133,19 @@ cte("icr", """SELECT feature_date, CASE WHEN min(score)<>max(score) AND min(exce
 
 @query("daily_rank_ic", "PA1", sql(f"SELECT feature_date, {r('rank_ic')} AS rank_ic FROM icr", "icr"))
 def daily_rank_ic(spark, sf):
-    return out(pa.daily_ic(predictions(spark, sf), d.bar_bound(spark, sf)), ["feature_date"], ["rank_ic"])
+    return out(pa.daily_ic(predictions(spark, sf)), ["feature_date"], ["rank_ic"])
 
 
 @query("rank_ic_series", "PA2", sql(
     f"SELECT p.feature_date, i%{H}=0 AS non_overlapping, {r('rank_ic')} AS rank_ic FROM pday p LEFT JOIN icr c ON p.feature_date=c.feature_date",
     "pday", "icr"))
 def rank_ic_series(spark, sf):
-    return out(pa.ic_rows(predictions(spark, sf), H, d.bar_bound(spark, sf)), ["feature_date", "non_overlapping"], ["rank_ic"])
+    return out(pa.ic_rows(predictions(spark, sf), H), ["feature_date", "non_overlapping"], ["rank_ic"])
 
 
 @query("rank_ic_bootstrap", "PA3")
 def rank_ic_bootstrap(spark, sf):
-    ic = pa.ic_rows(predictions(spark, sf), H, d.bar_bound(spark, sf)).where("non_overlapping")
+    ic = pa.ic_rows(predictions(spark, sf), H).where("non_overlapping")
     return pa.bootstrap_ci(ic, "feature_date", "rank_ic")
 
 
@@ -175,7 +175,7 @@ def _rk(by):
  SELECT p.*, {_rk('p.split')}, cut FROM probs p JOIN (SELECT split, quantile_cont(probability,0.8) AS cut FROM probs GROUP BY 1) q ON p.split=q.split)
  GROUP BY 1""", "probs"))
 def classifier_metrics(spark, sf):
-    df = pa.classification_metrics(probabilities(spark, sf), ["split"], d.row_bound(spark, f"{sf}/lineitem.parquet"))
+    df = pa.classification_metrics(probabilities(spark, sf), ["split"])
     return out(df, ["split", "sample_count"], ["positive_rate", "roc_auc", "accuracy", "brier", "mean_excess_return",
                                                "top_quintile_excess_return"])
 
@@ -345,7 +345,7 @@ cte("terc", """SELECT split, feature_date, CASE WHEN k<=1+(n-1)/3.0::DOUBLE THEN
  UNION ALL SELECT p.split, 'market_volatility', t.regime, positive_excess, probability, excess_return FROM probs p JOIN terc t
  ON p.split=t.split AND p.feature_date=t.feature_date)) GROUP BY 1,2,3""", "probs", "terc"))
 def regime_breakdown(spark, sf):
-    df = pa.regime_rows(probabilities(spark, sf), d.row_bound(spark, f"{sf}/lineitem.parquet"))
+    df = pa.regime_rows(probabilities(spark, sf))
     return out(df, ["split", "dimension", "regime", "samples"], ["roc_auc", "mean_excess_return", "mean_probability"])
 
 
@@ -395,13 +395,12 @@ def point_in_time_verdict(spark, sf):
 
 @query("adoption_criteria", "PA22")
 def adoption_criteria(spark, sf):
-    n = d.bar_bound(spark, sf)
     rows, held = book(spark, sf)
     periods = pa.book_periods(rows, held)
     summary = pa.book_summary(periods)
     top20 = summary.where("top_fraction = 0.2")
     pred = predictions(spark, sf)
-    ic = pa.ic_summary(pa.ic_rows(pred, H, n))
+    ic = pa.ic_summary(pa.ic_rows(pred, H))
     fix = pa.fixation(held, periods).where("top_fraction = 0.2")
     stress = pa.outlier_stress(pa.contributions(held, periods), periods).where("top_fraction = 0.2")
     facts = (top20.join(fix.drop("scope"), "top_fraction").join(stress.drop("scope"), "top_fraction")
@@ -427,7 +426,7 @@ def adoption_criteria(spark, sf):
  FROM summ WHERE top_fraction=0.2""", "summ", "icr", "reb"))
 def champion_challenger(spark, sf):
     pred = predictions(spark, sf)
-    rows = pa.compare_scores({"all": pred}, H, d.bar_bound(spark, sf))
+    rows = pa.compare_scores({"all": pred}, H)
     return out(rows, ["scope", "independent_ic_periods"], ["universe_net_excess_return", "positive_vs_universe_rate"])
 
 

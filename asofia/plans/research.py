@@ -325,10 +325,9 @@ def label_availability(spark, sf):
  {r(pct_rank('excess_return', 'feature_date'), 6)} AS market_rank,
  {r(pct_rank('excess_return', 'feature_date,industry'), 6)} AS industry_rank FROM dataset""", "dataset"))
 def learning_targets(spark, sf):
-    n = d.bar_bound(spark, sf)
     df = lb.make_target(dataset(spark, sf), "excess_regression", "excess")
-    df = lb.make_target(df, "cross_sectional_rank", "market_rank", n)
-    df = lb.make_target(df, "industry_neutral_rank", "industry_rank", n)
+    df = lb.make_target(df, "cross_sectional_rank", "market_rank")
+    df = lb.make_target(df, "industry_neutral_rank", "industry_rank")
     return df.select("code", "feature_date", snap("excess", 4).alias("excess"),
                      snap("market_rank", 6).alias("market_rank"), snap("industry_rank", 6).alias("industry_rank"))
 
@@ -339,9 +338,8 @@ def learning_targets(spark, sf):
  {r(f"coalesce({pct_rank('per', 'substr(snapshot_date,1,6)', True)}*100,50)", 6)} AS low_score FROM valuations""", "valuations"))
 def percentile_scores(spark, sf):
     v = d.valuations(spark, sf).withColumn("month", F.substring("snapshot_date", 1, 6))
-    n = d.bar_bound(spark, sf)
-    df = rk.pct_score(v, "per", "high_score", True, ["month"], n)
-    df = rk.pct_score(df, "per", "low_score", False, ["month"], n)
+    df = rk.pct_score(v, "per", "high_score", True, ["month"])
+    df = rk.pct_score(df, "per", "low_score", False, ["month"])
     return out(df, ["code", "snapshot_date"], ["high_score", "low_score"], 6)
 
 
@@ -367,15 +365,14 @@ def _ranked_sql(by):
 
 @query("market_feature_ranks", "RK2", sql(f"SELECT code, feature_date, {_ranked_sql('feature_date')} FROM feat_snap", "feat_snap"))
 def market_feature_ranks(spark, sf):
-    df = rk.rank_features(snapped(full_features(spark, sf)), RANKED, bound=d.bar_bound(spark, sf))
+    df = rk.rank_features(snapped(full_features(spark, sf)), RANKED)
     return out(df, ["code", "feature_date"], RANKED, 6)
 
 
 @query("industry_feature_ranks", "RK2", sql(
     f"SELECT code, feature_date, industry, {_ranked_sql('feature_date,industry')} FROM feat_snap", "feat_snap"))
 def industry_feature_ranks(spark, sf):
-    df = rk.rank_features(snapped(full_features(spark, sf)), RANKED, ["feature_date", "industry"],
-                          bound=d.bar_bound(spark, sf))
+    df = rk.rank_features(snapped(full_features(spark, sf)), RANKED, ["feature_date", "industry"])
     return out(df, ["code", "feature_date", "industry"], RANKED, 6)
 
 
@@ -436,7 +433,7 @@ def universe(spark, sf):
                                 valuation.select("code", F.col("valuation_date").alias("as_of")))
     annual = annual.select("code", "net_income", "operating_cash_flow", *[snap(c, 5).alias(c) for c in A_COLS])
     return rk.rank_universe(m, valuation, annual,
-                            d.industries(spark, sf), 20_000, d.bar_bound(spark, sf))
+                            d.industries(spark, sf), 20_000)
 
 
 @query("quality_scores", "RK3 PRJ12", sql(f"SELECT code, quality_model, {r('quality_score')} AS quality_score FROM ru", "ru"))
@@ -494,7 +491,7 @@ def factor_composite(spark, sf):
 @query("score_percentiles", "RK10", sql(
     f"SELECT code, feature_date, {r('coalesce(' + pct_rank('roe', 'feature_date') + ',0.5)', 6)} AS percentile FROM feat_snap", "feat_snap"))
 def score_percentiles(spark, sf):
-    df = rk.xs_percentile(snapped(full_features(spark, sf)), "roe", "percentile", bound=d.bar_bound(spark, sf))
+    df = rk.xs_percentile(snapped(full_features(spark, sf)), "roe", "percentile")
     return out(df, ["code", "feature_date"], ["percentile"], 6)
 
 
@@ -507,7 +504,7 @@ cte("strat", STRAT, "feat_snap")
 
 def strategies(spark, sf):
     return rk.strategy_scores(snapped(full_features(spark, sf)), "roe", financial_threshold=.50, timing_threshold=.40,
-                              momentum_weight=.55, risk_weight=.15, bound=d.bar_bound(spark, sf))
+                              momentum_weight=.55, risk_weight=.15)
 
 
 @query("regime_blend", "RK11", sql(f"""SELECT code, feature_date, {r('financial_score*w+momentum_score*(1-w)', 6)} AS dynamic_score,
@@ -531,7 +528,7 @@ def strategy_entry_gate(spark, sf):
  ORDER BY relative_20 DESC) AS prediction_rank FROM features""", "features"))
 def prediction_ranks(spark, sf):
     df = ti.technical_features(d.bars(spark, sf), d.benchmark(spark, sf))
-    return rk.rank_predictions(df, "relative_20", ["feature_date"], d.bar_bound(spark, sf)).select(
+    return rk.rank_predictions(df, "relative_20", ["feature_date"]).select(
         "code", "feature_date", F.col("prediction_rank").cast("long").alias("prediction_rank"))
 
 
@@ -554,7 +551,7 @@ cte("top_rows", """SELECT * FROM (SELECT p.*, f.top_fraction, row_number() OVER
 
 
 def predictions(spark, sf):
-    df = rk.average_rank(dataset(spark, sf), "relative_20", ["feature_date"], "score", bound=d.bar_bound(spark, sf))
+    df = rk.average_rank(dataset(spark, sf), "relative_20", ["feature_date"], "score")
     return df.withColumns({"score": snap("score", 6), "forward_return": F.col("forward_return") * .02,
                            "benchmark_forward_return": F.col("benchmark_forward_return") * .02})
 
@@ -562,7 +559,7 @@ def predictions(spark, sf):
 @query("top_fraction_selection", "RK15", sql(
     "SELECT code, feature_date, top_fraction, score, score_rank FROM top_rows", "top_rows"))
 def top_fraction_selection(spark, sf):
-    return rk.top_fraction(predictions(spark, sf), bound=d.bar_bound(spark, sf)).select(
+    return rk.top_fraction(predictions(spark, sf)).select(
         "code", "feature_date", "top_fraction", "score", F.col("score_rank").cast("long").alias("score_rank"))
 
 
@@ -573,8 +570,7 @@ def latest_relative_strength(spark, sf):
     """Top ten securities by 20-bar relative return on the newest date (a top-k report)."""
     f = ti.technical_features(d.bars(spark, sf), d.benchmark(spark, sf)).select("code", "feature_date", "relative_20")
     newest = f.agg(F.max("feature_date")).scalar()
-    today = rk.average_rank(f.where(F.col("feature_date") == newest), "relative_20", [], "score",
-                            bound=d.bar_bound(spark, sf))
+    today = rk.average_rank(f.where(F.col("feature_date") == newest), "relative_20", [], "score")
     return today.orderBy(F.desc("score"), "code").limit(10).select(
         "code", "feature_date", snap("relative_20", 4).alias("relative_20"), snap("score", 6).alias("score"))
 

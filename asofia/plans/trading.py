@@ -33,11 +33,6 @@ def exit_conditions(spark, sf):
                ["atr_ratio", "trailing_width", "volatility_stop"], 6)
 
 
-@query("grid_trades", "SG3")
-def grid_trades(spark, sf):
-    return sg.extract_trades(d.bars(spark, sf))
-
-
 cte("ltrades", "SELECT code, horizon, CAST(horizon AS INTEGER) AS holding_days, forward_return AS return_pct, feature_date, label_available_at FROM labels_h", "labels_h")
 
 
@@ -83,17 +78,12 @@ def parameter_choice(spark, sf):
  avg((return_pct-5>0)::INT)*100 AS b, quantile_cont(return_pct,0.5) AS m, stddev_pop(return_pct) AS s FROM yfold GROUP BY 1)""", "yfold"))
 def sensitivity_verdict(spark, sf):
     y = _yearly_folds(spark, sf).withColumn("excess_return", F.col("return_pct") - 5)
-    return out(sg.sensitivity(y, ["industry"], d.row_bound(spark, f"{sf}/lineitem.parquet")), ["industry", "verdict"], ["positive_rate", "beat_rate", "median_return", "dispersion"])
+    return out(sg.sensitivity(y, ["industry"]), ["industry", "verdict"], ["positive_rate", "beat_rate", "median_return", "dispersion"])
 
 
 @query("trade_bootstrap", "SG8")
 def trade_bootstrap(spark, sf):
-    trades = durable(sg.extract_trades(d.bars(spark, sf), sg.default_grid()[:1]))
-    # one observation per exit month: bounded by the calendar, made from every trade
-    month = F.substring("exit_date", 1, 6)
-    monthly = trades.groupBy(month.alias("exit_date")).agg(F.avg("return_pct").alias("return_pct")).withColumn(
-        "entry_date", F.col("exit_date"))
-    return sg.trade_bootstrap(monthly, sims=500)
+    return sg.trade_bootstrap(label_trades(spark, sf), ["code", "horizon"])
 
 
 # ---- weights ------------------------------------------------------------
@@ -326,17 +316,10 @@ def lockbox_comparison(spark, sf):
 
 @query("strategy_scorecard", "SG23")
 def strategy_scorecard(spark, sf):
-    return sg.strategy_scorecard(d.bars(spark, sf), sg.default_grid()[0])
+    return sg.strategy_scorecard(d.bars(spark, sf), label_trades(spark, sf).where("horizon = 60"), 30)
 
 
 @query("market_exposure_limits", "PA9", sql("""SELECT period, market_regime, CASE WHEN market_regime>0 THEN 1.0::DOUBLE WHEN market_regime=0 THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS market_exposure_limit
  FROM (SELECT period, CAST(trunc(median(market_regime)) AS INTEGER) AS market_regime FROM preds JOIN reb USING (feature_date) GROUP BY 1)""", "preds", "reb"))
 def market_exposure_limits(spark, sf):
     return sg.market_exposure(pa.on_rebalance_days(predictions(spark, sf), H)).select("period", "market_regime", "market_exposure_limit")
-
-
-@query("guarded_book", "PA8")
-def guarded_book(spark, sf):
-    rows = durable(pa.on_rebalance_days(predictions(spark, sf), H))
-    picked = rk.top_fraction(rows, minimum=7, bound=d.bar_bound(spark, sf)).withColumn("scope", F.lit("all"))
-    return sg.guarded_book(picked, sg.market_exposure(rows))

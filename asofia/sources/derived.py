@@ -29,11 +29,6 @@ def _key(c: str) -> Column:
     return F.date_format(F.to_date(c), "yyyyMMdd")
 
 
-def bar_bound(spark: SparkSession, sf_dir: str) -> int:
-    """No (date) cross-section has more rows than there are suppliers."""
-    return row_bound(spark, f"{sf_dir}/supplier.parquet")
-
-
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     grouped = (table(spark, sf_dir, "lineitem")

@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 HEADLINE = (
     "technical_features", "forward_returns", "asof_fundamentals", "feature_label_dataset", "universe_membership",
     "market_feature_ranks", "universe_ranking", "top_fraction_selection", "book_summary", "total_return_index",
-    "grid_trades", "evidence_matching", "nearby_disclosures", "labelled_rows",
+    "evidence_matching", "nearby_disclosures", "labelled_rows",
 )
 
 

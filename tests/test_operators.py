@@ -1,5 +1,6 @@
 """Hand-computed and brute-force checks on small tables."""
 
+import math
 import random
 from datetime import date, timedelta
 
@@ -34,46 +35,50 @@ def rows(df, *order):
 
 # ---- ranks --------------------------------------------------------------
 
-@pytest.fixture()
-def tiny_buckets(monkeypatch):
-    monkeypatch.setattr(rk, "SPLIT_ROWS", 5)
-    monkeypatch.setattr(rk, "BUCKETS", 4)
-
-
 def rank_table(spark, seed=3):
+    """Groups (one of them null) whose values share cells, repeat, are missing or infinite."""
     rng = random.Random(seed)
-    data = [("g%d" % (0 if i % 3 else i % 4), "%06d" % i, rng.choice([None, float("nan"), *[rng.randint(0, 30) / 2 for _ in range(8)]]))
-            for i in range(400)]
+    values = [None, float("nan"), 0.0, -0.0, *[rng.randint(0, 30) / 2 for _ in range(8)], *[1 + k * 1e-7 for k in range(9)], -1e12, 1e-9, 2e-9]
+    data = [(None if i % 11 == 0 else "g%d" % (0 if i % 3 else i % 4), "common_prefix_%s%04d" % ("가나다라마"[i % 5], i), rng.choice(values)) for i in range(400)]
     return spark.createDataFrame(data, "grp string, code string, v double")
 
 
 @pytest.mark.parametrize("ascending", [True, False])
-def test_split_rank_equals_one_pass_and_pandas(spark, tiny_buckets, ascending):
+def test_average_rank_equals_pandas(spark, ascending):
     df = rank_table(spark)
-    one = rk.average_rank(df, "v", ["grp"], "r", ascending, bound=10)
-    split = rk.average_rank(df, "v", ["grp"], "r", ascending)
-    a, b = rows(one.select("code", "r"), "code"), rows(split.select("code", "r"), "code")
+    got = rows(rk.average_rank(df, "v", ["grp"], "r", ascending).select("code", "r"), "code")
     pdf = df.toPandas().sort_values("code")
-    want = pdf.groupby("grp")["v"].rank(pct=True, ascending=ascending)
-    assert [x[0] for x in a] == [x[0] for x in b] == list(pdf["code"])
-    for x, y, w in zip(a, b, want):
-        assert (x[1] is None) == (y[1] is None) == bool(pd.isna(w))
-        if x[1] is not None:
-            assert x[1] == pytest.approx(y[1]) == pytest.approx(w)
-
-
-def test_split_total_order_and_top_fraction(spark, tiny_buckets):
-    df = rank_table(spark).withColumn("v", nm.finite("v"))
-    one = rk.with_total_order(df, ["grp"], "v", "code", bound=10).select("code", "score_rank", "group_rows")
-    split = rk.with_total_order(df, ["grp"], "v", "code").select("code", "score_rank", "group_rows")
-    assert rows(one, "code") == rows(split, "code")
-    top = lambda bound: rows(rk.top_fraction(df, (.1, .3), ["grp"], "v", "code", bound=bound).select("code", "top_fraction", "selected_count"),
-                             "code", "top_fraction")
-    assert top(10) == top(None)
-
-
-def test_exact_quantiles_split(spark, tiny_buckets):
-    df = rank_table(spark).withColumn("v", nm.finite("v"))
+    want = pdf.groupby(pdf["grp"].fillna("none"))["v"].rank(pct=True, ascending=ascending)
+    assert [x[0] for x in got] == sorted(pdf["code"], key=str.encode)
+    for x, w in zip(got, want):
+        assert (x[1] is None) == bool(pd.isna(w))
+        assert x[1] is None or x[1] == pytest.approx(w)
+
+
+def test_rank_features_keep_groups_apart(spark):
+    df = spark.createDataFrame([("a", None, "k1", 1.0), (None, "a", "k2", 2.0), ("a", None, "k3", 3.0), (None, None, "k4", 4.0)],
+                               "x string, y string, code string, v double")
+    got = {r.code: r.v for r in rk.rank_features(df, ["v"], ["x", "y"], ["code"]).collect()}
+    assert got == {"k1": 0.5, "k2": 1.0, "k3": 1.0, "k4": 1.0}
+
+
+def test_total_order_with_ties_nulls_and_infinities(spark):
+    rng = random.Random(5)
+    scores = [None, float("-inf"), float("inf"), 1.0, 1.0 + 1e-12, 2.0]
+    data = [(None if i % 5 == 0 else "g", rng.choice(["삼성", "현대", "prefix_", "prefix_long_", ""]) + "%03d" % i, rng.choice(scores)) for i in range(300)]
+    df = spark.createDataFrame(data, "grp string, code string, v double")
+    got = {r.code: (r.score_rank, r.group_rows) for r in rk.with_total_order(df, ["grp"], "v", "code").collect()}
+    want = {}
+    for g in ("g", None):
+        own = sorted((x for x in data if x[0] == g), key=lambda x: (x[2] is None, -(x[2] or 0.0), x[1].encode()))
+        want |= {x[1]: (k + 1, len(own)) for k, x in enumerate(own)}
+    assert got == want
+    top = rk.top_fraction(df, (.1, .3), ["grp"], "v", "code").groupBy("grp", "top_fraction", "selected_count").count().collect()
+    assert len(top) == 4 and all(r["count"] == r.selected_count for r in top)
+
+
+def test_exact_quantiles(spark):
+    df = rank_table(spark).withColumn("v", nm.finite("v")).where("grp IS NOT NULL")
     got = {r["grp"]: r["q"] for r in rk.exact_quantiles(df, "v", ["grp"], {"q": .8}).collect()}
     want = df.toPandas().groupby("grp")["v"].quantile(.8).to_dict()
     assert got == pytest.approx(want)
@@ -172,57 +177,18 @@ def test_adjustment_break_factor(spark):
     assert [(x.date, x.factor) for x in r] == [(d[2], 2.0)]
 
 
-def greedy(selected, exposure, stock_cap=.15, industry_cap=.40):
-    """The whole cross-section walked in order, without any cut."""
-    streak, resting, out = {}, set(), []
-    for period in sorted(selected["period"].unique()):
-        day = selected[selected["period"] == period].sort_values("score_rank")
-        room, left, placed = {}, exposure[period], set()
-        for x in day.itertuples():
-            n = streak.get(x.code, 0)
-            if n >= 3:
-                continue
-            w = min(stock_cap * (.5 if n == 2 else 1), max(0.0, industry_cap - room.get(x.industry, 0.0)), left)
-            if w <= 1e-12:
-                continue
-            room[x.industry] = room.get(x.industry, 0.0) + w
-            left -= w
-            placed.add(x.code)
-            out.append((period, x.code, round(w, 9)))
-            streak[x.code] = n + 1 if x.forward_return < 0 else 0
-            if streak[x.code] >= 3:
-                resting.add(x.code)
-            if left <= 1e-12:
-                break
-        for c in list(resting):
-            if c not in placed and streak.get(c, 0) >= 3:
-                streak[c] = 0
-                resting.discard(c)
-    return sorted(out)
-
-
-def test_guarded_book_keeps_the_result_of_the_full_walk(spark):
-    rng = random.Random(7)
-    data = [("s", .3, p, f"d{p:02d}", "%06d" % c, "i%d" % (0 if c % 2 else c % 5), float(100 - k), k + 1, rng.uniform(-3, 1.5))
-            for p in range(12) for k, c in enumerate(rng.sample(range(120), 90))]
-    cols = "scope string, top_fraction double, period int, feature_date string, code string, industry string, score double, score_rank int, forward_return double"
-    df = spark.createDataFrame(data, cols)
-    limits = {p: (1.0, .7, .4)[p % 3] for p in range(12)}
-    exposure = spark.createDataFrame(list(limits.items()), "period int, market_exposure_limit double")
-    got = sorted((r.period, r.code, round(r.weight, 9)) for r in sg.guarded_book(df, exposure).collect())
-    assert got == greedy(df.toPandas(), limits)
-
-
-def test_trades_enter_at_next_open_and_pay_costs(spark):
-    b = bars_frame(spark, n=160, seed=11)
-    trades = sg.extract_trades(b, sg.default_grid()).collect()
-    assert trades and len(sg.default_grid()) == 32
-    opens = {(r.code, r.date): r.open for r in b.collect()}
-    for t in trades:
-        assert t.entry_price == pytest.approx(opens[t.code, t.entry_date] * (1 + sg.SLIPPAGE)) and t.exit_date >= t.entry_date
-        if t.exit_reason != "end_of_period":
-            assert t.exit_price == pytest.approx(opens[t.code, t.exit_date] * (1 - sg.SLIPPAGE))
-    assert sorted(map(tuple, sg.extract_trades(b.repartition(3)).collect())) == sorted(map(tuple, trades))
+def test_trade_bootstrap_resamples_every_trade(spark):
+    rng = random.Random(3)
+    data = [(c, rng.uniform(-4, 5)) for c in "ab" for _ in range(40)] + [("c", 2.0)] * 5 + [("d", None)]
+    df = spark.createDataFrame(data, "code string, return_pct double")
+    got = {r.code: r for r in sg.trade_bootstrap(df, ["code"], sims=4000).collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"].median_return == pytest.approx((1.02 ** 5 - 1) * 100) and got["c"].mdd_p05 == 0
+    for c in "ab":
+        logs = [math.log1p(x / 100) for k, x in data if k == c]
+        assert math.log1p(got[c].median_return / 100) == pytest.approx(sum(logs), abs=0.05)
+        assert got[c].return_p05 < got[c].median_return < got[c].return_p95
+    again = {r.code: r for r in sg.trade_bootstrap(df.repartition(3), ["code"], sims=4000).collect()}
+    assert again == got
 
 
 def test_bootstrap_is_reproducible(spark):
