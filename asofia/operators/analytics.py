@@ -85,7 +85,7 @@ def on_rebalance_days(pred: DataFrame, horizon: int) -> DataFrame:
     """Rows of every h-th date with their period number (one row per day is broadcast)."""
     days = rebalance_index(pred, horizon).where("non_overlapping").select(
         "feature_date", (F.col("day_index") / horizon).cast("int").alias("period"))
-    return pred.join(F.broadcast(days), "feature_date")
+    return pred.join(days, "feature_date")
 
 
 def moves(holdings: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def book_periods(rows: DataFrame, holdings: DataFrame, **costs: float) -> DataFr
     gross = holdings.groupBy(*BOOK, "period").agg(
         F.sum(F.col("weight") * F.col("forward_return")).alias("gross_return"),
         F.count(F.lit(1)).alias("selected_count"))
-    return (gross.join(turnover(holdings, **costs), [*BOOK, "period"]).join(F.broadcast(cross), "period")
+    return (gross.join(turnover(holdings, **costs), [*BOOK, "period"]).join(cross, "period")
             .withColumn("net_return", F.col("gross_return") - F.col("cost_pct"))
             .withColumns({"universe_excess_return": F.col("net_return") - F.col("universe_return"),
                           "etf_excess_return": F.col("net_return") - F.col("etf_return"),
@@ -172,7 +172,7 @@ def concentration(contrib: DataFrame) -> DataFrame:
     rows = contrib.groupBy(*BOOK, "code").agg(
         F.count(F.lit(1)).alias("periods_held"), F.count_if(net < 0).alias("loss_periods"),
         F.sum(net).alias("net_contribution"), F.min(net).alias("worst_period_contribution"))
-    return rows.join(F.broadcast(total), BOOK).withColumn(
+    return rows.join(total, BOOK).withColumn(
         "held_rate", F.col("periods_held") / F.col("total_periods")).withColumn(
         "warnings", F.concat_ws(" | ", F.when(F.col("held_rate") >= .80, "LONG_TERM_FIXED_HOLDING"),
                                 F.when((F.col("loss_periods") >= 2) & (F.col("net_contribution") < 0), "REPEATED_LOSS")))
@@ -195,7 +195,7 @@ def fixation(holdings: DataFrame, periods: DataFrame) -> DataFrame:
                                        F.countDistinct("period").alias("_n"))
     overlap = (moves(holdings).groupBy(*BOOK, "period")
                .agg((F.count_if((F.col("now") > 0) & (F.col("before") > 0)) / F.count(F.lit(1))).alias("j"))
-               .join(F.broadcast(last), BOOK)
+               .join(last, BOOK)
                .where((F.col("period") > F.col("_first")) & (F.col("period") <= F.col("_last"))))
     jaccard = overlap.groupBy(*BOOK).agg(F.avg("j").alias("mean_jaccard"))
     held = (holdings.groupBy(*BOOK, "code").agg(F.countDistinct("period").alias("k"))
@@ -223,7 +223,7 @@ def persistence(holdings: DataFrame, periods: DataFrame) -> DataFrame:
         F.avg("forward_return").alias("mean_forward_return"), F.avg(u).alias("mean_universe_excess"),
         F.avg(e).alias("mean_etf_excess"), F.avg((u > 0).cast("double")).alias("positive_universe_excess_rate"),
         F.avg((e > 0).cast("double")).alias("positive_etf_excess_rate"))
-    rows = rows.join(F.broadcast(n), BOOK).withColumn("held_rate", F.col("selected_periods") / F.col("total_periods"))
+    rows = rows.join(n, BOOK).withColumn("held_rate", F.col("selected_periods") / F.col("total_periods"))
     supported = ((F.col("positive_universe_excess_rate") >= .5) & (F.col("positive_etf_excess_rate") >= .5)
                  & (F.col("mean_universe_excess") > 0) & (F.col("mean_etf_excess") > 0))
     return rows.withColumn("persistent_flag", F.col("held_rate") >= .80).withColumn(
@@ -248,7 +248,7 @@ def outlier_stress(contrib: DataFrame, periods: DataFrame) -> DataFrame:
     per_code = contrib.groupBy(*BOOK, "code").agg(F.sum("weighted_net_contribution").alias("c"))
     best = per_code.groupBy(*BOOK).agg(
         F.max_by("code", F.struct("c", "code")).alias("removed_code"), F.max("c").alias("removed_contribution_pct"))
-    removed = (contrib.join(F.broadcast(best), BOOK).where(F.col("code") == F.col("removed_code"))
+    removed = (contrib.join(best, BOOK).where(F.col("code") == F.col("removed_code"))
                .groupBy(*BOOK, "period").agg(F.sum("weighted_net_contribution").alias("_gone")))
     stressed = periods.join(removed, [*BOOK, "period"], "left").withColumn(
         "stressed_net", F.col("net_return") - F.coalesce("_gone", F.lit(0.0)))
@@ -334,7 +334,7 @@ def volatility_terciles(pred: DataFrame) -> DataFrame:
 def regime_rows(pred: DataFrame) -> DataFrame:
     """Samples, AUC and means by market trend and by volatility tercile."""
     trend = pred.select("*", F.lit("market_trend").alias("dimension"), F.col("market_regime").cast("string").alias("regime"))
-    vol = pred.join(F.broadcast(volatility_terciles(pred)), ["split", "feature_date"]).withColumns({
+    vol = pred.join(volatility_terciles(pred), ["split", "feature_date"]).withColumns({
         "dimension": F.lit("market_volatility"), "regime": F.col("volatility_regime")}).drop("volatility_regime")
     keys = ["split", "dimension", "regime"]
     ranked = rank_columns(trend.unionByName(vol), "probability", keys)

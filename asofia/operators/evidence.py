@@ -317,7 +317,7 @@ def market_queue(rows: DataFrame, context: DataFrame, day: str = "record_date")
 def validate_market_exdates(rows: DataFrame, calendar: DataFrame) -> DataFrame:
     """Ex-dates must be trading days before the record date and known in time."""
     open_days = calendar.select(F.col("date").alias("ex_date"), F.lit(True).alias("_open")).distinct()
-    df = rows.join(F.broadcast(open_days), "ex_date", "left")      # one row per calendar day
+    df = rows.join(open_days, "ex_date", "left")      # one row per calendar day
     return apply_rules(df, [("not_a_trading_day", F.col("_open").isNull()), ("not_before_record", F.col("ex_date") >= F.col("record_date")),
                             ("known_after_ex", F.col("known_at") > F.col("ex_date")),
                             ("amount", ~(F.col("cash_amount") > 0))]).drop("_open")
@@ -577,19 +577,41 @@ def review_groups(rows: DataFrame, group: Sequence[str], cutoff: str) -> DataFra
         ((F.col("document_id") == "") & (F.col("documents") == 1), "COVERED_BY_GROUP_DOCUMENT")], "SUPERSEDED")).drop("_m")
 
 
+# Title words of a disclosure about another company's shares (fixed values).
+OTHER_ISSUER_WORDS = ("자회사의", "종속회사의")
+
+
 def applicability(rows: DataFrame, first_price: DataFrame, text: str = "text") -> DataFrame:
-    """Does a legal action touch the holders of the listed share at all?"""
-    t = compact(text)
+    """Does a legal action touch the holders of the listed share at all?
+
+    Only a proof excludes an action; anything unknown stays open. ``rows`` has
+    mechanic_family, source_description (the title), source_reference_date,
+    effective_date (yyyyMMdd or empty) and the document's text (null without a
+    document). Words that give holders rights outweigh words that exclude them.
+    """
+    c = F.col
+    t, title = compact(text), compact("source_description")
     df = rows.join(first_price, "code", "left")
-    m = F.col("mechanic_family")
+    has = t.contains
+    rights, reduction = c("mechanic_family") == "RIGHTS_OFFERING", c("mechanic_family") == "CAPITAL_REDUCTION"
+    restructuring = c("mechanic_family").isin("MERGER", "SPINOFF_OR_SPLIT_MERGER")
+    other_issuer = contains_any(title, OTHER_ISSUER_WORDS)
+    holders = has("주주배정") | has("주주우선공모")
+    dated = c("effective_date").rlike(r"^\d{8}$") & (c("effective_date") >= c("source_reference_date"))
+    dated = F.coalesce(dated, F.lit(False))
+    unlisted = dated & F.coalesce(c("effective_date") < c("first_price_date"), F.lit(False))
     return df.withColumn("applicability", first_reason([
-        (contains_any(t, SUBSIDIARY_WORDS), "NOT_APPLICABLE_SUBSIDIARY"),
-        (F.col("first_price_date").isNull() | (F.col("source_reference_date") < F.col("first_price_date")), "NOT_APPLICABLE_BEFORE_LISTING"),
-        ((m == "RIGHTS_OFFERING") & t.contains("제3자배정"), "NOT_APPLICABLE_THIRD_PARTY"),
-        ((m == "RIGHTS_OFFERING") & t.contains("일반공모"), "NOT_APPLICABLE_PUBLIC_OFFERING"),
-        ((m == "RIGHTS_OFFERING") & t.contains("주주배정"), "REVIEW_SHAREHOLDER_ALLOTMENT"),
-        ((m == "MERGER") & t.contains("신주를발행하지"), "NOT_APPLICABLE_NO_NEW_SHARES"),
-        ((m == "SPINOFF_OR_SPLIT_MERGER") & t.contains("물적분할"), "NOT_APPLICABLE_PHYSICAL_SPLIT")], "INCOMPLETE"))
+        (reduction & other_issuer & c(text).isNotNull() & has("감자"), "NOT_APPLICABLE_SUBSIDIARY_REDUCTION"),
+        (reduction, F.concat(F.lit("REVIEW_"), F.when(has("유상감자"), "PAID").when(has("무상감자"), "FREE").otherwise("OTHER"), F.lit("_REDUCTION"))),
+        ((rights | restructuring) & other_issuer, "NOT_APPLICABLE_SUBSIDIARY"),
+        (rights & holders, "REVIEW_SHAREHOLDER_ALLOTMENT"),
+        (rights & has("일반공모"), "NOT_APPLICABLE_PUBLIC_OFFERING"),
+        (rights & has("제3자배정"), "NOT_APPLICABLE_THIRD_PARTY"),
+        (restructuring & unlisted, "NOT_APPLICABLE_BEFORE_LISTING"),
+        (restructuring & has("무증자합병") & (has("신주를발행하지") | has("합병신주")), "NOT_APPLICABLE_NO_NEW_SHARES"),
+        ((c("mechanic_family") == "SPINOFF_OR_SPLIT_MERGER") & has("물적분할") & ~has("인적분할"), "NOT_APPLICABLE_PHYSICAL_SPLIT"),
+        (restructuring & ~dated, "EFFECTIVE_DATE_UNKNOWN"),
+        (restructuring, "REVIEW_VALUATION")], "INCOMPLETE"))
 
 
 def complex_review(rows: DataFrame) -> DataFrame:
@@ -642,11 +664,21 @@ def rule_audit(rules: DataFrame, queue: DataFrame, documents: DataFrame, disclos
         (~no_break, "PRICE_BREAK_PRESENT"), (~anchor_ok, "ANCHOR_NOT_VERIFIED")], "NOT_APPLICABLE")).drop("_title", "_text")
 
 
-def followup_link(rows: DataFrame, verified: DataFrame) -> DataFrame:
-    """A follow-up needs a verified parent of the same code and type."""
-    parents = verified.groupBy("code", "action_type").agg(F.count(F.lit(1)).alias("verified_parents"))
-    return rows.join(parents, ["code", "action_type"], "left").withColumn("link_status", F.when(
-        F.col("verified_parents") > 0, "LINKED_TO_VERIFIED_PARENT").otherwise("NO_VERIFIED_PARENT"))
+def followup_link(rows: DataFrame, verified: DataFrame, text: str = "text") -> DataFrame:
+    """A follow-up belongs to exactly one verified action of its code and type, and its document must say so.
+
+    ``rows`` carries text_all and text_any, the words that prove the kind of
+    follow-up; ``verified`` has queue_event_id of the actions.
+    """
+    t = compact(text)
+    squeezed = lambda w: F.regexp_replace(w, r"\s", "")
+    proven = F.col(text).isNotNull() & F.forall("text_all", lambda w: F.contains(t, squeezed(w))) & (
+        (F.size("text_any") <= 0) | F.exists("text_any", lambda w: F.contains(t, squeezed(w))))
+    parents = verified.groupBy("code", "action_type").agg(F.count(F.lit(1)).alias("verified_parents"), F.min("queue_event_id").alias("_parent"))
+    df = rows.join(parents, ["code", "action_type"], "left").withColumn("link_status", first_reason([
+        (~F.coalesce(proven, F.lit(False)), "DOCUMENT_TERMS_MISSING"), (F.col("verified_parents").isNull(), "NO_VERIFIED_PARENT"),
+        (F.col("verified_parents") > 1, "SEVERAL_VERIFIED_PARENTS")], "LINKED_TO_VERIFIED_PARENT"))
+    return df.withColumn("parent_id", F.when(F.col("link_status") == "LINKED_TO_VERIFIED_PARENT", F.col("_parent"))).drop("_parent")
 
 
 def ledger_checks(ledger: DataFrame, actionable: DataFrame, deferred: DataFrame, blocked: DataFrame,

@@ -120,7 +120,7 @@ def with_market(bars: DataFrame, market: DataFrame) -> DataFrame:
     ``market`` has one row per calendar day (366 a year at most), which is what
     makes the broadcast hint safe at any number of securities.
     """
-    return bars.join(F.broadcast(market), "date", "left")
+    return bars.join(market, "date", "left")
 
 
 def relative_returns(df: DataFrame, periods: Sequence[int] = (20, 60)) -> DataFrame:

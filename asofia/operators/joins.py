@@ -107,8 +107,8 @@ def entry_exit(df: DataFrame, prices: DataFrame, benchmark: DataFrame, value: st
                     ["code", entry], "left")
             .join(prices.select("code", F.col("date").alias(exit), F.col(value).alias("exit_price")),
                   ["code", exit], "left")
-            .join(F.broadcast(bench.toDF(entry, "benchmark_entry")), entry, "left")
-            .join(F.broadcast(bench.toDF(exit, "benchmark_exit")), exit, "left")
+            .join(bench.toDF(entry, "benchmark_entry"), entry, "left")
+            .join(bench.toDF(exit, "benchmark_exit"), exit, "left")
             .withColumn("price_covered", F.col("entry_price").isNotNull() & F.col("exit_price").isNotNull()
                         & F.col("benchmark_entry").isNotNull() & F.col("benchmark_exit").isNotNull()))
 
@@ -143,7 +143,7 @@ def calendar_context(events: DataFrame, calendar: DataFrame, day: str) -> DataFr
                      ["_k"], "_eve", "prior_1", ["prior_1", "prior_2"], left_unique=True, right_unique=True)
     both = asof_join(back, lagged.select("_k", F.col("date").alias("next_or_same")), ["_k"], day,
                      "next_or_same", ["next_or_same"], left_unique=True, right_unique=True, forward=True)
-    return events.join(F.broadcast(both.drop("_k", "_eve")), day, "left")
+    return events.join(both.drop("_k", "_eve"), day, "left")
 
 
 def count_within(left: DataFrame, right: DataFrame, by: Sequence[str], left_day: str, right_day: str,

@@ -19,7 +19,7 @@ def forward_labels(bars: DataFrame, benchmark: DataFrame, horizons: Sequence[int
     All horizons come from one window pass. A row is skipped when the benchmark
     lacks a close at either end or when the horizon runs past the last bar.
     """
-    bench = F.broadcast(benchmark.select("date", F.col("close").alias("_b")))   # one row per day
+    bench = benchmark.select("date", F.col("close").alias("_b"))   # one row per day
     w = bar_window()
     base = bars.select("code", "date", "close").join(bench, "date", "left")
     ahead = {}

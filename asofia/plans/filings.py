@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from asofia.operators import documents as dx, evidence as ev, joins as jn
 from asofia.plans.events import disclosure_queue
 from asofia.plans.registry import query
-from asofia.plans.sqlbase import sql
+from asofia.plans.sqlbase import cte, sql
 from asofia.sources import derived as d
 from asofia.sources.session import spread
 
@@ -58,19 +58,45 @@ def official_fact_reconciliation(spark, sf):
     return ev.reconcile_facts(q, facts).join(paired, "queue_event_id").select("queue_event_id", "reconciliation", "pair_valid")
 
 
-TEXTS = ("당사는 제3자 배정 방식", "일반 공모 방식", "주주 배정 후 실권주", "합병 신주를 발행하지 않음", "물적 분할", "종속회사의 주요경영사항")
+# Documents with one kind of words, with conflicting ones and with none; null is a missing document.
+TEXTS = ("제3자 배정 방식", "일반 공모 방식", "제3자 배정 및 주주 배정", "일반 공모 후 주주 우선 공모", "신주를 발행하지 않음", "무증자 합병, 신주를 발행하지 않음",
+         "물적 분할", "물적 분할 및 인적 분할", "유상 감자", "무상 감자 후 합병 신주", None)
+MECHANICS = ("RIGHTS_OFFERING", "MERGER", "SPINOFF_OR_SPLIT_MERGER", "CAPITAL_REDUCTION", "BONUS_ISSUE")
+TITLES = ("주요사항보고서", "자회사의 주요경영사항", "종속회사의 결정")
 
 
-@query("action_applicability", "EV42", sql("""SELECT queue_event_id, CASE WHEN order_key%6=5 THEN 'NOT_APPLICABLE_SUBSIDIARY' WHEN source_reference_date<'19940101' THEN 'NOT_APPLICABLE_BEFORE_LISTING'
- ELSE CASE order_key%6 WHEN 0 THEN 'NOT_APPLICABLE_THIRD_PARTY' WHEN 1 THEN 'NOT_APPLICABLE_PUBLIC_OFFERING' WHEN 2 THEN 'REVIEW_SHAREHOLDER_ALLOTMENT' WHEN 3 THEN 'NOT_APPLICABLE_NO_NEW_SHARES'
- ELSE 'NOT_APPLICABLE_PHYSICAL_SPLIT' END END AS applicability FROM dq""", "dq"))
+def applicability_rows(spark, sf):
+    """Every mix of text, mechanic, title and effective date occurs over the orders."""
+    k = F.col("order_key")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(k / n) % len(values) + 1).cast("int"))
+    day = F.to_date("source_reference_date", "yyyyMMdd")
+    return disclosure_queue(spark, sf).withColumns({
+        "text": pick(TEXTS, 1), "mechanic_family": pick(MECHANICS, 11), "source_description": F.when(k % 7 > 1, TITLES[0]).otherwise(pick(TITLES, 1)),
+        "effective_date": F.when(k % 13 == 0, "").when(k % 13 == 1, F.date_format(F.date_add(day, -3), "yyyyMMdd")).otherwise(F.date_format(F.date_add(day, 20), "yyyyMMdd"))})
+
+
+_list = lambda values: "[" + ",".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+cte("appl", f"""SELECT queue_event_id, code, source_reference_date AS ref, {_list(TEXTS)}[order_key%11+1] AS doc, replace(coalesce({_list(TEXTS)}[order_key%11+1],''),' ','') AS t,
+ {_list(MECHANICS)}[(order_key//11)%5+1] AS m, CASE WHEN order_key%7>1 THEN '{TITLES[0]}' ELSE {_list(TITLES)}[order_key%3+1] END AS title,
+ CASE WHEN order_key%13=0 THEN '' WHEN order_key%13=1 THEN strftime(strptime(source_reference_date,'%Y%m%d')-INTERVAL 3 DAY,'%Y%m%d')
+ ELSE strftime(strptime(source_reference_date,'%Y%m%d')+INTERVAL 20 DAY,'%Y%m%d') END AS eff,
+ CASE WHEN CAST(code AS INTEGER)%4<>0 THEN '19940101' END AS listed FROM dq""", "dq")
+
+
+@query("action_applicability", "EV42", sql("""SELECT queue_event_id, CASE
+ WHEN m='CAPITAL_REDUCTION' THEN CASE WHEN (title LIKE '자회사의%' OR title LIKE '종속회사의%') AND doc IS NOT NULL AND t LIKE '%감자%' THEN 'NOT_APPLICABLE_SUBSIDIARY_REDUCTION'
+  WHEN t LIKE '%유상감자%' THEN 'REVIEW_PAID_REDUCTION' WHEN t LIKE '%무상감자%' THEN 'REVIEW_FREE_REDUCTION' ELSE 'REVIEW_OTHER_REDUCTION' END
+ WHEN m='BONUS_ISSUE' THEN 'INCOMPLETE'
+ WHEN title LIKE '자회사의%' OR title LIKE '종속회사의%' THEN 'NOT_APPLICABLE_SUBSIDIARY'
+ WHEN m='RIGHTS_OFFERING' THEN CASE WHEN t LIKE '%주주배정%' OR t LIKE '%주주우선공모%' THEN 'REVIEW_SHAREHOLDER_ALLOTMENT' WHEN t LIKE '%일반공모%' THEN 'NOT_APPLICABLE_PUBLIC_OFFERING'
+  WHEN t LIKE '%제3자배정%' THEN 'NOT_APPLICABLE_THIRD_PARTY' ELSE 'INCOMPLETE' END
+ WHEN eff<>'' AND eff>=ref AND listed IS NOT NULL AND eff<listed THEN 'NOT_APPLICABLE_BEFORE_LISTING'
+ WHEN t LIKE '%무증자합병%' AND (t LIKE '%신주를발행하지%' OR t LIKE '%합병신주%') THEN 'NOT_APPLICABLE_NO_NEW_SHARES'
+ WHEN m='SPINOFF_OR_SPLIT_MERGER' AND t LIKE '%물적분할%' AND t NOT LIKE '%인적분할%' THEN 'NOT_APPLICABLE_PHYSICAL_SPLIT'
+ WHEN eff='' OR eff<ref THEN 'EFFECTIVE_DATE_UNKNOWN' ELSE 'REVIEW_VALUATION' END AS applicability FROM appl""", "appl"))
 def action_applicability(spark, sf):
-    k = F.col("order_key") % 6
-    rows = disclosure_queue(spark, sf).withColumns({
-        "text": F.element_at(F.array(*[F.lit(t) for t in TEXTS]), (k + 1).cast("int")),
-        "mechanic_family": F.when(k <= 2, "RIGHTS_OFFERING").when(k == 3, "MERGER").otherwise("SPINOFF_OR_SPLIT_MERGER")})
-    first = d.industries(spark, sf).select("code", F.lit("19940101").alias("first_price_date"))
-    return ev.applicability(rows, first).select("queue_event_id", "applicability")
+    first = d.industries(spark, sf).select("code", F.lit("19940101").alias("first_price_date")).where(F.col("code").cast("int") % 4 != 0)
+    return ev.applicability(applicability_rows(spark, sf), first).select("queue_event_id", "applicability")
 
 
 @query("complex_action_review", "EV43", sql("""SELECT queue_event_id, CASE WHEN order_key%2=0 THEN 'VALUATION_REQUIRED' WHEN order_key%3=0 THEN 'NOT_APPLICABLE_ZERO_RATIO_MERGER'
@@ -110,12 +136,20 @@ def rule_driven_audit(spark, sf):
     return ev.rule_audit(rules, q, docs, d.disclosures(spark, sf)).select("queue_event_id", "audit_result")
 
 
-@query("followup_linkage", "EV46", sql("""SELECT queue_event_id, coalesce(p.n,0)>0 AS linked FROM dq q LEFT JOIN (
- SELECT code, order_key%6 AS t, count(*) AS n FROM dq WHERE order_key%90=0 GROUP BY 1,2) p ON p.code=q.code AND p.t=q.order_key%6""", "dq"))
+FOLLOWUP_TEXTS = ("유상증자 청약 결과", "유상증자 발행 결과", "유상증자 결정", "청약 결과", None)
+
+
+@query("followup_linkage", "EV46", sql(f"""SELECT queue_event_id, CASE WHEN order_key%5 NOT IN (0,1) THEN 'DOCUMENT_TERMS_MISSING' WHEN p.n IS NULL THEN 'NO_VERIFIED_PARENT'
+ WHEN p.n>1 THEN 'SEVERAL_VERIFIED_PARENTS' ELSE 'LINKED_TO_VERIFIED_PARENT' END AS link_status, CASE WHEN order_key%5 IN (0,1) AND p.n=1 THEN p.id END AS parent_id
+ FROM dq q LEFT JOIN (SELECT code, order_key%997 AS t, count(*) AS n, min(queue_event_id) AS id FROM dq GROUP BY 1,2) p ON p.code=q.code AND p.t=(q.order_key+2)%997""", "dq"))
 def followup_linkage(spark, sf):
-    q = disclosure_queue(spark, sf).withColumn("action_type", F.col("order_key") % 6)
-    return ev.followup_link(q, q.where("order_key % 90 = 0")).select(
-        "queue_event_id", (F.col("link_status") == "LINKED_TO_VERIFIED_PARENT").alias("linked"))
+    q = disclosure_queue(spark, sf)
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    rows = q.withColumns({"action_type": (F.col("order_key") + 2) % 997, "text_all": words("유상증자"), "text_any": words("청약 결과", "발행 결과"),
+                          "text": F.element_at(F.array(*[F.lit(t) for t in FOLLOWUP_TEXTS]), (F.col("order_key") % 5 + 1).cast("int"))})
+    verified = q.select("code", "queue_event_id", (F.col("order_key") % 997).alias("action_type"))
+    return ev.followup_link(rows, verified).select("queue_event_id", "link_status", "parent_id")
+
 
 
 # ---- documents ----------------------------------------------------------

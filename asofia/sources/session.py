@@ -1,24 +1,26 @@
-"""Session helpers: durable cut points of a lineage, row bounds, broadcasts."""
+"""Session helpers: durable cut points of a lineage, row bounds."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# A side of at most this many rows may be broadcast (about 10 MB of keys and doubles).
-BROADCAST_ROWS = 100_000
-
+from pyspark.sql import DataFrame, SparkSession
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder if it names one; a new folder only where unset."""
+    """The shared folder that spark.checkpoint.dir names.
+
+    A folder of its own machine would be lost to the other executors, so only a
+    local session, where all are one process, gets a new one where unset.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(folder)
     return folder
@@ -36,22 +38,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 def row_bound(spark: SparkSession, *paths: str) -> int:
     """Number of rows of the given Parquet tables, read from their footers.
-
-    No group derived from these tables can be larger, so it is a cheap upper
-    bound for choosing between the one-pass and the split form of an operator.
     """
     return sum(spark.read.parquet(p).count() for p in paths)
 
 
-def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a count shows that the side is small.
-
-    Meant for durable or already tiny frames. Beyond the limit the frame is
-    returned without a hint and the join shuffles (AQE splits skewed keys).
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute a scan that has fewer partitions than the cluster has cores.
 

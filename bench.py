@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.host", "127.0.0.1").config("spark.driver.bindAddress", "127.0.0.1")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())

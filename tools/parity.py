@@ -10,6 +10,7 @@ import math
 import os
 import re
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -23,7 +24,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def local_session(cpus: int = 8) -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("parity")
-             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+             .config("spark.sql.shuffle.partitions", "8").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+             .config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.bindAddress", "127.0.0.1")
              .config("spark.driver.host", "127.0.0.1").config("spark.ui.showConsoleProgress", "false").getOrCreate())
