@@ -83,9 +83,9 @@ def receipt_or_only_candidate(spark, sf):
         "queue_event_id", "rcept_no", "match_basis")
 
 
-@query("names_in_documents", "J14", """SELECT DISTINCT d.doc_id, p.p_name FROM documents d JOIN (SELECT DISTINCT left(text, 12) AS p_name FROM benchmark) p ON contains(d.text, p.p_name)""")
+@query("names_in_documents", "J14", """SELECT DISTINCT d.doc_id, p.text AS p_name FROM documents d JOIN benchmark p ON contains(d.text, p.text)""")
 def names_in_documents(spark, sf):
-    names = d.table(spark, sf, "benchmark").select(F.substring("text", 1, 12).alias("p_name"))
+    names = d.table(spark, sf, "benchmark").select(F.col("text").alias("p_name")).distinct()
     return dx.names_in_text(names, spread(d.table(spark, sf, "documents").select("doc_id", "text")), "p_name", "doc_id", "text")
 
 
