@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -156,12 +157,27 @@ def contains_mechanic(text: Column | str, families: dict[str, Sequence[str]]) ->
 
 
 def json_fields(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """Leaf path and value of JSON records (two levels), with date-like and amount-like marks."""
-    top = df.select(key, F.explode(F.from_json(_c(payload), "map<string,string>")).alias("path", "value"))
-    inner = top.where(F.col("value").startswith("{")).select(
-        key, F.col("path").alias("_p"), F.explode(F.from_json("value", "map<string,string>")).alias("_k", "value"))
-    flat = top.where(~F.col("value").startswith("{")).unionByName(
-        inner.select(key, F.concat_ws(".", "_p", "_k").alias("path"), "value"))
+    """Path and value of every leaf of JSON records, with date-like and amount-like marks.
+
+    Objects and arrays of any depth are walked, one level for each round; array
+    members have their position in the path. A record that is one scalar has an
+    empty path; a null record or one that is not JSON has no row; a JSON null is
+    a leaf without value; an empty object or array has no leaf.
+    """
+    explode = df.sparkSession.tvf.variant_explode
+    container = lambda c: F.schema_of_variant(c).rlike("^(OBJECT|ARRAY)")
+    level = df.select(F.col(key).alias("_key"), F.lit("").alias("path"), F.try_parse_json(_c(payload)).alias("_v")).where("_v IS NOT NULL")
+    leaves = []
+    while True:
+        leaves.append(level.where(~container(F.col("_v"))))
+        level = level.where(container(F.col("_v")))
+        if level.isEmpty():
+            break
+        inner = level.lateralJoin(explode(F.col("_v").outer()))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(
+            F.col("path") == "", F.col("key")).otherwise(F.concat(F.lit("."), F.col("key")))
+        level = inner.select("_key", F.concat("path", step).alias("path"), F.col("value").alias("_v"))
+    flat = reduce(DataFrame.unionByName, leaves).select(F.col("_key").alias(key), "path", F.col("_v").cast("string").alias("value"))
     digits = F.regexp_replace("value", r"[-./]", "")
     return flat.withColumns({"date_like": digits.rlike(r"^(19|20)[0-9]{6}$"), "amount_like": clean_number("value").isNotNull()})
 

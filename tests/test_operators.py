@@ -313,3 +313,11 @@ def test_book_tables_hold_one_portfolio(spark, folder):
     tables = ig.book_tables({"ranking": df, "positions": df.where("v = 2")}, "p")
     ig.write_report(tables["ranking"], f"{folder}/ranking")
     assert spark.read.parquet(f"{folder}/ranking").count() == 1 and tables["positions"].count() == 0
+
+
+def test_json_walk_reaches_every_leaf(spark):
+    from asofia.operators import documents as dx
+    data = [(1, '{"a":{"b":{"c":"2024-01-02","n":null}},"l":[{"x":1},2,[]],"e":{}}'), (2, '[1,{"k":"v"}]'), (3, "bad{"), (4, None), (5, '"lone"')]
+    got = {(r.k, r.path, r.value, r.date_like) for r in dx.json_fields(spark.createDataFrame(data, "k long, p string"), "k", "p").collect()}
+    assert got == {(1, "a.b.c", "2024-01-02", True), (1, "a.b.n", None, None), (1, "l[0].x", "1", False), (1, "l[1]", "2", False), (2, "[0]", "1", False),
+                   (2, "[1].k", "v", False), (5, "", "lone", False)}
