@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from asofia.functions.windows import bar_window, full_mean, running
 from asofia.operators import analytics as pa, indicators as ti
 from asofia.operators.ranks import exact_quantiles
+from asofia.sources.session import durable
 
 # The default walk-forward grid.
 GRID_AXES = {"fast": (10, 20), "slow": (60, 120), "rsi_min": (40, 45), "rsi_max": (68,),
@@ -61,10 +62,6 @@ def exit_flags(bars: DataFrame, fast: int = 20, slow: int = 60, stop_loss: float
         "volatility_stop": -F.greatest(F.lit(abs(stop_loss)), F.least(F.lit(.15), ratio * 2))})
 
 
-TRADE_SCHEMA = ("code string, param_id int, entry_date string, exit_date string, entry_price double, "
-                "exit_price double, return_pct double, holding_days int, exit_reason string")
-
-
 def trade_stats(trades: DataFrame, by: Sequence[str]) -> DataFrame:
     """Win rate, profit factor (infinite without losses), mean holding, count."""
     r = F.col("return_pct")
@@ -176,15 +173,21 @@ def inverse_risk(df: DataFrame, core_budget: Column, tactical_budget: Column, by
 
 def cap_weights(df: DataFrame, raw: str, stock_cap: float, sector_cap: float, total: Column,
                 by: Sequence[str] = ("date",), rounds: int = 4) -> DataFrame:
-    """Normalise to the total, then alternately clip stocks and scale sectors."""
-    df = share_of_group(df, F.greatest(F.coalesce(F.col(raw), F.lit(0.0)), F.lit(0.0)), by, total, "weight")
-    keys = [*by, "industry"]
+    """Normalise to the total, then alternately clip stocks and scale sectors; (code, by) is unique.
+
+    A round needs the sum of each sector, taken over all rows by partial
+    aggregation, and the row again. Rounds work on the key columns alone and
+    each is written once, so the plan does not grow with their number.
+    """
+    row, keys = ["code", *by], [*by, "industry"]
+    start = df.withColumn("_raw", F.greatest(F.coalesce(F.col(raw), F.lit(0.0)), F.lit(0.0)))
+    narrow = durable(share_of_group(start, F.col("_raw"), by, total, "weight").select(*row, "industry", "weight"))
     for _ in range(rounds):
-        df = df.withColumn("weight", F.least(F.col("weight"), F.lit(stock_cap)))
-        sector = df.groupBy(*keys).agg(F.sum("weight").alias("_s"))
-        df = df.join(sector, keys).withColumn("weight", F.when(
-            F.col("_s") > sector_cap, F.col("weight") * (F.lit(sector_cap) / F.col("_s"))).otherwise(F.col("weight"))).drop("_s")
-    return df
+        clipped = narrow.withColumn("weight", F.least(F.col("weight"), F.lit(stock_cap)))
+        sector = clipped.groupBy(*keys).agg(F.sum("weight").alias("_s"))
+        narrow = durable(clipped.join(sector, keys).select(*row, "industry", F.when(
+            F.col("_s") > sector_cap, F.col("weight") * (F.lit(sector_cap) / F.col("_s"))).otherwise(F.col("weight")).alias("weight")))
+    return df.drop("weight").join(narrow.select(*row, "weight"), row)
 
 
 def rebalance_dates(bars: DataFrame, freq: str = "monthly") -> DataFrame:
