@@ -3,16 +3,17 @@
 1. One map gives every document the hash of its shingle set, a MinHash
    signature and its band keys. Documents with equal sets form a class; only
    one representative of each class goes on.
-2. Every bucket links its members to its smallest one: as many pairs as rows,
-   however large the bucket. Pairs are compared on growing parts of the
-   signatures and dropped once the posterior probability of the similarity
-   bound is below MISS; survivors are confirmed on their full sets. This joins
-   nearly all copies of a text.
+2. Every bucket links its members to its center: as many pairs as rows, however
+   large the bucket. The center is the member with the most bucket mates over
+   all bands; among copies with edits that is the text they were made from.
+   Pairs are compared on growing parts of the signatures and dropped once the
+   posterior probability of the similarity bound is below MISS; survivors are
+   confirmed on their full sets. This joins nearly all copies of a text.
 3. Buckets that still hold more than one component are compared across
    components only, in blocks of bounded size; a pair is looked at in the first
    band that it shares. Survivors are confirmed on full sets as well. So every
    candidate pair that could join two components is decided, and no link is lost
-   by the choice of the smallest member in step 2.
+   by the choice of the center in step 2.
 4. Components come from alternating star contractions of the confirmed links.
 
 A link is missed if all bands differ (probability below 1e-5 at similarity 0.8)
@@ -43,7 +44,7 @@ HASHES = 128            # the bands use the first BANDS * ROWS
 STEPS = (32, 64, 96, 128)
 MISS = 1e-5
 BLOCK = 1_024           # members of a bucket that meet in one group
-MOST_WORDS = 1_000_000  # distinct words that a worker keeps
+MOST_WORDS = 500_000  # distinct words that a worker keeps
 
 FEATURES = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
 _RNG = np.random.default_rng(20240711)
@@ -248,7 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = base.stored(f.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "bands")).alias("x"))
                           .select("set_key", F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.signature", "x.bands"))
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = base.stored(banded.join(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("center")).where("size > 1"), "band"))
+    shared = base.stored(banded.join(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band"))
     members = shared.select("rep").distinct()
 
     def make(part: pa.RecordBatch) -> dict:
@@ -257,8 +258,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     texts = docs.select("doc_id", "text").join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = base.stored(base.map_rows(texts, make, "rep long, shingles binary"))
 
-    star = plausible(shared.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), classes, percent)
-    links = base.stored(confirmed(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
+    mates = shared.groupBy("rep").agg(F.sum("size").alias("mates"))
+    centers = shared.join(mates, "rep").groupBy("band").agg(F.max(F.struct("mates", -F.col("rep"))).alias("_m")).select("band", (-F.col("_m.col2")).alias("center"))
+    star = plausible(shared.join(centers, "band").where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), classes, percent)
+    first = star.join(mates.withColumnRenamed("rep", "a"), "a").groupBy("b").agg(F.max(F.struct("mates", "a")).alias("_m")).select(F.col("_m.a").alias("a"), "b")
+    links = base.stored(confirmed(first, sets, percent))
     found = base.stored(components(links))
 
     rows = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "size", F.coalesce("component", "rep").alias("comp"))
