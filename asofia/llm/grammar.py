@@ -52,6 +52,7 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, first_rule: int, rounds: int
         if len(s) < 2:
             break
         slot = ((s[:-1] * np.uint32(0x9E3779B1)) ^ (s[1:] * np.uint32(0x85EBCA77) + np.uint32(0x27D4EB2F))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - COUNTERS)
+        slot = slot.astype(np.int64)   # index and counter type of what follows
         slot[last[:-1]] = nothing
         counts = np.bincount(slot, minlength=nothing + 1)
         counts[nothing] = 0
