@@ -143,6 +143,8 @@ def fit_in_task(rows: DataFrame, fit: Callable[[list[dict]], object]):
     import pickle
 
     def run(batches):
+        from asofia.llm import units
+        units.forget()
         found = [r for b in batches for r in b.to_pylist()]
         found.sort(key=lambda r: (r["doc_id"], repr(sorted(r.items()))))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found))], pa.binary())], names=["model"])

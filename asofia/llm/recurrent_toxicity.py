@@ -39,7 +39,7 @@ PROJECTION = 6
 WIDTH = 4 + 2 * PROJECTION
 HIDDEN = 8
 ROUNDS, EPOCHS, BATCH, RATE = 2, 4, 128, 0.01
-MOST_WORDS = 400_000    # distinct words that a worker keeps
+MOST_WORDS = 250_000    # distinct words that a worker keeps
 EDGE = ".,;:!?\"'()[]{}<>#*$%&|-_"
 
 
@@ -69,15 +69,9 @@ class Lexicon:
         self.trigrams = np.zeros((2, 1 << TRIGRAM_BITS))
         self.texts = np.zeros(2)
 
-    def add(self, words: set[str], y: int, known: dict) -> None:
-        w, t = set(), set()
-        for x in words:
-            if x not in known:
-                known[x] = hashes(x)
-            w.add(known[x][0])
-            t.update(known[x][1])
-        self.words[y, list(w)] += 1
-        self.trigrams[y, list(t)] += 1
+    def add(self, words: list[int], trigrams: list[int], y: int) -> None:
+        self.words[y, words] += 1
+        self.trigrams[y, trigrams] += 1
         self.texts[y] += 1
 
     def minus(self, other: "Lexicon") -> "Lexicon":
@@ -95,6 +89,8 @@ class Odds:
 
     def features(self, words: list[str]) -> np.ndarray:
         """Input of each word; the empty word has zeros."""
+        if len(words) > 8_192:   # keeps what is held for a call small
+            return np.concatenate([self.features(words[k:k + 8_192]) for k in range(0, len(words), 8_192)])
         x = np.zeros((len(words), WIDTH), np.float32)
         if not words:
             return x
@@ -304,13 +300,15 @@ def fit(texts: list, labels: list, seed: int = 11) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(None, None, float(y[0]) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    token = [[word_of(w) for w in (t or "").split()] for t in texts]
+    words_of: dict = {}       # one object for each word
+    token = [[words_of.get(w) or words_of.setdefault(w, word_of(w)) for w in (t or "").split()] for t in texts]
     half = np.arange(len(y)) % 2     # the odds that a training text sees come from the other half
-    known: dict = {}
     both, parts = Lexicon(), [Lexicon(), Lexicon()]
     for words, k, side in zip(token, y, half):
-        both.add(set(words), k, known)
-        parts[side].add(set(words), k, known)
+        found = [hashes(w) for w in set(words)]
+        buckets = list({f[0] for f in found}), list({t for f in found for t in f[1]})
+        both.add(*buckets, k)
+        parts[side].add(*buckets, k)
     odds = [both.minus(parts[0]).settle(), both.minus(parts[1]).settle()]
     n = np.array(list(map(len, token)))
     where, count = windows(n)
