@@ -39,7 +39,7 @@ PROJECTION = 6
 WIDTH = 4 + 2 * PROJECTION
 HIDDEN = 8
 ROUNDS, EPOCHS, BATCH, RATE = 2, 4, 128, 0.01
-MOST_WORDS = 250_000    # distinct words that a worker keeps
+MOST_WORDS = 150_000    # distinct words that a worker keeps
 EDGE = ".,;:!?\"'()[]{}<>#*$%&|-_"
 
 

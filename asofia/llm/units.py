@@ -11,6 +11,8 @@ if it has none.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 from itertools import chain
@@ -22,7 +24,7 @@ INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 BEFORE_SPACE = re.compile(r" (?:\s|\Z)")   # the same without its first character: rare, and found faster
 AFTER_WORD = re.compile(r"(?<=\S)(?= )")
 # Distinct units that a worker keeps; beyond that, those that were met only once go.
-MOST_UNITS = 700_000
+MOST_UNITS = 400_000
 
 
 def keys_of(text: str) -> list:
@@ -131,8 +133,13 @@ _MADE: dict = {}
 
 
 def forget() -> None:
-    """Free what the worker keeps."""
-    _MADE.clear()
+    """Free what the worker keeps, and hand the memory back where the C library can."""
+    if _MADE:
+        _MADE.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 def once(kind, *args):
