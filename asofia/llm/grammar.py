@@ -129,8 +129,8 @@ def decode_range(symbols, rules, rule_lens, first_rule: int, start: int, stop: i
 
 # ---- files ---------------------------------------------------------------
 
-def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids: int) -> Iterator[dict]:
-    tokens = units.once(units.TokenIds, path)
+def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids: int, whole_added: bool) -> Iterator[dict]:
+    tokens = units.once(units.TokenIds, path, whole_added)
     first_rule = max(tokens.tokenizer.get_vocab_size(), end_id + 1)
     before = 0
     doc_ids, parts, lens, held = [], [], [], 0
@@ -160,8 +160,8 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids
         yield shard()
 
 
-def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
-    """Encode docs (doc_id, text) in ascending order and write the shard files."""
+def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard_ids: int = SHARD_IDS, whole_added: bool = False) -> None:
+    """Encode docs (doc_id, text) in ascending order and write the shard files; `whole_added` as in TokenIds."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -170,7 +170,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard
     wanted = to_arrow_schema(StructType.fromDDL(SHARDS))
 
     def run(batches):
-        for row in _shards(batches, path, end_id, shard_ids):
+        for row in _shards(batches, path, end_id, shard_ids, whole_added):
             yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in wanted], schema=wanted)
 
     base.map_batches(ordered, run, SHARDS).write.parquet(folder)
@@ -207,6 +207,6 @@ def _documents(spark: SparkSession, folder: str, schema: str, columns) -> DataFr
 def op5_grammar(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
     folder = base.shared_folder(spark)
-    write_shards(base.table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    write_shards(base.table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), whole_added=True)
     return _documents(spark, folder, "doc_id long, start long, n_tokens long, ids_crc32 long",
                       lambda doc_ids, starts, pieces: [doc_ids, starts, list(map(len, pieces)), [zlib.crc32(p.astype("<u4").tobytes()) for p in pieces]])

@@ -135,10 +135,10 @@ class Places:
 
 # ---- Spark ---------------------------------------------------------------
 
-def cut(docs: DataFrame, path: str, end_id: int, size: int = SEQUENCE, step: int = STEP) -> DataFrame:
+def cut(docs: DataFrame, path: str, end_id: int, size: int = SEQUENCE, step: int = STEP, whole_added: bool = False) -> DataFrame:
     """Pieces of every document: full ones from its start, then the remainder."""
     def make(part: pa.RecordBatch) -> dict:
-        ids, n = units.once(units.TokenIds, path).encode(part.column("text").to_pylist())
+        ids, n = units.once(units.TokenIds, path, whole_added).encode(part.column("text").to_pylist())
         ids = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
         n = n + 1
         pieces = (n + size - 1) // size
@@ -155,10 +155,10 @@ def cut(docs: DataFrame, path: str, end_id: int, size: int = SEQUENCE, step: int
     return base.map_rows(base.dealt(docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))), make, PIECES)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = SEQUENCE, step: int = STEP) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
+def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = SEQUENCE, step: int = STEP, whole_added: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece; `whole_added` as in TokenIds."""
     room = size // step
-    pieces = base.stored(cut(docs, path, end_id, size, step))
+    pieces = base.stored(cut(docs, path, end_id, size, step, whole_added))
     histogram = np.zeros(room, np.int64)
     for r in pieces.groupBy("class").count().collect():   # at most `room` rows
         histogram[r["class"] - 1] = r["count"]
@@ -195,13 +195,14 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = SEQUENCE, step
                          F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"))
 
 
-def sequences(docs: DataFrame, packed: DataFrame, path: str, end_id: int = 1, pad_id: int = 0, size: int = SEQUENCE) -> DataFrame:
+def sequences(docs: DataFrame, packed: DataFrame, path: str, end_id: int = 1, pad_id: int = 0, size: int = SEQUENCE,
+              whole_added: bool = False) -> DataFrame:
     """sequence_id, ids: the padded sequences themselves; a length that is a power of two is not padded.
 
     For documents with unique ids.
     """
     def make(part: pa.RecordBatch) -> dict:
-        tokens = units.once(units.TokenIds, path)
+        tokens = units.once(units.TokenIds, path, whole_added)
         out = []
         for t in part.column("text").to_pylist():
             out.append(np.r_[tokens.encode([t])[0], end_id].astype(np.int32))
@@ -216,4 +217,4 @@ def sequences(docs: DataFrame, packed: DataFrame, path: str, end_id: int = 1, pa
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    return pack(base.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(base.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), whole_added=True)

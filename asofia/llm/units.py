@@ -54,13 +54,21 @@ class Numbering(dict):
 
 
 class TokenIds:
-    """Token ids of texts by the tokenizers library, each distinct unit encoded once."""
+    """Token ids of texts by the tokenizers library, each distinct unit encoded once.
 
-    def __init__(self, path: str) -> None:
+    With `whole_added` a text that holds an added token of the vocabulary
+    (<|endoftext|>) gets its one id, as the library does by default; without,
+    it is spelled out like any other text.
+    """
+
+    def __init__(self, path: str, whole_added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark has a task for every core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not whole_added
+        for t in self.tokenizer.get_added_tokens_decoder().values() if whole_added else ():
+            if re.search(r"[\s,.]", t.content) or t.single_word or t.lstrip or t.rstrip:   # it could reach into another unit
+                raise ValueError(f"added token {t.content!r} does not lie inside one unit")
         self.mark = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
         self.reset()
 

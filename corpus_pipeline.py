@@ -33,7 +33,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document with their places in sequences of 2,048 ids."""
     import public_tokenizers
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), whole_added=True)
 
 
 STAGES = [("quality rules", quality), ("toxicity", toxicity), ("near duplicates", near_duplicates), ("secrets", secrets), ("packing", pack)]

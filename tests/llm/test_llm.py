@@ -243,6 +243,32 @@ def test_units_equal_the_library(monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want[a:a + 100]
 
 
+LITERAL = ["<|endoftext|>", "one<|endoftext|>two", "one <|endoftext|>", "one<|endoftext|>, two.", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b", "<|endoftext| >", "word, word <|endoftext|>word, word,"]
+
+
+def test_added_tokens_are_whole(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)   # as it comes: no switch
+    rng = random.Random(2)
+    texts = LITERAL + ["".join(rng.choice(["<|endoftext|>", "a", "b", " ", "  ", ",", ".", "\n", "é"]) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert want[1] == [505, 50256, 11545]
+    ids, lens = units.TokenIds(path, whole_added=True).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
+    folder = base.shared_folder(spark)
+    docs = frame(spark, LITERAL)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    rows = {r.doc_id: r for r in QUERIES["op5_grammar"][0](spark, folder).collect()}
+    for i in range(len(LITERAL)):
+        assert (rows[i].n_tokens, rows[i].ids_crc32) == (len(want[i]) + 1, zlib.crc32(np.array(want[i] + [0], "<u4").tobytes()))
+    for out in (QUERIES["op6_packing"][0](spark, folder), corpus_pipeline.pack(spark, docs, folder)):
+        rows = {r.doc_id: r for r in out.collect()}
+        for i in range(len(LITERAL)):
+            assert (rows[i].doc_tokens, rows[i].ids_crc32) == (len(want[i]) + 1, zlib.crc32(np.array(want[i] + [1], "<u4").tobytes()))
+
+
 def test_grammar_round_trip_and_ranges(spark):
     rng = np.random.default_rng(4)
     for ids, lens in [(np.zeros(0, int), []), (np.zeros(5000, int), [5000]), (rng.integers(0, 6, 20_000), [1, 0, 9_999, 10_000]), (np.tile([1, 2, 3], 999), [2997])]:
