@@ -30,9 +30,10 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),   # runs are maximal, so a short one never hides a long one
 )
-# Added kinds: private key blocks, signed web tokens, tokens with a provider prefix.
+# Added kinds: private key blocks (the pattern finds their first line, key_end() the rest), signed web tokens, tokens
+# with a provider prefix.
 ADDED = (
-    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 0),
+    ("pem", r"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY)-----", 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     ("prefixed", r"(?:gh[pousr]_|xox[abprs]-|sk_live_)[A-Za-z0-9_-]{20,}", 0, 0),
 )
@@ -40,12 +41,31 @@ KINDS = BASE + ADDED
 # A text without any of these (lower case) cannot match the kind.
 HINTS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "pem": ("-----begin ",),
          "jwt": ("eyj",), "prefixed": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_")}
-RULE_VERSION = "2"
+RULE_VERSION = "2.1"
 
 FINDINGS = "blob string, rule_version string, spans array<struct<kind:string,start:int,end:int>>"
 _COMPILED = [(kind, re.compile(p, re.ASCII), group, least) for kind, p, group, least in KINDS]
 
 
+# What follows the first line of a key whose END line is missing: headers, then runs of base64 and a shorter last line.
+# Line breaks may be written as escapes, and lines may be quoted.
+_BREAK = r"""(?:[\s"'>#|,]|\\[nrt])"""
+_KEY_LINES = re.compile(rf"""(?:{_BREAK}+(?:Proc-Type|DEK-Info|Comment|Version):[^\r\n\\]*)*(?:{_BREAK}+[A-Za-z0-9+/=]{{16,}})+"""
+                        rf"""(?:[\x20\t"',]*(?:\r?\n|(?:\\r)?\\n)[\x20\t"'>#|]*[A-Za-z0-9+/=]{{1,15}}(?=[\s"',\\]|\Z))?""", re.ASCII)
+
+
+def key_end(text: str, begin: re.Match) -> int:
+    """Where the private key block ends whose first line is `begin`: behind its END line, else behind its last key-like line."""
+    after = begin.end()
+    other = text.find("-----BEGIN ", after)
+    last = f"-----END {begin[1]}-----"
+    at = text.find(last, after, other if other >= 0 else len(text))
+    if at >= 0:
+        return at + len(last)
+    lines = _KEY_LINES.match(text, after)
+    return lines.end() if lines else after
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then kind as listed."""
     low = text.lower()
@@ -55,7 +75,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             continue
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
-                found.append((m.start(), order, m.end()))
+                found.append((m.start(), order, key_end(text, m) if kind == "pem" else m.end()))
     return [(KINDS[order][0], a, b) for a, order, b in sorted(found)]
 
 
