@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from asofia.llm import (blob_ledger, grammar, merge_replay, near_dedup, packing, passage_attention, quality_rules, recurrent_toxicity, tool_links,
+from asofia.llm import (blob_ledger, grammar, language_mixture, merge_replay, near_dedup, packing, passage_attention, quality_rules, recurrent_toxicity, tool_links,
                         topk_bounds)
 
 QUERIES = {
@@ -16,4 +16,5 @@ QUERIES = {
     "op8_merge_replay": (merge_replay.op8_merge_replay, None),
     "op9_tool_links": (tool_links.op9_tool_links, tool_links.OP9_SQL),
     "op10_blob_ledger": (blob_ledger.op10_blob_ledger, None),
+    "op11_language_mixture": (language_mixture.op11_language_mixture, None),
 }
