@@ -363,9 +363,12 @@ WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce
     lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda z, _: xor(z >> 1, 3988292384 * (z & 1)))), 4294967295) % 20 AS kind FROM conversations),
 d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
   unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
-o AS (SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS previous, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth
-  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
-g AS (SELECT *, left(role, 1) AS initial, role || ':' || text AS row_text, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE '' END AS fault FROM o),
+o AS (SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS previous
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM o),
+g AS (SELECT *, left(role, 1) AS initial, role || ':' || text AS row_text, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE '' END AS fault FROM h),
 counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
   count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (previous || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
 walk AS (SELECT conv_id, n AS i, '000000000' || {mark} AS v0, '000000004II' || {mark} || {line("user")} || {line("assistant")} AS v1, '000000002I' || {mark} || {line("assistant")} AS v2, '000000000' || {mark} AS v3 FROM counts

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from asofia.llm import (blob_ledger, dialogue_repair, grammar, language_mixture, merge_replay, near_dedup, packing, passage_attention, quality_rules, recurrent_toxicity, tool_links,
+from asofia.llm import (blob_ledger, dialogue_repair, dual_tree_search, grammar, language_mixture, merge_replay, near_dedup, packing, passage_attention, quality_rules, recurrent_toxicity, tool_links,
                         topk_bounds)
 
 QUERIES = {
@@ -17,5 +17,6 @@ QUERIES = {
     "op9_tool_links": (tool_links.op9_tool_links, tool_links.OP9_SQL),
     "op10_blob_ledger": (blob_ledger.op10_blob_ledger, None),
     "op11_language_mixture": (language_mixture.op11_language_mixture, None),
+    "op12_dual_tree_search": (dual_tree_search.op12_dual_tree_search, dual_tree_search.OP12_SQL),
     "op13_dialogue_repair": (dialogue_repair.op13_dialogue_repair, dialogue_repair.OP13_SQL),
 }
