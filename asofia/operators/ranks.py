@@ -1,14 +1,21 @@
 """Cross-sectional ranks that survive a hot group.
 
 A cross-section (one date, one industry on one date) can hold any number of
-securities, so a window over the group would put all of it in one task. Ranks
-are therefore computed over cells: rows are first reduced to (group, value,
-count) with map-side combine, so ties cost one row however many they are;
-distinct values fall into cells by a monotonic function of the value alone;
-values are numbered inside their cell and shifted by the counts of the cells
-before it. The cells of a value do not depend on the data around it, so every
-branch of the plan sees the same ones, whatever executor computes it, and
-nothing has to be written in between. There is one form for groups of any size.
+securities, so a window over the group alone would put all of it in one task.
+Ranks come from one exchange of the rows by (group, cell) and one sort inside
+the cells, in the engine's own order:
+
+* A group that holds more than 1/PARTS of all rows is cut into cells at
+  quantiles of a sample of its own order keys. There are at most PARTS such
+  groups and 2 PARTS cells, whatever the data, so the tables about them are
+  broadcast. A smaller group is one cell. The key ends with a unique tie, so hot
+  groups, near-equal values and equal values are all cut alike, and the cut moves
+  no rank: a cell's rows are numbered inside it and shifted by the cells before.
+* A run of equal values that a cut divides gets its rank and length from counts
+  of its cells; there are no more such runs than cuts.
+
+The input is written once before it is read by the counts, the sample and the
+ranks, so it is computed once and cells are the same in all of them.
 
 Groups are compared null-safe. Null values have no rank; NaN is the greatest
 value, as in Spark's own order.
@@ -22,14 +29,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from asofia.functions.norm import finite, is_financial, join_reasons
+from asofia.sources.session import stored
 
-CELLS = 4_096   # per unit of log(1 + 1e6 |v|): cells are narrower than 0.03 % of the value
-
-
-def value_cell(v: Column) -> Column:
-    """Number that never falls as the value grows."""
-    place = F.signum(v) * F.log1p(F.abs(v) * 1e6) * CELLS
-    return F.when(F.isnan(v), F.lit(9e18)).otherwise(F.floor(F.greatest(F.lit(-9e17), F.least(F.lit(9e17), place)))).cast("long")
+LEAST_PARTS = 16
+SAMPLE = 128   # keys for each part
 
 
 def on_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -41,30 +44,83 @@ def on_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(named, same, how).drop(*[f"_same_{i}" for i in range(len(keys))])
 
 
-def _numbered(df: DataFrame, value: str, by: Sequence[str], ascending: bool, cell: Column) -> DataFrame:
-    """One row per (group, distinct value): ``_first`` (1-based), ``_ties``, ``_total``.
+def parts_of(df: DataFrame) -> int:
+    """Cells that the rows are dealt into at least; only the dealing depends on it."""
+    return max(LEAST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The frame written once, with a unique number ``_row``."""
+    return stored(df.withColumn("_row", F.monotonically_increasing_id()))
 
-    ``cell`` is computed from the row and grows with the value.
+
+def _in_cells(kept: DataFrame, by: Sequence[str], key: Sequence[Column], taking_part: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_cell`` and ``_cuts`` (keys that divide a hot group), and the cells of the hot groups.
+
+    ``key`` orders a group, ascending, and is unique in it. The second frame has
+    ``_before`` (rows of the group in earlier cells), ``_in_cell`` and ``_in_group``.
     """
-    by = list(by)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"), F.first(cell).alias("_cell"))
-    totals = counted.groupBy(*by, "_cell").agg(F.sum("_ties").alias("_in_cell"))
-    way = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    by, parts = list(by), parts_of(kept)
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(key)])
+    rows = kept.where(taking_part)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.select(F.sum("_n")).scalar()
+    hot = sizes.where(F.col("_n") * parts > total).select(*by, F.ceil(F.col("_n") * parts / total).alias("_want"))   # at most `parts` groups
+    sample = on_same(rows.select(*by, key.alias("_key"), F.xxhash64("_row").alias("_h")), F.broadcast(hot), by).orderBy("_h").limit(SAMPLE * parts)
+    keys = F.sort_array(F.collect_list("_key"))
+    at = lambda j: F.element_at("_keys", (F.floor(j * F.size("_keys") / F.col("_want")) + 1).cast("int"))
+    cuts = (sample.groupBy(*by).agg(keys.alias("_keys"), F.first("_want").alias("_want"))   # the sample is bounded
+            .select(*by, F.when(F.col("_want") > 1, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.col("_want") - 1)), at)).alias("_cuts")))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range((2 * parts).bit_length()))])
+    cell = F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.try_element_at("_cuts", n + s) <= key, n + s).otherwise(n))   # binary search
+    keyed = on_same(kept, F.broadcast(cuts), by, "left").withColumn("_cell", F.when(taking_part & F.col("_cuts").isNotNull(), cell).otherwise(0))
+    counted = keyed.where(taking_part & F.col("_cuts").isNotNull()).groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_in_cell"))
     group = Window.partitionBy(*by)
-    offsets = totals.select(*by, "_cell", F.coalesce(F.sum("_in_cell").over(before(group.orderBy(way("_cell")))), F.lit(0)).alias("_offset"),
-                            F.sum("_in_cell").over(group).alias("_total"))
-    inside = before(Window.partitionBy(*by, "_cell").orderBy(way(value)))
-    placed = counted.withColumn("_before", F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
-    return on_same(placed, offsets, [*by, "_cell"]).select(*by, value, (F.col("_offset") + F.col("_before") + 1).alias("_first"), "_ties", "_total")
+    before = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    return keyed, counted.select(*by, "_cell", "_in_cell", F.coalesce(F.sum("_in_cell").over(before), F.lit(0)).alias("_before"), F.sum("_in_cell").over(group).alias("_in_group"))
+
+
+def _ranked(kept: DataFrame, value: str, by: Sequence[str], ascending: bool) -> DataFrame:
+    """A numbered frame with ``_first`` (competition rank), ``_ties`` and ``_total`` over non-null values."""
+    by = list(by)
+    v = F.col(value).cast("double")
+    place = [v] if ascending else [~F.isnan(v), -v]   # NaN is the greatest
+    known = F.col(value).isNotNull()
+    keyed, cells = _in_cells(kept, by, [*place, F.col("_row")], known)
+    own = Window.partitionBy(*by, "_cell")
+    sorted_ = own.orderBy(*[c.asc_nulls_last() for c in place])
+    local = keyed.withColumns({"_lo": F.rank().over(sorted_), "_hi": F.count(value).over(sorted_), "_all": F.count(value).over(own)})
+    # runs of one value in more than one cell: in the first of them they are its last rows
+    last = len(place) - 1
+    cut = F.array_contains(F.transform("_cuts", lambda c: c[f"k{last}"]), place[last])
+    inside = on_same(keyed.where(known & cut).groupBy(*by, value, "_cell").agg(F.count(F.lit(1)).alias("_c")), cells, [*by, "_cell"])
+    runs = (inside.groupBy(*by, value).agg(F.min(F.struct("_cell", (F.col("_before") + F.col("_in_cell") - F.col("_c") + 1).alias("first"))).alias("_x"),
+                                           F.sum("_c").alias("_run_ties"), F.count(F.lit(1)).alias("_cells"))
+            .where("_cells > 1").select(*by, value, F.col("_x.first").alias("_run_first"), "_run_ties"))
+    out = on_same(on_same(local, F.broadcast(cells), [*by, "_cell"], "left"), F.broadcast(runs), [*by, value], "left")
+    return out.withColumns({
+        "_first": F.when(known, F.coalesce("_run_first", F.coalesce("_before", F.lit(0)) + F.col("_lo"))),
+        "_ties": F.when(known, F.coalesce("_run_ties", F.col("_hi") - F.col("_lo") + 1)),
+        "_total": F.when(known, F.coalesce("_in_group", "_all")),
+    }).drop("_cuts", "_cell", "_lo", "_hi", "_all", "_in_cell", "_before", "_in_group", "_run_first", "_run_ties")
+
+
+def _positions(kept: DataFrame, by: Sequence[str], key: Sequence[Column]) -> DataFrame:
+    """A kept frame with ``_position`` (from 1) in the order of ``key``, unique in a group, and ``_in_group``."""
+    by = list(by)
+    keyed, cells = _in_cells(kept, by, key, F.lit(True))
+    own = Window.partitionBy(*by, "_cell")
+    local = keyed.withColumns({"_place": F.row_number().over(own.orderBy(*key)), "_all": F.count(F.lit(1)).over(own)})
+    out = on_same(local, F.broadcast(cells), [*by, "_cell"], "left")
+    return (out.withColumns({"_position": F.coalesce("_before", F.lit(0)) + F.col("_place"), "_in_group": F.coalesce("_in_group", "_all")})
+            .drop("_cuts", "_cell", "_place", "_all", "_in_cell", "_before"))
 
 
 def rank_columns(df: DataFrame, value: str, by: Sequence[str], ascending: bool = True) -> DataFrame:
     """Add ``_first`` (competition rank), ``_ties`` and ``_total`` over non-null values."""
-    by = list(by)
     if not by:
         return rank_columns(df.withColumn("_whole", F.lit(0)), value, ["_whole"], ascending).drop("_whole")
-    return on_same(df, _numbered(df, value, by, ascending, value_cell(F.col(value).cast("double"))), [*by, value], "left")
+    return _ranked(numbered(df), value, by, ascending).drop("_row")
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str], out: str, ascending: bool = True,
@@ -89,31 +145,24 @@ def xs_percentile(df: DataFrame, value: str, out: str, by: Sequence[str] = ("fea
         out, F.coalesce(out, F.lit(.5)))
 
 
-def rank_many(df: DataFrame, specs: dict[str, tuple[Column, Column | None]], key: Sequence[str]) -> DataFrame:
+def rank_many(df: DataFrame, specs: dict[str, tuple[Column, Column | None]]) -> DataFrame:
     """Average-tie percentiles of many expressions in one pass.
 
     ``specs`` maps an output name to (value, group); negate a value to rank it
-    downwards. The values are stacked and ranked by one window over (name,
-    group) instead of one exchange and sort per column, then pivoted back by
-    the unique row ``key``. Nulls stay null.
+    downwards. Only (row number, name, group, value) are stacked and ranked, by
+    one exchange for all of them; the percentiles go back to their row once.
+    Nulls stay null.
     """
-    whole = F.lit("")
-    rest = [c for c in df.columns if c not in key]
+    kept = numbered(df)
     cells = [F.struct(
-        F.lit(i).alias("i"), (whole if group is None else F.coalesce(group.cast("string"), whole)).alias("g"),
+        F.lit(i).alias("i"), (F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit(""))).alias("g"),
         finite(value.cast("double")).alias("v")) for i, (value, group) in enumerate(specs.values())]
-    # the row itself travels with one cell of its own, so the input is computed once
-    own = F.struct(F.lit(-1).alias("i"), F.concat_ws("\u0001", *key).alias("g"),
-                   F.lit(None).cast("double").alias("v"))
-    long = df.select(*key, *rest, F.explode(F.array(own, *cells)).alias("p")).where(
-        F.col("p.v").isNotNull() | (F.col("p.i") < 0)).select(
-        *key, "p.i", "p.g", "p.v", F.when(F.col("p.i") < 0, F.struct(*rest)).alias("row"))
-    ranked = rank_columns(long, "v", ["i", "g"])
+    long = kept.select("_row", F.explode(F.array(*cells)).alias("p")).select("_row", "p.i", "p.g", "p.v").where(F.col("v").isNotNull())
     place = (F.col("_first") + (F.col("_ties") - 1) / 2) / F.col("_total")
-    wide = ranked.withColumn("_p", place).groupBy(*key).agg(
-        F.first("row", ignorenulls=True).alias("row"),
+    placed = _ranked(long, "v", ["i", "g"], True).select("_row", "i", place.alias("_p"))
+    wide = placed.repartition("_row").groupBy("_row").agg(   # the exchange moves single percentiles, not rows of partial maxima
         *[F.max(F.when(F.col("i") == i, F.col("_p"))).alias(out) for i, out in enumerate(specs)])
-    return wide.select(*key, "row.*", *specs)
+    return kept.drop(*specs).join(wide, "_row", "left").drop("_row")
 
 
 def rank_features(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("feature_date",),
@@ -126,7 +175,7 @@ def rank_features(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("f
     group = F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in by])
     extra = [c for c in by if c not in keys]
     named = {f"{c}_rank": (F.col(c), group) for c in columns}
-    ranked = rank_many(df.select(*keys, *extra, *columns), named, keys)
+    ranked = rank_many(df.select(*keys, *extra, *columns), named)
     return ranked.select(*keys, *extra, *[F.col(f"{c}_rank").alias(c) for c in columns])
 
 
@@ -134,26 +183,12 @@ def with_total_order(df: DataFrame, by: Sequence[str], score: str, tie: str, out
     """Row number by score descending, then tie key ascending, and ``group_rows``.
 
     The tie key must be unique inside a group; rows without a score come last.
-    Equal scores are numbered by the tie key in cells again: by the characters
-    that follow what all tie keys of the score have in common.
     """
-    by = list(by)
     if not by:
         return with_total_order(df.withColumn("_whole", F.lit(0)), ["_whole"], score, tie, out).drop("_whole")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("group_rows"), F.count(score).alias("_known"))
-    placed = on_same(rank_columns(df.withColumn("_score", F.col(score).cast("double")), "_score", by, ascending=False), sizes, by)
-    placed = placed.withColumns({"_place": F.coalesce("_first", F.col("_known") + 1), "_same": F.coalesce("_ties", F.col("group_rows") - F.col("_known")),
-                                 "_hex": F.hex(F.encode(F.col(tie).cast("string"), "UTF-8"))})   # sorts as the text does
-    tied = placed.where(F.col("_same") > 1)
-    ends = tied.groupBy(*by, "_place").agg(F.min("_hex").alias("_lo"), F.max("_hex").alias("_hi"))
-    shared = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_lo"))), F.lit(0), lambda n, i: F.when(
-        (n == i - 1) & (F.substring(F.col("_lo"), i, F.lit(1)) == F.substring(F.col("_hi"), i, F.lit(1))) & (F.length("_lo") >= i), i).otherwise(n))
-    spread = on_same(tied, ends.select(*by, "_place", shared.alias("_shared")), [*by, "_place"])
-    inside = _numbered(spread, tie, [*by, "_place"], True, F.substring(F.col("_hex"), F.col("_shared") + 1, F.lit(6)))
-    inside = inside.select(*by, "_place", tie, (F.col("_first") - 1).alias("_step"))
-    return (on_same(placed.drop("_first", "_ties", "_total"), inside, [*by, "_place", tie], "left")
-            .withColumn(out, (F.col("_place") + F.coalesce("_step", F.lit(0))).cast("int"))
-            .drop("_score", "_place", "_same", "_hex", "_known", "_step"))
+    s = F.col(score).cast("double")
+    placed = _positions(numbered(df), by, [s.isNull(), ~F.isnan(s), -s, F.col(tie), F.col("_row")])
+    return placed.withColumns({out: F.col("_position").cast("int"), "group_rows": F.col("_in_group")}).drop("_position", "_in_group", "_row")
 
 
 def top_fraction(df: DataFrame, fractions: Sequence[float] = (.1, .2, .3),
@@ -186,7 +221,7 @@ def quality_value_momentum(df: DataFrame, key: Sequence[str] = ("code",), min_pe
         specs |= {f"_local_{field}": (signed, c("industry")), f"_all_{field}": (signed, None)}
     counts = df.groupBy("industry").agg(*[F.count(v).alias(f"_n_{f}") for f, v in valid.items()])
     whole = counts.agg(*[F.sum(f"_n_{f}").alias(f) for f in ("per", "pbr")])
-    df = rank_many(df, specs, key).join(counts, "industry")
+    df = rank_many(df, specs).join(counts, "industry")
 
     def score(name: str) -> Column:
         return F.coalesce(c(name) * 100, F.lit(50.0))
@@ -299,10 +334,9 @@ def strategy_scores(df: DataFrame, raw_financial: str, financial_only: bool = Fa
     df = df.withColumns({
         "_mom": skip_mean([F.col(c) for c in ("relative_20", "relative_60", "ma_60_gap")]),
         "_risk": 1 - skip_mean([F.col(c) for c in ("volatility_20", "volatility_60", "atr_14_pct")])})
-    # same grouping for all three: one exchange, three sorts
-    df = xs_percentile(df, raw_financial, "financial_score")
-    df = xs_percentile(df, "_mom", "momentum_score")
-    df = xs_percentile(df, "_risk", "risk_score").drop("_mom", "_risk")
+    named = {"financial_score": raw_financial, "momentum_score": "_mom", "risk_score": "_risk"}
+    df = rank_many(df, {out: (F.col(c), F.col("feature_date")) for out, c in named.items()}).drop("_mom", "_risk")
+    df = df.withColumns({out: F.coalesce(out, F.lit(.5)) for out in named})
     weighted = (F.col("financial_score") * (1 - momentum_weight - risk_weight)
                 + F.col("momentum_score") * momentum_weight + F.col("risk_score") * risk_weight)
     return df.withColumns({
@@ -323,34 +357,31 @@ def select_best(metrics: DataFrame, weights: dict[str, float], ties: Sequence[Co
 
     ``metrics`` has one row per predeclared candidate, so its windows are tiny.
     """
-    df = metrics
+    df = rank_many(metrics, {f"_p_{m}": (F.coalesce(finite(F.col(m).cast("double")), F.lit(-999.0)), None) for m in weights})
     total = F.lit(0.0)
     for metric, weight in weights.items():
-        df = df.withColumn(f"_m_{metric}", F.coalesce(finite(F.col(metric).cast("double")), F.lit(-999.0)))
-        df = average_rank(df, f"_m_{metric}", [], f"_p_{metric}")
         total = total + F.col(f"_p_{metric}") * weight
     df = df.withColumn("selection_score", total)
     best = Window.partitionBy(F.lit(0)).orderBy(F.desc("selection_score"), *ties)
     return (df.withColumn("selected", F.row_number().over(best) == 1)
-            .drop(*[f"_{p}_{m}" for p in "mp" for m in weights]))
+            .drop(*[f"_p_{m}" for m in weights]))
 
 
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per group from order statistics.
 
-    The k-th smallest value is the greatest one whose competition rank is at
-    most k, so after ranking a combinable aggregate is enough.
+    Once every row has its position, a combinable aggregate is enough.
     """
     by = list(by)
     whole = not by
     if whole:
         df, by = df.withColumn("_whole", F.lit(0)), ["_whole"]
-    ranked = rank_columns(df.where(F.col(value).isNotNull()), value, by)
+    ranked = _positions(numbered(df.where(F.col(value).isNotNull()).select(*by, value)), by, [F.col(value), F.col("_row")])
     cols = {}
     for name, q in quantiles.items():
-        pos = (F.col("_total") - 1) * q + 1
-        cols |= {f"_lo_{name}": F.max(F.when(F.col("_first") <= F.floor(pos), F.col(value))),
-                 f"_hi_{name}": F.max(F.when(F.col("_first") <= F.ceil(pos), F.col(value))),
+        pos = (F.col("_in_group") - 1) * q + 1
+        cols |= {f"_lo_{name}": F.max(F.when(F.col("_position") <= F.floor(pos), F.col(value))),
+                 f"_hi_{name}": F.max(F.when(F.col("_position") <= F.ceil(pos), F.col(value))),
                  f"_f_{name}": F.max(pos - F.floor(pos))}
     out = ranked.groupBy(*by).agg(*[c.alias(n) for n, c in cols.items()])
     out = out.select(*by, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)

@@ -11,6 +11,7 @@ from asofia.plans.market import MOMENTUM_SQL, TECH_SCORE, osql, out
 from asofia.plans.registry import query
 from asofia.plans.sqlbase import cte, pct_rank, sql
 from asofia.sources import derived as d
+from asofia.sources.session import bucketed_once
 
 TODAY = "20001231"
 KEYS = list(fa.ACCOUNT_RULES)
@@ -139,7 +140,8 @@ def fund_features(spark, sf):
 
 
 def full_features(spark, sf):
-    return fund_features(spark, sf).join(d.industries(spark, sf).select("code", "industry"), "code")
+    """The feature table: stored once by code, as the label table is; both are read by everything that learns or ranks."""
+    return bucketed_once(spark, "features", sf, lambda: fund_features(spark, sf).join(d.industries(spark, sf).select("code", "industry"), "code"), order="feature_date")
 
 
 @query("valuation_multiples", "FA7", sql(
@@ -228,8 +230,12 @@ def labels(spark, sf):
     return lb.forward_labels(d.bars(spark, sf), d.benchmark(spark, sf))
 
 
+def label_table(spark, sf):
+    return bucketed_once(spark, "labels", sf, lambda: labels(spark, sf), order="feature_date")
+
+
 def dataset(spark, sf, horizon=20):
-    return lb.ml_dataset(full_features(spark, sf), labels(spark, sf), horizon)
+    return lb.ml_dataset(full_features(spark, sf), label_table(spark, sf), horizon)
 
 
 @query("feature_label_dataset", "J4", sql(f"""SELECT {osql(['code', 'feature_date', 'industry', 'label_available_at'],

@@ -3,7 +3,9 @@
 The test data holds no market data, so each supplier plays a security and its
 shipments are the trades: one bar per (supplier, ship date). Everything is a
 plain aggregation with map-side combine; a supplier with a third of all lines
-still shrinks to one row per calendar day before the first shuffle.
+still shrinks to one row per calendar day before the first shuffle. Bars, the benchmark,
+statements and valuations are stored once for an application and bucketed, as a
+market-data base would hold them; queries read those tables.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from asofia.functions.norm import norm_code
 from asofia.functions.rounding import snap
-from asofia.sources.session import row_bound  # noqa: F401  (also used by the queries)
+from asofia.sources.session import bucketed_once, row_bound  # noqa: F401  (also used by the queries)
 
 BENCHMARK = "BENCH0"
 
@@ -29,7 +31,7 @@ def _key(c: str) -> Column:
     return F.date_format(F.to_date(c), "yyyyMMdd")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     grouped = (table(spark, sf_dir, "lineitem")
                .groupBy("l_suppkey", F.to_date("l_shipdate").alias("d"))
@@ -42,7 +44,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("q").cast("long").alias("volume"))
 
 
-def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One index bar per date over all suppliers."""
     grouped = (table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("d"))
                .agg(F.sum("l_extendedprice").alias("p"), F.sum("l_quantity").alias("q")))
@@ -74,7 +76,7 @@ ACCOUNTS = (
 )
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annual statement rows: OFS for every code, CFS as well for even codes."""
     p, q = F.col("l_extendedprice"), F.col("l_quantity")
     sums = (table(spark, sf_dir, "lineitem")
@@ -100,7 +102,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.col("fiscal_year") + 1, F.lit("0331")).alias("disclosed_at")))
 
 
-def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot at the last bar of each month per code."""
     month = F.substring("date", 1, 6)
     last = (bars(spark, sf_dir).groupBy("code", month.alias("month"))
@@ -118,6 +120,26 @@ def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(v % 13 == 0, "PLACEHOLDER").otherwise("KRX").alias("source"))
 
 
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bar per code and day, stored by code."""
+    return bucketed_once(spark, "bars", sf_dir, lambda: _bars(spark, sf_dir), order="date")
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One index bar per date over all suppliers, stored by date."""
+    return bucketed_once(spark, "benchmark", sf_dir, lambda: _benchmark(spark, sf_dir), by="date")
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual statement rows, stored by code."""
+    return bucketed_once(spark, "statements", sf_dir, lambda: _statements(spark, sf_dir), order="fiscal_year")
+
+
+def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month-end snapshots, stored by code."""
+    return bucketed_once(spark, "valuations", sf_dir, lambda: _valuations(spark, sf_dir), order="snapshot_date")
+
+
 def universe_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two membership intervals per code, the second one open-ended."""
     span = bars(spark, sf_dir).groupBy("code").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names.
@@ -36,6 +40,37 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write the frame as Parquet to the checkpoint folder and read it from there.
+
+    As ``durable``, for frames whose consumers read different columns.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    typed = df.withColumns({f.name: F.col(f.name).cast("string") for f in df.schema if f.dataType.typeName() == "void"})
+    typed.write.parquet(path)
+    return df.sparkSession.read.schema(typed.schema).parquet(path)
+
+
+_TABLES: set[str] = set()
+
+
+def bucketed_once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], by: str = "code", order: str | None = None) -> DataFrame:
+    """The table that ``build`` makes of ``source``, written once for an application, bucketed by ``by``.
+
+    Later reads find the rows dealt by ``by`` and sorted, so windows and joins on
+    it need no exchange. The number of buckets is that of shuffle partitions.
+    """
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mark = hashlib.sha256(f"{spark.sparkContext.applicationId} {source} {buckets}".encode()).hexdigest()[:16]
+    table = f"asofia_{name}_{mark}"
+    if table not in _TABLES:
+        df = build().repartition(buckets, by)
+        path = f"{ensure_checkpoint_dir(spark)}/{table}"
+        df.write.mode("overwrite").bucketBy(buckets, by).sortBy(by, *([order] if order else [])).option("path", path).saveAsTable(table)
+        _TABLES.add(table)
+    return spark.table(table)
+
+
 def row_bound(spark: SparkSession, *paths: str) -> int:
     """Number of rows of the given Parquet tables, read from their footers.
     """

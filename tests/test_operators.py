@@ -4,6 +4,7 @@ import math
 import random
 from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -321,3 +322,58 @@ def test_json_walk_reaches_every_leaf(spark):
     got = {(r.k, r.path, r.value, r.date_like) for r in dx.json_fields(spark.createDataFrame(data, "k long, p string"), "k", "p").collect()}
     assert got == {(1, "a.b.c", "2024-01-02", True), (1, "a.b.n", None, None), (1, "l[0].x", "1", False), (1, "l[1]", "2", False), (2, "[0]", "1", False),
                    (2, "[1].k", "v", False), (5, "", "lone", False)}
+
+
+# ---- hot groups of ranks ---------------------------------------------------
+
+def largest_cell(kept, by, key):
+    keyed, cells = rk._in_cells(kept, by, key, F.lit(True))
+    assert cells.count() <= 2 * rk.parts_of(kept)
+    return keyed.groupBy(*by, "_cell").count().agg(F.max("count")).first()[0]
+
+
+def test_near_equal_values_and_outlier_ties_are_split(spark):
+    n = 100_000
+    share = 3 * n / rk.LEAST_PARTS
+    near = rk.numbered(spark.range(n).select(F.lit("20200101").alias("day"), (F.lit(100.0) + F.col("id") / 1e7).alias("v"), F.concat(F.lit("KR"), F.lpad("id", 9, "0")).alias("code")))
+    assert largest_cell(near, ["day"], [F.col("v"), F.col("_row")]) <= share
+    equal = near.withColumn("v", F.lit(1.0)).unionByName(near.limit(1).withColumns({"v": F.lit(1.0), "code": F.lit("US000000001")}))
+    assert largest_cell(equal, ["day"], [-F.col("v"), F.col("code"), F.col("_row")]) <= share
+    ordered = rk.with_total_order(equal.drop("_row"), ["day"], "v", "code").agg(F.count_distinct("score_rank"), F.max("score_rank"), F.max(F.when(F.col("code") == "US000000001", F.col("score_rank"))), F.max("group_rows")).first()
+    assert tuple(ordered) == (n + 1, n + 1, n + 1, n + 1)
+    tied = rk.rank_columns(equal.drop("_row"), "v", ["day"]).agg(F.min("_first"), F.max("_first"), F.min("_ties"), F.max("_ties"), F.max("_total")).first()
+    assert tuple(tied) == (1, 1, n + 1, n + 1, n + 1)
+
+
+def test_ranks_equal_pandas_over_hot_and_small_groups(spark):
+    rng = np.random.default_rng(9)
+    n = 6_000
+    frame = pd.DataFrame({"g": np.where(rng.random(n) < .5, "hot", rng.integers(0, 400, n).astype(str)), "v": np.round(rng.normal(size=n), 1), "id": np.arange(n)})
+    frame.loc[rng.random(n) < .3, "v"] = 2.5          # one value holds a third of all rows
+    frame.loc[rng.random(n) < .1, "v"] = np.nan
+    frame.loc[rng.random(n) < .05, "g"] = None
+    df = spark.createDataFrame([(None if pd.isna(g) else g, None if np.isnan(v) else float(v), int(i)) for g, v, i in frame.itertuples(index=False)], "g string, v double, id long").repartition(5)
+    for ascending in (True, False):
+        got = rk.rank_columns(df, "v", ["g"], ascending).toPandas().set_index("id").sort_index()
+        by = frame.groupby("g", dropna=False)["v"]
+        want = by.rank("min", ascending=ascending)
+        assert got["_first"].isna().equals(want.isna()) and (got["_first"].dropna() == want.dropna()).all()
+        assert (got["_total"].dropna() == by.transform("count")[want.notna()]).all()
+        average = rk.average_rank(df, "v", ["g"], "r", ascending).toPandas().set_index("id").sort_index()["r"]
+        assert np.allclose(average.dropna(), by.rank("average", ascending=ascending, pct=True).dropna())
+    order = rk.with_total_order(df, ["g"], "v", "id").toPandas().set_index("id").sort_index()
+    best = frame.sort_values(["v", "id"], ascending=[False, True], na_position="last").groupby("g", dropna=False).cumcount() + 1
+    assert (order["score_rank"] == best.sort_index()).all()
+    q = rk.exact_quantiles(df.where("v is not null"), "v", ["g"], {"q": .3}).toPandas().set_index("g")["q"]
+    want = frame.dropna(subset=["v"]).groupby("g", dropna=False)["v"].quantile(.3)
+    assert len(q) == len(want) and np.allclose(q[q.index.notna()].sort_index(), want[want.index.notna()].sort_index())
+
+
+def test_ranks_of_no_rows_and_infinite_values(spark):
+    none = spark.createDataFrame([], "g string, v double, code string")
+    assert rk.rank_columns(none, "v", ["g"]).count() == 0 and rk.with_total_order(none, [], "v", "code").count() == 0
+    odd = spark.createDataFrame([("a", float("nan"), "1"), ("a", float("inf"), "2"), ("a", 0.0, "3"), ("a", -0.0, "4"), ("a", None, "5")], "g string, v double, code string")
+    up = {r.code: (r["_first"], r["_ties"]) for r in rk.rank_columns(odd, "v", ["g"]).collect()}
+    assert up == {"1": (4, 1), "2": (3, 1), "3": (1, 2), "4": (1, 2), "5": (None, None)}
+    down = {r.code: r.score_rank for r in rk.with_total_order(odd, ["g"], "v", "code").collect()}
+    assert down == {"1": 1, "2": 2, "3": 3, "4": 4, "5": 5}
