@@ -41,6 +41,7 @@ KINDS = BASE + ADDED
 # A text without any of these (lower case) cannot match the kind.
 HINTS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "pem": ("-----begin ",),
          "jwt": ("eyj",), "prefixed": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_")}
+SALTS = 16   # keys of a text that many rows share
 RULE_VERSION = "2.1"
 
 FINDINGS = "blob string, rule_version string, spans array<struct<kind:string,start:int,end:int>>"
@@ -141,15 +142,22 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, path: str = "doc_id
 
 
 def redact(docs: DataFrame, ledger: DataFrame, mask: str = "[secret]", rule_version: str = RULE_VERSION) -> DataFrame:
-    """The rows of docs with every span of the text replaced; n_chars follows the text. All columns stay."""
+    """The rows of docs with every span of the text replaced; n_chars follows the text. All columns stay.
+
+    A text that many rows share meets its spans under SALTS keys. A null text
+    stays null, an empty table empty; repeated rows are all replaced; other
+    columns, whatever their names, are passed on.
+    """
     columns = docs.columns
-    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_blob", blob_of(F.col("text"))).join(hits, "_blob", "left").drop("_blob")
+    blob, salt, found = base.free_names(columns, "blob", "salt", "spans_found")
+    hits = (ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
+            .select(F.col("blob").alias(blob), F.col("spans").alias(found), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt)))
+    rows = docs.withColumns({blob: blob_of(F.col("text")), salt: F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")}).join(hits, [blob, salt], "left").drop(blob, salt)
 
     def run(batches):
         for part in base.slices(batches):
             texts = part.column("text").to_pylist()
-            for i, spans in enumerate(part.column("_spans").to_pylist()):
+            for i, spans in enumerate(part.column(found).to_pylist()):
                 if spans:
                     out, at = [], 0
                     for s in spans:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import heapq
 import itertools
 import math
 import random
@@ -244,25 +245,23 @@ def brute(rows):
         faults.append("b" if not end else "d" if (role, text) in seen else "t" if end[-1] not in ".!?" else "")
         seen.add((role, text))
     follows = {"": "su", "s": "u", "u": "a", "a": "u"}
-    best = {("", 0): (0, "", ())}
-    todo = [("", 0)]
-    while todo:   # relax until nothing improves
-        at = todo.pop()
-        last, i = at
-        cost, audit, lines = best[at]
-        steps = [(last if r not in follows[last] else r, i, cost + 2, audit + "I", (*lines, f"{name}:")) for r, name in (("u", "user"), ("a", "assistant")) if r in follows[last]]
+    heap, best = [(0, "", "", 0, ())], {}
+    while heap:   # least (cost, edits) first
+        cost, audit, last, i, lines = heapq.heappop(heap)
+        if (last, i) in best:
+            continue
+        best[last, i] = cost, audit, lines
+        steps = [(2, "I", r, 0, f"{name}:") for r, name in (("u", "user"), ("a", "assistant")) if r in follows[last]]
         if i < len(rows):
             _, role, text = rows[i]
-            steps.append((last, i + 1, cost + 3, audit + "D", lines))
+            steps.append((3, "D", last, 1, None))
             if faults[i] not in ("b", "d"):
                 t = faults[i] == "t"
                 if role[:1] and role[0] in follows[last]:
-                    steps.append((role[0], i + 1, cost + t, audit + "K", (*lines, f"{role}:{text}")))
-                steps += [(r, i + 1, cost + 2 + t, audit + "R", (*lines, f"{name}:{text}")) for r, name in (("u", "user"), ("a", "assistant")) if r in follows[last]]
-        for s, j, c, a, kept in steps:
-            if (s, j) not in best or (c, a) < best[s, j][:2]:
-                best[s, j] = c, a, kept
-                todo.append((s, j))
+                    steps.append((int(t), "K", role[0], 1, f"{role}:{text}"))
+                steps += [(2 + t, "R", r, 1, f"{name}:{text}") for r, name in (("u", "user"), ("a", "assistant")) if r in follows[last]]
+        for c, edit, state, step, line in steps:
+            heapq.heappush(heap, (cost + c, audit + edit, state, i + step, lines if line is None else (*lines, line)))
     return faults, *min(best[s, len(rows)] for s in ("", "a") if (s, len(rows)) in best)
 
 
