@@ -73,13 +73,33 @@ def disclosure_receipts(spark, sf):
         "queue_event_id", "receipt_count", "rcept_no", "receipt_status")
 
 
+# Candidates of an event are looked for in its lot of a code, so that none, one and several all occur; every row takes part.
+def _lot_sql(k: str, n: int, own: str = "") -> str:
+    return f"code||'-'||CAST(({k}{own})%{n} AS VARCHAR)"
+
+
+for _n in (11, 23, 29, 97):
+    cte(f"queue_{_n}", f"SELECT * REPLACE ({_lot_sql('k', _n, f'+(k//{_n})%2')} AS code) FROM (SELECT *, CAST(queue_event_id AS BIGINT) AS k FROM queue)", "queue")
+    cte(f"disc_{_n}", f"SELECT * REPLACE ({_lot_sql('order_key', _n)} AS code) FROM disc", "disc")
+
+
+def queue_lots(spark, sf, n):
+    """Events; every second stretch of n looks into the next lot, not its own."""
+    k = F.col("queue_event_id").cast("long")
+    return d.queue(spark, sf).withColumn("code", F.concat_ws("-", "code", ((k + F.floor(k / n) % 2) % n).cast("string")))
+
+
+def disclosure_lots(spark, sf, n):
+    return d.disclosures(spark, sf).withColumn("code", F.concat_ws("-", "code", (F.col("order_key") % n).cast("string")))
+
+
 @query("receipt_or_only_candidate", "J13", sql("""SELECT q.queue_event_id, coalesce(x.r, CASE WHEN o.n=1 THEN o.r END) AS rcept_no,
- CASE WHEN x.r IS NOT NULL THEN 'EXACT_DATE' WHEN o.n=1 THEN 'ONLY_CANDIDATE' ELSE 'NONE' END AS match_basis FROM queue q
- LEFT JOIN (SELECT code, rcept_dt, max(rcept_no) AS r FROM disc WHERE order_key%50=0 GROUP BY 1,2) x ON x.code=q.code AND x.rcept_dt=q.source_reference_date
- LEFT JOIN (SELECT code, count(*) AS n, max(rcept_no) AS r FROM disc WHERE order_key%50=0 GROUP BY 1) o ON o.code=q.code""", "queue", "disc"))
+ CASE WHEN x.r IS NOT NULL THEN 'EXACT_DATE' WHEN o.n=1 THEN 'ONLY_CANDIDATE' ELSE 'NONE' END AS match_basis FROM queue_97 q
+ LEFT JOIN (SELECT code, rcept_dt, max(rcept_no) AS r FROM disc_97 GROUP BY 1,2) x ON x.code=q.code AND x.rcept_dt=q.source_reference_date
+ LEFT JOIN (SELECT code, count(*) AS n, max(rcept_no) AS r FROM disc_97 GROUP BY 1) o ON o.code=q.code""", "queue_97", "disc_97"))
 def receipt_or_only_candidate(spark, sf):
-    rare = d.disclosures(spark, sf).where("order_key % 50 = 0").withColumn("source_reference_date", F.col("rcept_dt"))
-    return ev.match_or_only(d.queue(spark, sf), rare, ["code"], "source_reference_date", "rcept_no").select(
+    filed = disclosure_lots(spark, sf, 97).withColumn("source_reference_date", F.col("rcept_dt"))
+    return ev.match_or_only(queue_lots(spark, sf, 97), filed, ["code"], "source_reference_date", "rcept_no").select(
         "queue_event_id", "rcept_no", "match_basis")
 
 
@@ -96,14 +116,14 @@ def decision_before_notice(spark, sf):
     return ev.pair_decision(notices, d.disclosures(spark, sf), "배당결정", "정정").select("queue_event_id", "decision_date", "decision_no")
 
 
-cte("yamt", "SELECT code, fiscal_year, floor(amount/60000)*100 AS amount FROM disc WHERE order_key%40=0", "disc")
+cte("yamt", "SELECT code, fiscal_year, floor(amount/60000)*100 AS amount FROM disc_11", "disc_11")
 cte("yrng", "SELECT code, fiscal_year, min(amount) AS lo, max(amount) AS hi FROM yamt GROUP BY 1,2", "yamt")
-cte("yjoin", """SELECT q.queue_event_id, p.lo AS lo1, p.hi AS hi1, s.lo AS lo0, s.hi AS hi0 FROM queue q LEFT JOIN yrng p ON p.code=q.code AND p.fiscal_year+1=CAST(substr(q.source_reference_date,1,4) AS INTEGER)
- LEFT JOIN yrng s ON s.code=q.code AND s.fiscal_year=CAST(substr(q.source_reference_date,1,4) AS INTEGER)""", "queue", "yrng")
+cte("yjoin", """SELECT q.queue_event_id, p.lo AS lo1, p.hi AS hi1, s.lo AS lo0, s.hi AS hi0 FROM queue_11 q LEFT JOIN yrng p ON p.code=q.code AND p.fiscal_year+1=CAST(substr(q.source_reference_date,1,4) AS INTEGER)
+ LEFT JOIN yrng s ON s.code=q.code AND s.fiscal_year=CAST(substr(q.source_reference_date,1,4) AS INTEGER)""", "queue_11", "yrng")
 
 
 def year_amounts(spark, sf):
-    return d.disclosures(spark, sf).where("order_key % 40 = 0").select("code", "fiscal_year", (F.floor(F.col("amount") / 60000) * 100).cast("double").alias("amount"))
+    return disclosure_lots(spark, sf, 11).select("code", "fiscal_year", (F.floor(F.col("amount") / 60000) * 100).cast("double").alias("amount"))
 
 
 def _amt(lo, hi, used):
@@ -113,21 +133,24 @@ def _amt(lo, hi, used):
 
 @query("amounts_with_year_fallback", "J17 EV11", sql(_amt("coalesce(lo1,lo0)", "CASE WHEN lo1 IS NULL THEN hi0 ELSE hi1 END", "lo1 IS NULL AND lo0 IS NOT NULL"), "yjoin"))
 def amounts_with_year_fallback(spark, sf):
-    return ev.amount_by_year(d.queue(spark, sf), year_amounts(spark, sf)).select("queue_event_id", "amount_status", "candidate_amount", "year_fallback")
+    return ev.amount_by_year(queue_lots(spark, sf, 11), year_amounts(spark, sf)).select("queue_event_id", "amount_status", "candidate_amount", "year_fallback")
 
 
 @query("pooled_cash_amounts", "EV10", sql(_amt("least(lo1,lo0)", "greatest(hi1,hi0)", "false"), "yjoin"))
 def pooled_cash_amounts(spark, sf):
-    return ev.amount_by_year(d.queue(spark, sf), year_amounts(spark, sf), pooled=True).select(
+    return ev.amount_by_year(queue_lots(spark, sf, 11), year_amounts(spark, sf), pooled=True).select(
         "queue_event_id", "amount_status", "candidate_amount", "year_fallback")
 
 
-@query("receipt_preferring_amounts", "J18", sql(f"""SELECT q.queue_event_id, coalesce(x.n,o.n,0) AS value_count, {STAT.format('coalesce(x.n,o.n,0)', 'UNIQUE', 'AMBIGUOUS', 'NONE')} AS value_status FROM dq q
- LEFT JOIN (SELECT code, rcept_no, count(DISTINCT amount) AS n FROM disc WHERE order_key%3=0 GROUP BY 1,2) x ON x.code=q.code AND x.rcept_no=q.queue_event_id
- LEFT JOIN (SELECT code, count(DISTINCT amount) AS n FROM disc WHERE order_key%3=0 GROUP BY 1) o ON o.code=q.code""", "dq", "disc"))
+@query("receipt_preferring_amounts", "J18", sql(f"""SELECT q.queue_event_id, coalesce(x.n,o.n,0) AS value_count, {STAT.format('coalesce(x.n,o.n,0)', 'UNIQUE', 'AMBIGUOUS', 'NONE')} AS value_status FROM (SELECT rcept_no AS queue_event_id,
+ code||'-'||CAST((order_key+(order_key//97)%2)%97 AS VARCHAR) AS code FROM disc) q
+ LEFT JOIN (SELECT code, rcept_no, count(DISTINCT amount) AS n FROM disc_97 GROUP BY 1,2) x ON x.code=q.code AND x.rcept_no=q.queue_event_id
+ LEFT JOIN (SELECT code, count(DISTINCT amount) AS n FROM disc_97 GROUP BY 1) o ON o.code=q.code""", "disc", "disc_97"))
 def receipt_preferring_amounts(spark, sf):
-    rows = d.disclosures(spark, sf).where("order_key % 3 = 0").select("code", "rcept_no", "amount")
-    q = disclosure_queue(spark, sf).withColumn("rcept_no", F.col("queue_event_id")).drop("amount")
+    rows = disclosure_lots(spark, sf, 97).select("code", "rcept_no", "amount")
+    k = F.col("order_key")
+    q = (disclosure_queue(spark, sf).withColumn("rcept_no", F.col("queue_event_id")).drop("amount")
+         .withColumn("code", F.concat_ws("-", "code", ((k + F.floor(k / 97) % 2) % 97).cast("string"))))
     return ev.receipt_preferring(q, rows, "amount").select("queue_event_id", "value_count", "value_status")
 
 
@@ -247,9 +270,9 @@ def official_cash_events(spark, sf):
     return ev.validate_cash_events(q, ["order_key"], etf=True).select("order_key", F.concat_ws("|", "reasons").alias("reasons"))
 
 
-@query("injected_events", "EV13", sql("SELECT queue_event_id, code FROM queue UNION ALL SELECT 'E'||CAST(order_key AS VARCHAR), code FROM dq WHERE order_key%20=0", "queue", "dq"))
+@query("injected_events", "EV13", sql("SELECT queue_event_id, code FROM queue UNION ALL SELECT 'E'||CAST(order_key AS VARCHAR), code FROM dq", "queue", "dq"))
 def injected_events(spark, sf):
-    new = disclosure_queue(spark, sf).where("order_key % 20 = 0").select(
+    new = disclosure_queue(spark, sf).select(
         F.concat(F.lit("E"), F.col("order_key").cast("string")).alias("queue_event_id"), "code", "event_family", "source_reference_date")
     return ev.inject_events(d.queue(spark, sf), new)[0].select("queue_event_id", "code")
 
@@ -272,14 +295,14 @@ def status_summary(spark, sf):
 @query("ambiguity_report", "EV16", sql("""SELECT queue_event_id, CASE WHEN amount_status LIKE 'AMBIGUOUS%' THEN 'ISSUER_DOCUMENT_WITH_AMOUNT' WHEN amount_status LIKE 'NO_%' THEN 'ANY_OFFICIAL_AMOUNT_SOURCE' ELSE 'NONE' END AS next_required_evidence
  FROM (""" + _amt("least(lo1,lo0)", "greatest(hi1,hi0)", "false") + ")", "yjoin"))
 def ambiguity_report(spark, sf):
-    rows = ev.amount_by_year(d.queue(spark, sf), year_amounts(spark, sf), pooled=True)
+    rows = ev.amount_by_year(queue_lots(spark, sf, 11), year_amounts(spark, sf), pooled=True)
     return ev.ambiguity_report(rows, "amount_status").select("queue_event_id", "next_required_evidence")
 
 
 @query("exdate_queue", "EV17", sql(f"""SELECT q.queue_event_id, count(x.rcept_no) AS decision_count, {STAT.format('count(x.rcept_no)', 'UNIQUE_DECISION', 'AMBIGUOUS_DECISIONS', 'NO_DECISION')} AS exdate_status
- FROM queue q LEFT JOIN (SELECT * FROM disc WHERE order_key%60=0) x ON x.code=q.code AND {DAYS.format('q.source_reference_date', 'x.rcept_dt')}<=430 GROUP BY 1""", "queue", "disc"))
+ FROM queue_23 q LEFT JOIN disc_23 x ON x.code=q.code AND {DAYS.format('q.source_reference_date', 'x.rcept_dt')}<=430 GROUP BY 1""", "queue_23", "disc_23"))
 def exdate_queue(spark, sf):
-    return ev.exdate_queue(d.queue(spark, sf), d.disclosures(spark, sf).where("order_key % 60 = 0")).select("queue_event_id", "decision_count", "exdate_status")
+    return ev.exdate_queue(queue_lots(spark, sf, 23), disclosure_lots(spark, sf, 23)).select("queue_event_id", "decision_count", "exdate_status")
 
 
 @query("gap_priorities", "EV23", sql("""SELECT queue_event_id, CASE WHEN event_family='DIVIDEND_OR_DISTRIBUTION' THEN CASE WHEN source_reference_date>='1998' THEN 'P1_RECENT_DIVIDEND' ELSE 'P3_HISTORICAL_DIVIDEND' END
@@ -351,11 +374,11 @@ def residual_dividends(spark, sf):
     return ev.residual_status(q, a, c, n).select("queue_event_id", "residual_status")
 
 
-@query("evidence_inventory", "EV35", sql("""SELECT q.queue_event_id, count(x.rcept_no) AS strict_count FROM queue q LEFT JOIN (SELECT * FROM disc WHERE order_key%30=0) x ON x.code=q.code
- AND date_diff('day', strptime(q.source_reference_date,'%Y%m%d'), strptime(x.rcept_dt,'%Y%m%d')) BETWEEN -450 AND 30 GROUP BY 1""", "queue", "disc"))
+@query("evidence_inventory", "EV35", sql("""SELECT q.queue_event_id, count(x.rcept_no) AS strict_count FROM queue_29 q LEFT JOIN disc_29 x ON x.code=q.code
+ AND date_diff('day', strptime(q.source_reference_date,'%Y%m%d'), strptime(x.rcept_dt,'%Y%m%d')) BETWEEN -450 AND 30 GROUP BY 1""", "queue_29", "disc_29"))
 def evidence_inventory(spark, sf):
-    strict = d.disclosures(spark, sf).where("order_key % 30 = 0").select("code", F.col("rcept_dt").alias("effective_date"))
-    return ev.evidence_inventory(d.queue(spark, sf), strict).select("queue_event_id", "strict_count")
+    strict = disclosure_lots(spark, sf, 29).select("code", F.col("rcept_dt").alias("effective_date"))
+    return ev.evidence_inventory(queue_lots(spark, sf, 29), strict).select("queue_event_id", "strict_count")
 
 
 @query("first_known_filings", "EV36", sql("""SELECT rcept_no, min(rcept_dt) OVER (PARTITION BY code, report_nm) AS first_known_at, min(rcept_dt) OVER (PARTITION BY code, report_nm)<='19960101' AS known_before_exdate FROM disc""", "disc"))

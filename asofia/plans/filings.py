@@ -109,11 +109,11 @@ def complex_action_review(spark, sf):
     return ev.complex_review(rows).select("queue_event_id", "semantic_status")
 
 
-@query("coverage_gate", "EV44", sql("""SELECT code, bool_and(order_key%200<>0) AS items_verified, count(*) FILTER (WHERE order_key%300=0) AS blockers,
- bool_and(order_key%200<>0) AND count(*) FILTER (WHERE order_key%300=0)=0 AS complete FROM dq GROUP BY 1""", "dq"))
+@query("coverage_gate", "EV44", sql("""SELECT code, bool_and(source_reference_date<='19980725') AS items_verified, count(*) FILTER (WHERE source_reference_date<'19920104') AS blockers,
+ bool_and(source_reference_date<='19980725') AND count(*) FILTER (WHERE source_reference_date<'19920104')=0 AS complete FROM dq GROUP BY 1""", "dq"))
 def coverage_gate(spark, sf):
-    q = disclosure_queue(spark, sf).withColumn("status", F.when(F.col("order_key") % 200 == 0, "MISSING").otherwise("VERIFIED"))
-    return ev.coverage_gate(q, q.where("order_key % 300 = 0"))
+    q = disclosure_queue(spark, sf).withColumn("status", F.when(F.col("source_reference_date") > "19980725", "MISSING").otherwise("VERIFIED"))
+    return ev.coverage_gate(q, q.where("source_reference_date < '19920104'"))
 
 
 @query("rule_driven_audit", "EV45", sql("""SELECT queue_event_id, CASE WHEN order_key%6<>4 THEN 'TITLE_TERMS_MISSING' WHEN receipt_count<>1 THEN 'RECEIPT_NOT_UNIQUE' WHEN order_key%5=0 THEN 'DOCUMENT_MISSING'
@@ -277,7 +277,7 @@ def notice_membership(spark, sf):
 @query("common_share_notices", "DX15", sql("""SELECT code, count(*) AS notices, CASE WHEN count(*)=1 THEN max(rcept_no) END AS notice_id FROM disc WHERE order_key%100 IN (0,4) GROUP BY 1""", "disc"))
 def common_share_notices(spark, sf):
     k = F.col("order_key") % 100
-    n = d.disclosures(spark, sf).where(k.isin(0, 4, 1, 2)).withColumns({
+    n = d.disclosures(spark, sf).withColumns({
         "title": F.when(k.isin(0, 4), "알파전자 배당락").when(k == 1, "알파전자우").otherwise("알파전자(우)"), "notice_id": F.col("rcept_no")})
     return dx.common_notice(n, "code", "title")
 

@@ -258,11 +258,10 @@ def coverage_gaps(spark, sf):
     return ig.missing_ranges(spans(spark, sf), "19920101", "20011231")
 
 
-@query("dividend_records", "SRC19", """SELECT substr(CAST(1000000+user_id AS VARCHAR),2) AS code, event_id, coalesce(json_extract_string(props,'$.k'),'') AS k, props AS raw_json FROM events
- WHERE length(CAST(user_id AS VARCHAR))<=6""")
+@query("dividend_records", "SRC19", """SELECT CASE WHEN length(CAST(user_id AS VARCHAR))<6 THEN lpad(CAST(user_id AS VARCHAR),6,'0') ELSE CAST(user_id AS VARCHAR) END AS code, event_id,
+ coalesce(json_extract_string(props,'$.k'),'') AS k, props AS raw_json FROM events""")
 def dividend_records(spark, sf):
-    e = d.table(spark, sf, "events").where(F.length(F.col("user_id").cast("string")) <= 6)
-    raw = e.select(F.col("user_id").cast("string").alias("code"), "event_id", F.col("props").alias("payload"))
+    raw = d.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("code"), "event_id", F.col("props").alias("payload"))
     return ig.normalize_dividend_rows(raw, ["k"], ["event_id"])
 
 
