@@ -48,6 +48,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column has it (case does not count)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """Rows spread over the cores when the input has fewer files than that.
 

@@ -10,8 +10,9 @@
    posterior probability of the similarity bound is below MISS; survivors are
    confirmed on their full sets. This joins nearly all copies of a text.
 3. Buckets that still hold more than one component are compared across
-   components only, in blocks of bounded size; a pair is looked at in the first
-   band that it shares. Survivors are confirmed on full sets as well. So every
+   components only, in blocks of bounded rows and bytes that carry the full sets;
+   a pair is looked at in the first band that it shares. Survivors are confirmed
+   and united at once, so a block gives no more links than it has members. Every
    candidate pair that could join two components is decided, and no link is lost
    by the choice of the center in step 2.
 4. Components come from alternating star contractions of the confirmed links.
@@ -21,9 +22,10 @@ or if its posterior falls below MISS. Sets are compared by 64-bit shingle
 hashes.
 
 Defined cases: a document without words or text has an empty set and links with
-nothing; fewer words than a shingle are one shingle; rows of one doc_id are one
-document; rows with a null doc_id take no part and are kept; texts of any length
-are read whole; an empty table gives an empty result; other columns are ignored.
+nothing; fewer words than a shingle are one shingle; rows of one doc_id with the
+same text are one document, with different texts each is a document of its own;
+rows with a null doc_id take no part and are kept; texts of any length are read
+whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,10 +45,10 @@ BANDS, ROWS = 24, 4
 HASHES = 128            # the bands use the first BANDS * ROWS
 STEPS = (32, 64, 96, 128)
 MISS = 1e-5
-BLOCK = 1_024           # members of a bucket that meet in one group
+BLOCK, BLOCK_BYTES = 1_024, 16 << 20   # members of a bucket that meet in one group, and their sets
 MOST_WORDS = 500_000  # distinct words that a worker keeps
 
-FEATURES = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
+FEATURES = "doc_id long, text_key long, n_shingles long, set_key binary, signature binary, bands array<long>"
 _RNG = np.random.default_rng(20240711)
 _MUL = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -109,10 +111,10 @@ def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def make(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(part.column("text").to_pylist(), words)
         sig = signatures(sets)
-        return {"doc_id": part.column("doc_id"), "n_shingles": list(map(len, sets)), "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+        return {"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "n_shingles": list(map(len, sets)), "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                 "signature": [s.tobytes() for s in sig], "bands": list(band_keys(sig))}
 
-    return base.map_rows(base.dealt(docs.select("doc_id", "text")), make, FEATURES)
+    return base.map_rows(base.dealt(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))), make, FEATURES)
 
 
 # ---- verification ----------------------------------------------------------
@@ -174,18 +176,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
         for part in batches:
             keep = []
             for x, y in zip(part.column("_sa"), part.column("_sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return base.map_batches(rows, run, "a long, b long").distinct()
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+class Forest:
+    """Components of the members of a block, united link by link."""
+
+    def __init__(self, comp: np.ndarray) -> None:
+        self.name = np.unique(comp, return_inverse=True)[1]   # component of each member, as a small number
+        self.links: list[tuple[int, int]] = []
+
+    def unite(self, i: int, j: int) -> None:
+        self.name[self.name == self.name[j]] = self.name[i]
+        self.links.append((i, j))
+
+
 def across(buckets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Plausible pairs (a, b) of different components within the blocks of each bucket.
+    """Confirmed links (a, b) that join the components within the blocks of each bucket, a spanning forest of each block.
 
-    buckets: band, i, j, side (0 in block i, 1 in block j), rep, comp, n_shingles, signature, bands.
+    buckets: band, i, j, side (0 in block i, 1 in block j), rep, comp, n_shingles, signature, bands, shingles.
     """
     least = least_matches(percent)
 
@@ -193,24 +211,24 @@ def across(buckets: DataFrame, percent: int = PERCENT) -> DataFrame:
         side, rep, comp, n = (t.column(c).to_numpy() for c in ("side", "rep", "comp", "n_shingles"))
         sig = _signature_rows(t.column("signature"))
         bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        band = t.column("band")[0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
         same_block = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        earlier = band >> 56
+        earlier = t.column("band")[0].as_py() >> 56
+        forest = Forest(comp)
         left = np.arange(len(rep)) if same_block else np.flatnonzero(side == 0)
         right = left if same_block else np.flatnonzero(side == 1)
-        out_a, out_b = [], []
         for k in left:
-            other = right[(comp[right] != comp[k]) & (np.minimum(n[right], n[k]) * 100 >= np.maximum(n[right], n[k]) * percent)]
+            other = right[(forest.name[right] != forest.name[k]) & (np.minimum(n[right], n[k]) * 100 >= np.maximum(n[right], n[k]) * percent)]
             if same_block:
                 other = other[rep[other] > rep[k]]
             if earlier and len(other):
                 other = other[~(bands[other, :earlier] == bands[k, :earlier]).any(1)]
             if len(other):
-                hit = rep[other[similar_enough(np.broadcast_to(sig[k], (len(other), HASHES)), sig[other], least)]]
-                out_a.append(np.minimum(hit, rep[k]))
-                out_b.append(np.maximum(hit, rep[k]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(out_a or [none]), "b": np.concatenate(out_b or [none])})
+                for m in other[similar_enough(np.broadcast_to(sig[k], (len(other), HASHES)), sig[other], least)]:
+                    if forest.name[m] != forest.name[k] and linked(sets[k], sets[m], percent):
+                        forest.unite(k, m)
+        i, j = np.array(forest.links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
 
     return buckets.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -243,8 +261,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 # ---- operator --------------------------------------------------------------
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def _decided(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, kept of every row."""
     f = base.stored(features(docs, words))
     classes = base.stored(f.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "bands")).alias("x"))
                           .select("set_key", F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.signature", "x.bands"))
@@ -265,31 +283,43 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = base.stored(confirmed(first, sets, percent))
     found = base.stored(components(links))
 
-    rows = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-    mixed = (rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"),
+    rows = (shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(classes.select("rep", "n_shingles"), "rep")
+            .select("band", "rep", "size", "n_shingles", F.coalesce("component", "rep").alias("comp")))
+    mixed = (rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("_held"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"),
                                       F.bit_xor(F.xxhash64("rep")).alias("_x"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("_y"))
-             .where("_lo <> _hi").groupBy("size", "_x", "_y").agg(F.min("band").alias("band")))   # buckets with the same members count once
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = (rows.drop("size").join(mixed.select("band", "size"), "band").withColumn("_parts", parts)
+             .where("_lo <> _hi").groupBy("size", "_held", "_x", "_y").agg(F.min("band").alias("band")))   # buckets with the same members count once
+    parts = F.least(F.col("size"), F.ceil(F.col("size") / BLOCK) + F.floor(F.col("_held") * 8 / BLOCK_BYTES)).cast("int")
+    rows = (rows.drop("size").join(mixed.select("band", "size", "_held"), "band").withColumn("_parts", parts)
             .withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int")))
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda k: F.struct(
         F.least(k, F.col("_own")).alias("i"), F.greatest(k, F.col("_own")).alias("j"), (F.col("_own") > k).cast("int").alias("side"))))
     rows = rows.select("band", "rep", "comp", meets.alias("m")).select("band", "rep", "comp", "m.i", "m.j", "m.side")
-    rows = rows.join(classes.select("rep", "n_shingles", "signature", "bands"), "rep")
-    more = base.stored(confirmed(across(rows, percent).distinct(), sets, percent))
+    rows = rows.join(classes.select("rep", "n_shingles", "signature", "bands").join(sets, "rep"), "rep")
+    more = base.stored(across(rows, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
     named = classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("_c"))
-    joined = f.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    joined = f.select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("_c")).otherwise(F.col("doc_id")))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return _decided(docs, words, percent).drop("text_key")
 
 
 def drop_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, with all their columns, of one document of each component."""
-    gone = near_duplicates(docs, words, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, with all their columns, of one document of each component.
+
+    Rows go by their id and text, so of an id that has several texts only those
+    go that another document stands for. Rows without id, words or text stay; an
+    empty table stays empty; other columns, whatever their names, are passed on.
+    """
+    gone_id, gone_key = base.free_names(docs.columns, "gone_id", "gone_key")
+    gone = _decided(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_key)), "left_anti").select(*docs.columns)
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
