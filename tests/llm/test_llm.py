@@ -190,17 +190,28 @@ def test_top_k_ties_and_gaps(spark):
     assert topk_bounds.top_k(none, none).count() == 0
 
 
-def test_bounds_stop_early():
+def test_bounds_stop_queries_and_lose_nothing():
     rng = np.random.default_rng(2)
-    rows = np.zeros((4096, 6), np.int64)
-    rows[:, 0] = rng.integers(0, 1000, 4096)
-    rows[:, 1:] = rng.integers(-5, 6, (4096, 5))
-    q = np.array([[9, 1, 1, 1, 1, 1], [-9, 1, 0, 2, 0, 1]])
-    ids = np.arange(4096)
-    a, b, s = topk_bounds.top_of_block(q, np.array([-1, -2]), rows, ids, 10)
-    for k, name in enumerate((-1, -2)):
-        best = sorted((-int(q[k] @ r), i) for i, r in zip(ids, rows))[:10]
-        assert [(-int(y), int(i)) for x, i, y in zip(a, b, s) if x == name] == best
+    rows = np.floor(64 * (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(rng.normal(size=(12_000, 32)))).astype(np.int64)
+    q, own = rows[:40], np.arange(40)
+    found = topk_bounds.Bounds(q, own, np.full(40, -np.inf), 10)
+    for a in range(0, 12_000, 5_000):
+        found.add(rows[a:a + 5_000], np.arange(a, min(a + 5_000, 12_000)), np.arange(a, min(a + 5_000, 12_000)))
+    a, b, s = found.result()
+    for k in range(40):
+        best = sorted((-int(x), i) for i, x in enumerate(rows @ q[k]) if i != k)[:10]
+        assert [(-int(y), int(i)) for x, i, y in zip(a, b, s) if x == k] == best
+    assert found.stops > 0.7 * found.reads     # most queries stop on their bounds in most blocks
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 30, [float(x) for x in rng.normal(size=4)]) for i in range(120)] + [(20, [0.5] * 4), (20, [0.5] * 4)]
+    v = topk_bounds.base.stored(topk_bounds.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    got = topk_bounds.top_k(v.where("vec_id % 20 = 0"), v, 20, query_block=3, candidate_block=40, seed=30)
+    con = duckdb.connect()
+    con.register("embeddings", pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(topk_bounds.OP2_SQL).fetchall())
 
 
 def test_tool_links(spark):
