@@ -1,16 +1,19 @@
 """Terms, dates, amounts and links from document text.
 
-Everything is a built-in expression over whole texts: no Python runs per row,
-and a document is never cut. Exploding operators emit rows per document in
-proportion to its length, so a few huge documents spread like any other rows.
+Operators are built-in expressions over whole texts, and a document is never
+cut. The one exception is ``contexts``, the list of matches with their places,
+which no built-in function gives: Arrow batches with a scan of each text.
+Exploding operators emit rows per document in proportion to its length, so a few
+huge documents spread like any other rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from asofia.functions.norm import DATE_IN_TEXT, clean_number, contains_any, first_reason
@@ -107,18 +110,55 @@ def amount_after_label(text: str, labels: Sequence[str], width: int = 120) -> Co
     return clean_number(F.regexp_extract(_c(text), rf"(?s)(?:{words}).{{0,{width}}}?{NUMBER}", 1))
 
 
-def date_amount_pairs(docs: DataFrame, key: str, text: str, keywords: Sequence[str], unit: str = "원", around: int = 80) -> DataFrame:
-    """Every date that has a keyword near it with every distinct amount of the document.
+def contexts(docs: DataFrame, key: str, text: str, patterns: Sequence[str], before: int, after: int) -> DataFrame:
+    """(key, pattern, start, groups, context) of every match of every pattern in each text.
 
-    Dates and amounts of one document are made distinct first, so the pairs are
-    those the result lists and no more.
+    ``context`` reaches from ``before`` characters ahead of the match to ``after``
+    behind it; ``pattern`` counts from 0. Matches of one text leave in small batches.
     """
-    words = "|".join(re.escape(w) for w in keywords)
-    near = (rf"(?s)(?:{words}).{{0,{around}}}?" + DATE_IN_TEXT)
-    amounts = F.array_distinct(F.regexp_extract_all(_c(text), F.lit(NUMBER + r"\s*" + unit), 1))
-    d = date_lists(docs, key, text, near).withColumn("event_date", F.explode("dates")).drop("dates")
-    a = docs.select(key, F.explode(amounts).alias("_a")).select(key, clean_number("_a").alias("amount")).distinct()
-    return d.join(a, key)
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, pattern int, start int, groups array<string>, context string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = [re.compile(p) for p in patterns]
+        for batch in batches:
+            names, rows = [key, "pattern", "start", "groups", "context"], []
+
+            def made() -> pa.RecordBatch:
+                keys, *rest = zip(*rows)
+                kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()]
+                return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((keys, *rest), kinds)], names=names)
+
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for i, one in enumerate(find):
+                    for m in one.finditer(t or ""):
+                        rows.append((k, i, m.start(), list(m.groups()), t[max(0, m.start() - before):m.end() + after]))
+                        if len(rows) >= 4_096:
+                            yield made()
+                            rows = []
+            if rows:
+                yield made()
+
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
+# A date as it is written in running text.
+DATE_NEAR = r"(20[0-9]{2})[-./년\s]+([0-9]{1,2})[-./월\s]+([0-9]{1,2})"
+
+
+def date_amount_pairs(docs: DataFrame, key: str, text: str, keywords: Sequence[str], unit: str = "원", before: int = 250,
+                      after: int = 350, cutoff: str | None = None) -> DataFrame:
+    """Every date that has a keyword near it with every distinct positive amount near it.
+
+    Near is the stretch from ``before`` characters ahead of the date to ``after``
+    behind it, blanks collapsed; each date has a stretch of its own. Dates after
+    ``cutoff`` are left out.
+    """
+    compact = docs.select(key, F.regexp_replace(_c(text), r"(?U)\s+", " ").alias("_text"))
+    near = contexts(compact, key, "_text", [DATE_NEAR], before, after).where(contains_any("context", keywords))
+    day = F.concat(F.col("groups")[0], F.lpad(F.col("groups")[1], 2, "0"), F.lpad(F.col("groups")[2], 2, "0"))
+    amounts = F.transform(F.regexp_extract_all("context", F.lit(NUMBER + r"\s*" + unit), 1), clean_number)
+    pairs = near.select(key, day.alias("event_date"), F.explode(F.array_distinct(amounts)).alias("amount")).where(F.col("amount") > 0)
+    return (pairs if cutoff is None else pairs.where(F.col("event_date") <= cutoff)).distinct()
 
 
 def date_lists(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
@@ -194,36 +234,76 @@ def notice_terms(df: DataFrame, url: str, text: str, name: str) -> DataFrame:
 
 
 def doc_ids(df: DataFrame, html: str) -> DataFrame:
-    """Fourteen-digit ids, the selected option and the first external address of a page."""
+    """Fourteen-digit ids, the document number of the selected option, the viewer path and the first external address of a page.
+
+    The number stands before a ``|Y`` or ``|N`` in the value of the selected
+    option, whatever the order of its attributes, else anywhere in the page.
+    """
     h = _c(html)
+    for entity, char in ENTITIES:
+        h = F.replace(h, F.lit(entity), F.lit(char))
+    number = r"([0-9]{14})\s*\|\s*[YNyn]"
+    option = F.regexp_extract(h, r"(?is)(<option\b(?=[^>]*\bselected\b)[^>]*>)", 1)
+    value = F.regexp_extract(option, r"""(?i)\bvalue\s*=\s*['"]([^'"]+)['"]""", 1)
     return df.withColumns({
         "ids": F.array_sort(F.array_distinct(F.regexp_extract_all(h, F.lit(r"(?<![0-9])([0-9]{14})(?![0-9])"), 1))),
-        "selected_option": F.regexp_extract(h, r'(?i)<option[^>]*value="([^"]*)"[^>]*selected', 1),
+        "selected_option": value,
+        "document_no": F.coalesce(F.nullif(F.regexp_extract(value, number, 1), F.lit("")), F.regexp_extract(h, number, 1)),
+        "viewer_url": F.regexp_extract(h, r"""(?i)parent\.setPath\(\s*['"][^'"]*['"]\s*,\s*['"](https?://[^'"]+)['"]""", 1),
         "external_url": F.regexp_extract(h, r'(?i)(?:href|src)="(https?://[^"]+)"', 1)})
 
 
-def links(pages: DataFrame, key: str, url: str, body: str, keywords: Sequence[str], same_host: bool = False) -> DataFrame:
-    """Links of all pages: highest keyword score, number of hits, number of pages."""
-    found = F.regexp_extract_all(_c(body), F.lit(r"""(?i)(?:href|src|action|data-url)\s*=\s*["']([^"'\s>]+)["']"""), 1)
-    rows = pages.select(key, F.col(url).alias("_page"), F.explode(found).alias("link"))
-    full = F.when(F.col("link").rlike(r"(?i)^https?://"), F.col("link")).when(F.col("link").startswith("/"), F.concat(
-        F.regexp_extract("_page", r"^(https?://[^/]+)", 1), F.col("link"))).otherwise(F.concat(
-            F.regexp_replace("_page", r"/[^/]*$", "/"), F.col("link")))
-    rows = rows.withColumn("link", full)
+# How addresses are written in pages and scripts.
+LINK_PATTERNS = (
+    r"""["']((?:https?:)?//[^"' ]+)["']""",
+    r"""["'](/[^"' ]+)["']""",
+    r"""(?i:url|action|data-url)\s*[:=]\s*["']([^"']+)["']""",
+    r"""(?i:fetch)\(\s*["']([^"']+)["']""",
+)
+LINK_BEFORE, LINK_AFTER, CONTEXT_LENGTH, FIRST_CONTEXTS = 180, 220, 500, 3
+
+
+def keyword_count(text: Column, keywords: Sequence[str]) -> Column:
+    """How many of the keywords the text holds, in any case."""
+    low, found = F.lower(text), F.lit(0)
+    for w in keywords:
+        found = found + F.contains(low, F.lit(w.lower())).cast("int")
+    return found
+
+
+def links(pages: DataFrame, key: str, url: str, body: str, keywords: Sequence[str], same_host: bool = False, least: int = 0) -> DataFrame:
+    """Addresses in pages and their scripts: link, score, hits, sources, contexts.
+
+    Every pattern that matches counts as a hit. The score of a hit is the number
+    of keywords in the address and the text around it; a link has its highest
+    score and the first three contexts by page and place. Hits under ``least``
+    are left out.
+    """
+    found = contexts(pages, key, body, LINK_PATTERNS, LINK_BEFORE, LINK_AFTER)
+    rows = found.join(pages.select(key, F.col(url).alias("_page")), key).withColumn("_raw", F.trim(F.col("groups")[0]))
+    rows = rows.where((F.col("_raw") != "") & ~F.col("_raw").rlike(r"(?i)^(javascript:|#)"))
+    raw = F.col("_raw")
+    full = (F.when(raw.rlike(r"(?i)^https?://"), raw)
+            .when(raw.startswith("//"), F.concat(F.regexp_extract("_page", r"^(https?:)", 1), raw))
+            .when(raw.startswith("/"), F.concat(F.regexp_extract("_page", r"^(https?://[^/?#]+)", 1), raw))
+            .otherwise(F.concat(F.regexp_replace("_page", r"/[^/]*$", "/"), raw)))
+    score = keyword_count(F.concat_ws(" ", raw, "context"), keywords)
+    rows = rows.select(key, "_page", "pattern", "start", full.alias("link"), score.alias("_score"),
+                       F.substring(F.regexp_replace("context", r"\s+", " "), 1, CONTEXT_LENGTH).alias("context")).where(F.col("_score") >= least)
     if same_host:
-        host = lambda c: F.regexp_extract(c, r"^https?://([^/]+)", 1)
+        host = lambda c: F.regexp_extract(c, r"^https?://([^/?#]+)", 1)
         rows = rows.where(host(F.col("link")) == host(F.col("_page")))
-    score = F.lit(0)
-    for w in keywords:
-        score = score + F.contains(F.lower("link"), F.lit(w.lower())).cast("int")
-    return rows.withColumn("_s", score).groupBy("link").agg(
-        F.max("_s").alias("score"), F.count(F.lit(1)).alias("hits"), F.countDistinct(key).alias("sources"))
+    place = Window.partitionBy("link").orderBy(key, "start", "pattern")   # a limit per task comes before the exchange
+    first = rows.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= FIRST_CONTEXTS)
+    said = first.groupBy("link").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "context"))), lambda x: x["context"]).alias("contexts"))
+    return rows.groupBy("link").agg(F.max("_score").alias("score"), F.count(F.lit(1)).alias("hits"), F.countDistinct(key).alias("sources")).join(said, "link")
 
 
-def rank_endpoints(found: DataFrame, n: int) -> DataFrame:
-    """Best n endpoints by 10 x score + hits + 3 x sources (a top-n report)."""
-    return found.withColumn("rank_score", F.col("score") * 10 + F.col("hits") + F.col("sources") * 3).orderBy(
-        F.desc("rank_score"), "link").limit(n)
+def rank_endpoints(found: DataFrame, keywords: Sequence[str], n: int) -> DataFrame:
+    """Best n endpoints by 10 x score + hits + 3 x keywords in the contexts (a top-n report)."""
+    bonus = keyword_count(F.array_join("contexts", " "), keywords)
+    return found.withColumn("rank_score", F.col("score") * 10 + F.col("hits") + bonus * 3).orderBy(
+        F.desc("rank_score"), F.desc("score"), F.desc("hits"), "link").limit(n)
 
 
 def membership_rank(field: str, text: str, name: str) -> Column:

@@ -207,12 +207,36 @@ def label_anchored_dates(spark, sf):
         "o_orderkey", "label_date", "label_date_status", dx.amount_after_label("text", ["보통주식"]).alias("amount"))
 
 
-@query("date_amount_pairs", "DX6", f"""SELECT o_orderkey, {REC.format('')} AS event_date, CAST(o_orderkey AS DOUBLE) AS amount FROM orders
- UNION SELECT o_orderkey, {REC.format('')}, 7.0::DOUBLE FROM orders""")
+def contexts_sql(source: str, keys: str, text: str, patterns, before: int, after: int) -> str:
+    """The matches of patterns in texts with what stands around them, from the pieces between the matches."""
+    parts = [f"SELECT {keys}, {text} AS t, {i} AS pattern, regexp_extract_all({text}, '{p.replace(chr(39), chr(39) * 2)}') AS m, string_split_regex({text}, '{p.replace(chr(39), chr(39) * 2)}') AS s FROM {source}"
+             for i, p in enumerate(patterns)]
+    return f"""SELECT * EXCLUDE (t, stop), stop-len(m) AS start, substr(t, greatest(0, stop-len(m)-{before})+1, stop+{after}-greatest(0, stop-len(m)-{before})) AS context FROM (
+ SELECT *, CAST(sum(len(s)+len(m)) OVER (PARTITION BY {keys}, pattern ORDER BY k) AS BIGINT) AS stop FROM (
+ SELECT {keys}, t, pattern, unnest(m) AS m, unnest(s[1:len(m)]) AS s, generate_subscripts(m, 1) AS k FROM ({" UNION ALL ".join(parts)})))"""
+
+
+# pages with dates, amounts and keywords put where their markup has paragraphs, lists, bold words and headings
+WOVEN = (("<p>", "' 2024-03-'||substr(CAST(101+page_id%28 AS VARCHAR),2)||' '"), ("</li>", "' '||CAST(page_id%997+1 AS VARCHAR)||',500원 '"),
+         ("<b>", "' 분배금 '"), ("<h1>", "' 2023.1.2 회의 999원 '"), ("</article>", "' 2022년 2월 '||CAST(page_id%9+1 AS VARCHAR)||'일 7원 '"))
+
+
+def _woven_sql() -> str:
+    out = "html"
+    for tag, text in WOVEN:
+        out = f"replace({out}, '{tag}', {text})"
+    return f"SELECT page_id, regexp_replace({out}, '\\s+', ' ', 'g') AS woven FROM pages"
+
+
+@query("date_amount_pairs", "DX6", rf"""SELECT DISTINCT page_id, event_date, amount FROM (SELECT page_id, regexp_extract(m, '{dx.DATE_NEAR}', 1)||lpad(regexp_extract(m, '{dx.DATE_NEAR}', 2), 2, '0')
+ ||lpad(regexp_extract(m, '{dx.DATE_NEAR}', 3), 2, '0') AS event_date, CAST(replace(unnest(regexp_extract_all(context, '([0-9][0-9,]*(?:\.[0-9]+)?)\s*원', 1)), ',', '') AS DOUBLE) AS amount
+ FROM ({contexts_sql(f"({_woven_sql()})", "page_id", "woven", [dx.DATE_NEAR], 250, 350)}) WHERE contains(context, '분배금') OR contains(context, '배당')) WHERE event_date<='20240320' AND amount>0""")
 def date_amount_pairs(spark, sf):
-    t = filings(spark, sf).select("o_orderkey", F.concat(F.lit("분배금 기준 "), "rec", F.lit(" 금액 "), F.col("o_orderkey").cast("string"),
-                                                         F.lit("원 및 7원, 7 원")).alias("text"))
-    return dx.date_amount_pairs(t, "o_orderkey", "text", ["분배금"])
+    text = "html"
+    for tag, value in WOVEN:
+        text = f"replace({text}, '{tag}', {value.replace('VARCHAR', 'STRING')})"
+    t = d.table(spark, sf, "pages").select("page_id", F.expr(text).alias("text"))
+    return dx.date_amount_pairs(t, "page_id", "text", ["분배금", "배당"], cutoff="20240320")
 
 
 @query("capital_action_terms", "DX7", f"""SELECT o_orderkey, {REC.format('')} AS allotment_date, 0.25::DOUBLE AS allotment_ratio, CASE WHEN {REC.format('')}>'20150101' THEN 'EVENT_AFTER_RESEARCH_CUTOFF'
@@ -243,24 +267,45 @@ def application_notices(spark, sf):
     return dx.notice_terms(t, "url", "text", "name").select("o_orderkey", "application_date", "publication_date", "is_member")
 
 
-@query("disclosure_ids_in_pages", "DX11", """SELECT o_orderkey, '20240101'||substr(CAST(100+o_orderkey%60 AS VARCHAR),2)||'1234' AS ids FROM orders""")
+# a viewer's menu in front of a page: the number of the page is the only one selected, first or last among the attributes
+MENU = """'<select><option value=&quot;20230101'||lpad(CAST(page_id%1000000 AS VARCHAR),6,'0')||'|Y&quot;>a</option><option '||CASE WHEN page_id%2=0 THEN 'selected value="' ELSE 'value="' END
+ ||CASE page_id%5 WHEN 4 THEN 'none' ELSE '20240101'||lpad(CAST(page_id%1000000 AS VARCHAR),6,'0')||'|N' END||CASE WHEN page_id%2=0 THEN '">' ELSE '" selected>' END||'b</option></select>'||html"""
+
+
+@query("disclosure_ids_in_pages", "DX11", r"""SELECT page_id, CASE page_id%5 WHEN 4 THEN '20230101' ELSE '20240101' END||lpad(CAST(page_id%1000000 AS VARCHAR),6,'0') AS document_no,
+ CASE page_id%5 WHEN 4 THEN 'none' ELSE '20240101'||lpad(CAST(page_id%1000000 AS VARCHAR),6,'0')||'|N' END AS selected_option,
+ regexp_extract(html,'(?i)(?:href|src)="(https?://[^"]+)"',1) AS external_url FROM pages""")
 def disclosure_ids_in_pages(spark, sf):
-    return dx.doc_ids(filings(spark, sf), "html").select("o_orderkey", F.concat_ws("|", "ids").alias("ids"))
+    pages = d.table(spark, sf, "pages").select("page_id", F.expr(MENU.replace("VARCHAR", "STRING")).alias("html"))
+    return dx.doc_ids(pages, "html").select("page_id", "document_no", "selected_option", "external_url")
+
+
+# every page's title word becomes the address of a call in its script
+SCRIPTED = "replace(html, 'track(', 'fetch(\"/api/'||CAST(page_id%7 AS VARCHAR)||'\");track(')"
+LINK_WORDS = ("page", "/the", "fetch", "nav")
+HITS = rf"""SELECT page_id, pattern, start, link, regexp_replace(context, '\s+', ' ', 'g')[1:500] AS context, """ + "+".join(
+    f"CAST(contains(lower(raw||' '||context), '{w}') AS INTEGER)" for w in LINK_WORDS) + rf""" AS score FROM (SELECT *, CASE WHEN regexp_matches(raw, '(?i)^https?://') THEN raw WHEN raw LIKE '//%' THEN regexp_extract(url, '^(https?:)', 1)||raw
+ WHEN raw LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1)||raw ELSE regexp_replace(url, '/[^/]*$', '/')||raw END AS link FROM (
+ SELECT *, trim(regexp_extract(m, '["'']([^"'']+)["'']', 1)) AS raw FROM ({contexts_sql(f"(SELECT page_id, url, {SCRIPTED} AS html FROM pages)", "page_id, url", "html", dx.LINK_PATTERNS, dx.LINK_BEFORE, dx.LINK_AFTER)}))
+ WHERE raw<>'' AND NOT regexp_matches(raw, '(?i)^(javascript:|#)'))"""
+LINKS = f"""SELECT link, max(score) AS score, count(*) AS hits, count(DISTINCT page_id) AS sources, string_agg(context, ' || ' ORDER BY n) FILTER (n<=3) AS contexts FROM (
+ SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id, start, pattern) AS n FROM ({HITS}) WHERE score>=1) GROUP BY 1"""
 
 
-LINKS = r"""SELECT full_link AS link, max(CASE WHEN contains(lower(full_link),'page') THEN 1 ELSE 0 END+CASE WHEN contains(lower(full_link),'/the') THEN 1 ELSE 0 END) AS score, count(*) AS hits, count(DISTINCT page_id) AS sources FROM (
- SELECT page_id, CASE WHEN regexp_matches(l,'(?i)^https?://') THEN l WHEN l LIKE '/%' THEN regexp_extract(url,'^(https?://[^/]+)',1)||l ELSE regexp_replace(url,'/[^/]*$','/')||l END AS full_link FROM (
- SELECT page_id, url, unnest(regexp_extract_all(html,'(?i)(?:href|src|action|data-url)\s*=\s*["'']([^"''\s>]+)["'']',1)) AS l FROM pages)) GROUP BY 1"""
+def _links(spark, sf):
+    pages = d.table(spark, sf, "pages").withColumn("html", F.expr(SCRIPTED.replace("VARCHAR", "STRING")))
+    return dx.links(pages, "page_id", "url", "html", LINK_WORDS, least=1)
 
 
 @query("page_links", "DX12", LINKS)
 def page_links(spark, sf):
-    return dx.links(d.table(spark, sf, "pages"), "page_id", "url", "html", ("page", "/the"))
+    return _links(spark, sf).withColumn("contexts", F.array_join("contexts", " || "))
 
 
-@query("ranked_endpoints", "DX13", f"SELECT link, rank_score FROM (SELECT link, score*10+hits+sources*3 AS rank_score FROM ({LINKS})) ORDER BY rank_score DESC, link LIMIT 20")
+@query("ranked_endpoints", "DX13", f"SELECT link, score*10+hits+3*(" + "+".join(f"CAST(contains(lower(contexts), '{w}') AS INTEGER)" for w in LINK_WORDS)
+       + f") AS rank_score FROM ({LINKS}) ORDER BY 2 DESC, score DESC, hits DESC, link LIMIT 20")
 def ranked_endpoints(spark, sf):
-    return dx.rank_endpoints(page_links(spark, sf), 20).select("link", "rank_score")
+    return dx.rank_endpoints(_links(spark, sf), LINK_WORDS, 20).select("link", "rank_score")
 
 
 @query("notice_membership", "DX14", sql("""SELECT code, count(*) AS notices, CASE WHEN count(*)=1 THEN max(rcept_no) END AS notice_id FROM (SELECT *, min(m) OVER (PARTITION BY code) AS best FROM (

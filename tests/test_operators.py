@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -377,3 +378,44 @@ def test_ranks_of_no_rows_and_infinite_values(spark):
     assert up == {"1": (4, 1), "2": (3, 1), "3": (1, 2), "4": (1, 2), "5": (None, None)}
     down = {r.code: r.score_rank for r in rk.with_total_order(odd, ["g"], "v", "code").collect()}
     assert down == {"1": 1, "2": 2, "3": 3, "4": 4, "5": 5}
+
+
+# ---- local contexts and links ------------------------------------------------
+
+def test_amounts_belong_to_dates_near_them(spark):
+    text = "2024-03-05 분배금 지급 100원 " + "가" * 600 + " 2023-01-02 회의 999원. 분배금 2022-02-02 5원"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "분배금 2024.1.9 12,500원 12,500 원 0원"), (4, "2024-03-05 100원")], "id long, t string")
+    got = {(r.id, r.event_date, r.amount) for r in dx.date_amount_pairs(df, "id", "t", ["분배금"]).collect()}
+    assert got == {(1, "20240305", 100.0), (1, "20230102", 999.0), (1, "20230102", 5.0), (1, "20220202", 999.0), (1, "20220202", 5.0), (3, "20240109", 12500.0)}
+    assert dx.date_amount_pairs(df, "id", "t", ["분배금"], cutoff="20221231").count() == 2
+    assert dx.date_amount_pairs(df.limit(0), "id", "t", ["분배금"]).count() == 0
+
+
+def test_contexts_are_those_of_a_plain_loop(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab1 2\n") for _ in range(rng.randint(0, 300))) for _ in range(40)] + ["1" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    got = sorted((r.id, r.pattern, r.start, tuple(r.groups), r.context) for r in dx.contexts(df, "id", "t", [r"(a)(b)", r"(1)"], 5, 9).collect())
+    want = sorted((i, k, m.start(), m.groups(), t[max(0, m.start() - 5):m.end() + 9]) for i, t in enumerate(texts) for k, p in enumerate([r"(a)(b)", r"(1)"]) for m in re.finditer(p, t))
+    assert got == want
+
+
+def test_links_in_scripts(spark):
+    body = """<a href='/a'>x</a> <script>fetch("/api/x"); $.ajax({url: "/api/y", type: 'GET'}); var z = { URL : 'list.do' }; go("javascript:void(0)"); u='//cdn.example.com/s.js'</script>"""
+    pages = spark.createDataFrame([(1, "http://h.example.com/d/p.html?q=1", body), (2, "http://h.example.com/", 'fetch("/api/x")')], "id long, url string, html string")
+    got = {r.link: r for r in dx.links(pages, "id", "url", "html", ["api"], same_host=True).collect()}
+    assert set(got) == {"http://h.example.com" + x for x in ("/a", "/api/x", "/api/y", "/d/list.do")}
+    x = got["http://h.example.com/api/x"]
+    assert (x.hits, x.sources, x.score) == (4, 2, 1) and len(x.contexts) == 3   # the quoted path and the call, on both pages
+    best = dx.rank_endpoints(dx.links(pages, "id", "url", "html", ["api"]), ["api", "ajax"], 1).first()
+    assert best.link == "http://h.example.com/api/x" and best.rank_score == 10 + 4 + 3 * 2
+    assert "http://cdn.example.com/s.js" in {r.link for r in dx.links(pages, "id", "url", "html", ["api"]).collect()}
+
+
+def test_selected_document_whatever_the_attribute_order(spark):
+    first = '<option value="20230101000001|Y">a</option><option selected value="20240101000002|N">b</option>'
+    last = "<option value='20230101000001|Y'>a</option><option value='20240101000003|N' selected>b</option>"
+    none = '<option value="20230101000001|Y">a</option> 99999999999999 parent.setPath("x", "https://v.example.com/external/1.htm")'
+    rows = dx.doc_ids(spark.createDataFrame([(1, first), (2, last), (3, none), (4, None)], "id int, h string"), "h").orderBy("id").collect()
+    assert [r.document_no for r in rows] == ["20240101000002", "20240101000003", "20230101000001", ""]
+    assert rows[2].viewer_url == "https://v.example.com/external/1.htm"
