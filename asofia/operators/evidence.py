@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from asofia.functions.norm import (RESEARCH_CUTOFF, PLACEHOLDER_WORDS_EVENTS, apply_rules, base_title, contains_any,
                                    day_number, first_reason, is_placeholder, norm_date)
 from asofia.operators.joins import asof_join, count_within, match_status
+from asofia.operators.ranks import row_numbers
 
 # Event families, statuses and action types of the ledger.
 DIVIDEND, ACTION = "DIVIDEND_OR_DISTRIBUTION", "CORPORATE_ACTION"
@@ -62,12 +63,12 @@ def with_event_ids(queue: DataFrame, order: Sequence[str]) -> DataFrame:
     """Twenty hex digits of the hash of code, family, date, text and a repeat number.
 
     The repeat number counts equal events in the order given; it replaces a
-    position in a file, which a distributed table does not have.
+    position in a file, which a distributed table does not have. An event that
+    makes up a large part of the queue is numbered in many tasks.
     """
     key = ["code", "event_family", "source_reference_date", "source_description"]
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
-    return queue.withColumn("_n", n).withColumn(
-        "queue_event_id", F.substring(F.sha2(F.concat_ws("|", *key, F.col("_n").cast("string")), 256), 1, 20)).drop("_n")
+    return row_numbers(queue, key, order, "_n").withColumn(
+        "queue_event_id", F.substring(F.sha2(F.concat_ws("|", *key, (F.col("_n") - 1).cast("string")), 256), 1, 20)).drop("_n")
 
 
 def verification_template(queue: DataFrame) -> DataFrame:

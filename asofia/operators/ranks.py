@@ -29,6 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from asofia.functions.norm import finite, is_financial, join_reasons
+from asofia.functions.search import count_at_most
 from asofia.sources.session import stored
 
 LEAST_PARTS = 16
@@ -71,8 +72,7 @@ def _in_cells(kept: DataFrame, by: Sequence[str], key: Sequence[Column], taking_
     at = lambda j: F.element_at("_keys", (F.floor(j * F.size("_keys") / F.col("_want")) + 1).cast("int"))
     cuts = (sample.groupBy(*by).agg(keys.alias("_keys"), F.first("_want").alias("_want"))   # the sample is bounded
             .select(*by, F.when(F.col("_want") > 1, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.col("_want") - 1)), at)).alias("_cuts")))
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range((2 * parts).bit_length()))])
-    cell = F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.try_element_at("_cuts", n + s) <= key, n + s).otherwise(n))   # binary search
+    cell = count_at_most(F.col("_cuts"), key, (2 * parts).bit_length())
     keyed = on_same(kept, F.broadcast(cuts), by, "left").withColumn("_cell", F.when(taking_part & F.col("_cuts").isNotNull(), cell).otherwise(0))
     counted = keyed.where(taking_part & F.col("_cuts").isNotNull()).groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_in_cell"))
     group = Window.partitionBy(*by)
@@ -116,6 +116,12 @@ def _positions(kept: DataFrame, by: Sequence[str], key: Sequence[Column]) -> Dat
             .drop("_cuts", "_cell", "_place", "_all", "_in_cell", "_before"))
 
 
+def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Number from 1 of each row in its group, nulls of ``order`` first; equal rows are numbered in any order."""
+    key = [x for c in order for x in (F.col(c).isNotNull(), F.col(c))]
+    return _positions(numbered(df), by, [*key, F.col("_row")]).withColumnRenamed("_position", out).drop("_in_group", "_row")
+
+
 def rank_columns(df: DataFrame, value: str, by: Sequence[str], ascending: bool = True) -> DataFrame:
     """Add ``_first`` (competition rank), ``_ties`` and ``_total`` over non-null values."""
     if not by:

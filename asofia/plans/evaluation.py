@@ -118,8 +118,7 @@ def calendar_walk_forward(spark, sf):
     folds = sp.calendar_folds(spark, "1993-01-01", "2001-06-30", 3, 6)   # one row per half year
     key = lambda c: F.date_format(c, "yyyyMMdd")
     f = folds.select(F.col("fold").cast("long").alias("fold"), key("test_start").alias("a"), key("test_end").alias("b"))
-    b = d.bars(spark, sf)
-    return b.join(f, b.date.between(F.col("a"), F.col("b"))).groupBy("fold", "code").agg(F.count(F.lit(1)).alias("test_bars"))
+    return sp.in_windows(d.bars(spark, sf), "date", f, "a", "b").groupBy("fold", "code").agg(F.count(F.lit(1)).alias("test_bars"))
 
 
 # ---- metrics ------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from asofia.functions import norm as nm
@@ -13,6 +15,7 @@ from asofia.plans.registry import query
 from asofia.plans.research import dataset, labels
 from asofia.plans.sqlbase import cte, sql
 from asofia.sources import derived as d, ingest as ig
+from asofia.sources.session import ensure_checkpoint_dir
 
 CUT = "19991231"
 
@@ -179,13 +182,18 @@ def foundation_audit(spark, sf):
         "actions": (ig.action_rows(d.actions(spark, sf), "20261231"), "effective_date")})
 
 
-@query("keyed_upsert", "SRC10", sql("""SELECT code, date, CASE WHEN volume%2=0 THEN close*2 ELSE close END AS close FROM bars
- UNION ALL SELECT code, 'N'||date, close FROM bars WHERE volume%6=0""", "bars"))
+@query("keyed_upsert", "SRC10", sql("""SELECT code, date, CASE WHEN date LIKE '1996%' AND volume%2=0 THEN close*4 ELSE close END AS close FROM bars
+ UNION ALL SELECT code, '1997N'||substr(date,5), close FROM bars WHERE date LIKE '1997%' AND volume%6=0""", "bars"))
 def keyed_upsert(spark, sf):
-    base = d.bars(spark, sf).select("code", "date", "close", "volume")
-    late = base.where("volume % 2 = 0").withColumn("close", F.col("close") * 2)
-    new = base.where("volume % 6 = 0").withColumn("date", F.concat(F.lit("N"), "date"))
-    return ig.merge_latest(base, late.unionByName(new), ["code", "date"]).select("code", "date", "close")
+    """A table of bars by year; corrections of one year (two versions) and new rows of another are merged in."""
+    base = d.bars(spark, sf).select("code", "date", "close", F.lit(0).alias("version"), F.substring("date", 1, 4).alias("year"), "volume")
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    base.drop("volume").write.partitionBy("year").parquet(path)
+    late = base.where("year = '1996' AND volume % 2 = 0")
+    late = late.withColumn("version", F.explode(F.array(F.lit(2), F.lit(1)))).withColumn("close", F.col("close") * 2 * F.col("version"))
+    new = base.where("year = '1997' AND volume % 6 = 0").withColumn("date", F.concat(F.lit("1997N"), F.substring("date", 5, 4)))
+    ig.upsert(spark, path, late.unionByName(new).drop("volume"), ["code", "date"], "version", "year")
+    return spark.read.parquet(path).select("code", "date", "close")
 
 
 @query("price_records", "SRC11", sql("SELECT code, date, close, volume, 'API' AS source FROM bars", "bars"))

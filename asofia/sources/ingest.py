@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from asofia.functions.norm import (OPEN_END, RESEARCH_CUTOFF, apply_rules, clean_number, contains_any, is_placeholder,
                                    norm_code, norm_date, parse_bool, require)
+from asofia.sources.session import stored
 
 # Action types accepted at ingest.
 ACTION_TYPES = ("CASH_DIVIDEND", "STOCK_DIVIDEND", "BONUS_ISSUE", "SPLIT", "REVERSE_SPLIT", "RIGHTS_ISSUE",
@@ -154,19 +155,37 @@ def write_foundation(datasets: dict[str, tuple[DataFrame, str]], folder: str) ->
     return status
 
 
-def merge_latest(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+def merge_latest(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Keyed upsert: the delta wins over the base; inside the delta the greatest ``order`` wins.
 
     One combinable aggregate; no window, so a key with many versions never
     meets in one task.
     """
     rest = [c for c in base.columns if c not in keys]
-    rank = F.lit(0) if order is None else F.col(order)
     both = base.withColumn("_side", F.lit(0)).unionByName(delta.select(*base.columns).withColumn("_side", F.lit(1)))
-    newest = both.groupBy(*keys).agg(F.max(F.struct("_side", rank.alias("_rank"), *rest)).alias("n"))
+    newest = both.groupBy(*keys).agg(F.max(F.struct("_side", F.col(order).alias("_rank"), *rest)).alias("n"))
     return newest.select(*[F.col(c) if c in keys else F.col(f"n.{c}").alias(c) for c in base.columns])
 
 
+def touched_partitions(spark: SparkSession, path: str, delta: DataFrame, partition: str) -> DataFrame:
+    """The rows of the partitions of the table at ``path`` that ``delta`` has rows for; the scan reads no others."""
+    values = [r[0] for r in delta.select(partition).distinct().collect()]   # partition values, not rows
+    own = F.col(partition).cast("string").isin([str(v) for v in values if v is not None])
+    rows = spark.read.parquet(path).where(own | F.col(partition).isNull() if None in values else own)
+    return rows.withColumn(partition, F.col(partition).cast(delta.schema[partition].dataType))
+
+
+def upsert(spark: SparkSession, path: str, delta: DataFrame, keys: Sequence[str], order: str, partition: str) -> None:
+    """Merge ``delta`` into the partitioned table at ``path``; only partitions that it touches are read and replaced.
+
+    ``partition`` is one of the keys or follows from them. The merged partitions
+    are written beside the table first and then swapped in by one commit, so a
+    run that dies in between leaves the table as it was.
+    """
+    merged = stored(merge_latest(touched_partitions(spark, path, delta, partition), delta, keys, order))
+    write_merged(merged, path, partition)
+
+
 def write_merged(merged: DataFrame, path: str, partition: str) -> None:
     """Replace only the partitions present in ``merged`` (dynamic overwrite)."""
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from asofia.functions import norm as nm
 from asofia.operators import actions as ca, analytics as pa, documents as dx, evidence as ev, indicators as ti
-from asofia.operators import joins as jn, labels as lb, models as ml, ranks as rk, signals as sg
+from asofia.operators import joins as jn, labels as lb, models as ml, ranks as rk, signals as sg, splits as sp
 from asofia.sources import ingest as ig
 
 
@@ -230,7 +230,7 @@ def test_codes_dates_numbers(spark):
 def test_latest_wins_and_partitioned_write(spark, folder):
     base = spark.createDataFrame([("a", "2020", 1.0), ("a", "2021", 2.0)], "code string, date string, close double")
     delta = spark.createDataFrame([("a", "2021", 3.0)], "code string, date string, close double")
-    merged = ig.merge_latest(base, delta, ["code", "date"])
+    merged = ig.merge_latest(base, delta, ["code", "date"], "close")
     assert rows(merged, "date") == [("a", "2020", 1.0), ("a", "2021", 3.0)]
     path = f"{folder}/bars"
     ig.write_merged(merged, path, "date")
@@ -419,3 +419,55 @@ def test_selected_document_whatever_the_attribute_order(spark):
     rows = dx.doc_ids(spark.createDataFrame([(1, first), (2, last), (3, none), (4, None)], "id int, h string"), "h").orderBy("id").collect()
     assert [r.document_no for r in rows] == ["20240101000002", "20240101000003", "20230101000001", ""]
     assert rows[2].viewer_url == "https://v.example.com/external/1.htm"
+
+
+# ---- folds, numbering, upsert ------------------------------------------------
+
+def test_folds_are_looked_up_without_a_join(spark):
+    rng = random.Random(3)
+    d = days(160)
+    data = [(f"c{i % 7}", rng.choice(d), rng.choice([*d, None])) for i in range(900)] + [("x", None, d[5])]
+    df = spark.createDataFrame(data, "code string, feature_date string, label_available_at string")
+    folds = sp.walk_forward_folds(spark.createDataFrame([(x,) for x in d], "feature_date string"), 40, 25, 5)
+    table = [tuple(r) for r in folds.orderBy("fold").collect()]
+    want = sorted([(c, str(a), str(b), f[0], "train") for c, a, b in data if a and b for f in table if f[1] and a < f[1] and b < f[1]]
+                  + [(c, str(a), str(b), f[0], "test") for c, a, b in data if a for f in table if f[2] <= a <= f[3]])
+    placed = sp.assign_folds(df, folds)
+    assert sorted((r.code, str(r.feature_date), str(r.label_available_at), r.fold, r.part) for r in placed.collect()) == want
+    assert "NestedLoop" not in placed._jdf.queryExecution().executedPlan().toString()
+    audit = {r.fold: (r.train_rows, r.max_label_available_at) for r in sp.fold_audit(df, folds, 5).collect()}
+    for f in table:
+        used = [b for _, a, b in data if a and b and f[1] and a < f[1] and b < f[1]]
+        assert audit.get(f[0]) == ((len(used), max(used)) if used else None)
+
+
+def test_one_event_repeated_is_numbered_in_many_tasks(spark):
+    n = 20_000
+    q = spark.range(n).select("id", *[F.lit(x).alias(c) for c, x in (("code", "000001"), ("event_family", "F"), ("source_reference_date", "20200101"), ("source_description", "same"))])
+    q = q.unionByName(q.limit(2).withColumns({"code": F.lit(None).cast("string"), "id": F.col("id") + n}))
+    got = ev.with_event_ids(q, ["id"])
+    assert got.select("queue_event_id").distinct().count() == n + 2
+    import hashlib
+    name = lambda code, k: hashlib.sha256("|".join([*([code] if code else []), "F", "20200101", "same", str(k)]).encode()).hexdigest()[:20]
+    ids = dict(got.select("id", "queue_event_id").collect())
+    assert all(ids[k] == name("000001", k) for k in (0, 1, 777, n - 1)) and ids[n] == name(None, 0)
+    key = ["code", "event_family", "source_reference_date", "source_description"]
+    assert largest_cell(rk.numbered(q), key, [F.col("id").isNotNull(), F.col("id"), F.col("_row")]) <= 3 * n / rk.LEAST_PARTS
+
+
+def test_upsert_reads_and_replaces_touched_partitions_only(spark, folder):
+    import os
+    path = f"{folder}/table"
+    rows_ = [(c, f"{y}0{m}01", float(m), 0, str(y)) for c in "ab" for y in (2019, 2020, 2021) for m in range(1, 6)]
+    schema = "code string, date string, close double, version int, year string"
+    spark.createDataFrame(rows_, schema).repartition(1).write.partitionBy("year").parquet(path)
+    before = {y: sorted(os.listdir(f"{path}/year={y}")) for y in (2019, 2020, 2021)}
+    delta = spark.createDataFrame([("a", "20200101", 7.0, 1, "2020"), ("a", "20200101", 8.0, 2, "2020"), ("c", "20220101", 9.0, 1, "2022")], schema)
+    scan = ig.touched_partitions(spark, path, delta, "year")
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "IN (2020,2022)" in plan.split("PartitionFilters:")[1].split("]")[0] and {r.year for r in scan.collect()} == {"2020"}
+    ig.upsert(spark, path, delta, ["code", "date"], "version", "year")
+    after = {y: sorted(os.listdir(f"{path}/year={y}")) for y in (2019, 2020, 2021)}
+    assert after[2019] == before[2019] and after[2021] == before[2021] and after[2020] != before[2020]
+    got = {(r.code, r.date): r.close for r in spark.read.parquet(path).collect()}
+    assert got == {(c, d): v for c, d, v, _, _ in rows_} | {("a", "20200101"): 8.0, ("c", "20220101"): 9.0}
