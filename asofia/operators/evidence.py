@@ -682,9 +682,13 @@ def followup_link(rows: DataFrame, verified: DataFrame, text: str = "text") -> D
     return df.withColumn("parent_id", F.when(F.col("link_status") == "LINKED_TO_VERIFIED_PARENT", F.col("_parent"))).drop("_parent")
 
 
-def ledger_checks(ledger: DataFrame, actionable: DataFrame, deferred: DataFrame, blocked: DataFrame,
-                  expected_rows: int | None = None) -> DataFrame:
-    """Named checks over the whole ledger from one aggregate."""
+def ledger_checks(ledger: DataFrame, actionable: DataFrame, deferred: DataFrame, blocked: DataFrame, expected_rows: int | Column,
+                  expected_status: dict[str, int | Column], expected_deferred: int = 2, expected_blocked: int = 1) -> DataFrame:
+    """Fourteen named checks over the whole ledger from one aggregate.
+
+    Expected numbers are given, as literals or scalar columns; a check whose fact
+    is unknown fails.
+    """
     c = F.col
     filled = lambda *names: sum([(F.coalesce(c(n), F.lit("")) == "").cast("int") for n in names], F.lit(0)) == 0
     verified, na, left = (c("resolution_status") == s for s in STATUSES)
@@ -694,7 +698,7 @@ def ledger_checks(ledger: DataFrame, actionable: DataFrame, deferred: DataFrame,
     per_id = ledger.join(queues, "queue_event_id", "full_outer")
     facts = per_id.agg(
         F.count("resolution_status").alias("n"), F.countDistinct(F.when(c("resolution_status").isNotNull(), c("queue_event_id"))).alias("ids"),
-        F.bool_and(c("resolution_status").isin(*STATUSES)).alias("statuses"), F.bool_and(c("code").rlike("^[0-9]{6}$")).alias("codes"),
+        *[F.count_if(c("resolution_status") == name).alias(f"_s{i}") for i, name in enumerate(expected_status)], F.bool_and(c("code").rlike("^[0-9]{6}$")).alias("codes"),
         F.count_if(verified & ~filled("effective_date", "known_at", "action_type", "adjustment_factor", "verification_source",
                                       "verification_reference", "resolution_note")).alias("v_gap"),
         F.count_if(verified & (c("known_at") > c("effective_date"))).alias("v_order"),
@@ -704,13 +708,16 @@ def ledger_checks(ledger: DataFrame, actionable: DataFrame, deferred: DataFrame,
         F.count_if(F.coalesce(left, F.lit(False)) != c("_d").isNotNull()).alias("unaccounted"))
     open_rows = actionable.agg(F.count(F.lit(1))).scalar()
     reasons = blocked.agg(F.count_if(F.coalesce(c("blocking_items"), F.lit("")) == "")).scalar()
-    checks = {"UNIQUE_QUEUE_EVENT_IDS": c("ids") == c("n"), "KNOWN_STATUSES": c("statuses"), "VALID_SIX_DIGIT_CODES": c("codes"),
+    deferred_rows, blocked_rows = (q.agg(F.count(F.lit(1))).scalar() for q in (deferred, blocked))
+    right = F.lit(True)
+    for i, n in enumerate(expected_status.values()):
+        right = right & (c(f"_s{i}") == n)
+    checks = {"TOTAL_ROWS": c("n") == expected_rows, "UNIQUE_QUEUE_EVENT_IDS": c("ids") == c("n"), "EXPECTED_STATUS_COUNTS": right, "VALID_SIX_DIGIT_CODES": c("codes"),
               "VERIFIED_FIELDS_COMPLETE": c("v_gap") == 0, "VERIFIED_DATE_ORDER_VALID": c("v_order") == 0,
               "VERIFIED_FACTORS_POSITIVE": c("v_factor") == 0, "NOT_APPLICABLE_EVIDENCE_COMPLETE": c("na_gap") == 0,
-              "ACTIONABLE_QUEUE_EMPTY": c("_open") == 0, "TERMINAL_QUEUES_DISJOINT": c("overlap") == 0,
-              "UNRESOLVED_FULLY_ACCOUNTED": c("unaccounted") == 0, "BLOCK_REASON_PRESENT": c("_why") == 0}
-    if expected_rows is not None:
-        checks["TOTAL_ROWS"] = c("n") == expected_rows
+              "ACTIONABLE_QUEUE_EMPTY": c("_open") == 0, "DEFERRED_QUEUE": c("_deferred") == expected_deferred,
+              "BLOCKED_QUEUE": c("_blocked") == expected_blocked, "TERMINAL_QUEUES_DISJOINT": c("overlap") == 0,
+              "UNRESOLVED_FULLY_ACCOUNTED": c("unaccounted") == 0, "BLOCK_REASON_PRESENT": (c("_blocked") > 0) & (c("_why") == 0)}
     rows = F.array(*[F.struct(F.lit(k).alias("check"), F.when(F.coalesce(v, F.lit(False)), "PASS").otherwise("FAIL").alias("status"))
                      for k, v in checks.items()])
-    return facts.withColumns({"_open": open_rows, "_why": reasons}).select(F.explode(rows).alias("r")).select("r.*")
+    return facts.withColumns({"_open": open_rows, "_why": reasons, "_deferred": deferred_rows, "_blocked": blocked_rows}).select(F.explode(rows).alias("r")).select("r.*")

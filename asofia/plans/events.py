@@ -420,9 +420,34 @@ def group_review(spark, sf):
     return ev.review_groups(q, ["code", "source_description"], "20000101").select("queue_event_id", "review_status")
 
 
-@query("ledger_quality_gate", "EV47")
+cte("ledger", """SELECT queue_event_id, code, k, CASE WHEN k%9=0 THEN 'PENDING' WHEN k%4=0 THEN 'UNRESOLVED' ELSE 'VERIFIED' END AS status, CASE WHEN k%11=0 THEN '2020-1' ELSE ref END AS effective, ref AS known,
+ CASE WHEN k%13=0 THEN 'abc' ELSE '1.0' END AS factor, CASE WHEN k%17=0 THEN '' ELSE 'R' END AS reference FROM (SELECT queue_event_id, code, order_key AS k, source_reference_date AS ref FROM dq)""", "dq")
+# expected numbers come from the orders themselves; deferred and blocked queues overlap where a key is divisible by 40
+GATE = {
+    "TOTAL_ROWS": "(SELECT count(*) FROM ledger)=(SELECT count(*) FROM orders)",
+    "UNIQUE_QUEUE_EVENT_IDS": "(SELECT count(DISTINCT queue_event_id)=count(*) FROM ledger)",
+    "EXPECTED_STATUS_COUNTS": "(SELECT count(*) FILTER (WHERE status='VERIFIED') FROM ledger)=(SELECT count(*) FROM orders WHERE o_orderkey%9<>0 AND o_orderkey%4<>0) AND (SELECT count(*) FILTER (WHERE status='NOT_APPLICABLE') FROM ledger)=0",
+    "VALID_SIX_DIGIT_CODES": "(SELECT bool_and(regexp_matches(code, '^[0-9]{6}$')) FROM ledger)",
+    "VERIFIED_FIELDS_COMPLETE": "(SELECT count(*)=0 FROM ledger WHERE status='VERIFIED' AND (effective='' OR reference=''))",
+    "VERIFIED_DATE_ORDER_VALID": "(SELECT count(*)=0 FROM ledger WHERE status='VERIFIED' AND known>effective)",
+    "VERIFIED_FACTORS_POSITIVE": "(SELECT count(*)=0 FROM ledger WHERE status='VERIFIED' AND NOT coalesce(TRY_CAST(factor AS DOUBLE)>0, false))",
+    "NOT_APPLICABLE_EVIDENCE_COMPLETE": "(SELECT count(*)=0 FROM ledger WHERE status='NOT_APPLICABLE' AND reference='')",
+    "ACTIONABLE_QUEUE_EMPTY": "(SELECT count(*)=0 FROM ledger WHERE status='PENDING' AND k%5=0)",
+    "DEFERRED_QUEUE": "(SELECT count(*)=2 FROM ledger WHERE status='UNRESOLVED' AND k%8<>0)",
+    "BLOCKED_QUEUE": "(SELECT count(*)=1 FROM ledger WHERE status='UNRESOLVED' AND k%8=0)",
+    "TERMINAL_QUEUES_DISJOINT": "(SELECT count(*)=0 FROM ledger WHERE status='UNRESOLVED' AND k%8<>0 AND k%8=0)",
+    "UNRESOLVED_FULLY_ACCOUNTED": "(SELECT count(*)=0 FROM ledger WHERE status='UNRESOLVED' AND NOT (k%8<>0 OR k%8=0))",
+    "BLOCK_REASON_PRESENT": "(SELECT count(*)>0 AND bool_and(code<'000005' OR code>='000005') FROM ledger WHERE status='UNRESOLVED' AND k%8=0)",
+}
+
+
+@query("ledger_quality_gate", "EV47", sql(" UNION ALL ".join(f"""SELECT '{name}' AS "check", CASE WHEN {rule} THEN 'PASS' ELSE 'FAIL' END AS status""" for name, rule in GATE.items()), "ledger"))
 def ledger_quality_gate(spark, sf):
-    v = claimed(spark, sf).withColumns({"verification_reference": F.lit("R"), "resolution_note": F.lit("N")})
-    open_ = v.where("resolution_status = 'UNRESOLVED'")
-    blocked = open_.where("order_key % 8 = 0").select("queue_event_id", F.lit("document").alias("blocking_items"))
-    return ev.ledger_checks(v, open_, open_.where("order_key % 8 <> 0").select("queue_event_id"), blocked)
+    k = F.col("order_key")
+    v = claimed(spark, sf).withColumns({"verification_reference": F.when(k % 17 == 0, "").otherwise("R"), "resolution_note": F.lit("N")})
+    o = d.table(spark, sf, "orders")
+    number = lambda condition: o.agg(F.count_if(F.expr(condition))).scalar()
+    left = v.where("resolution_status = 'UNRESOLVED'")
+    blocked = left.where("order_key % 8 = 0").select("queue_event_id", F.lit("document").alias("blocking_items"))
+    return ev.ledger_checks(v, v.where("resolution_status = 'PENDING' AND order_key % 5 = 0"), left.where("order_key % 8 <> 0").select("queue_event_id"), blocked,
+                            number("true"), {"VERIFIED": number("o_orderkey % 9 <> 0 AND o_orderkey % 4 <> 0"), "NOT_APPLICABLE": F.lit(0)})

@@ -12,7 +12,7 @@ from asofia.operators import actions as ca, analytics as pa, labels as lb
 from asofia.plans.evaluation import H
 from asofia.plans.market import osql, out
 from asofia.plans.registry import query
-from asofia.plans.research import dataset, labels
+from asofia.plans.research import dataset, full_features, label_table, labels
 from asofia.plans.sqlbase import cte, sql
 from asofia.sources import derived as d, ingest as ig
 from asofia.sources.session import ensure_checkpoint_dir
@@ -296,13 +296,26 @@ def benchmark_calendar(spark, sf):
     return ig.trading_calendar(d.benchmark(spark, sf), CUT)
 
 
-def health(spark, sf):
-    return ig.table_health({"bars": d.bars(spark, sf), "valuations": d.valuations(spark, sf), "actions": d.actions(spark, sf)}, "000001")
+def health(spark, sf, copied=False):
+    """The base, or a copy of it that lost the benchmark's last year, one code's valuations and nothing of the labels."""
+    prices = d.bars(spark, sf).select("code", "date").unionByName(d.benchmark(spark, sf).select("code", "date"))
+    values = d.valuations(spark, sf)
+    if copied:
+        prices = prices.where((F.col("code") != d.BENCHMARK) | (F.col("date") < "19980101"))
+        values = values.where(F.col("code") != "000001")
+    return ig.table_health({"bars": prices, "valuations": values, "features": full_features(spark, sf), "labels": label_table(spark, sf)}, d.BENCHMARK)
 
 
-cte("health", " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS rows, count(DISTINCT code) AS codes,
- count(*) FILTER (WHERE code='000001') AS benchmark_rows, count(*)>0 AS healthy FROM {t}""" for t in ("bars", "valuations", "actions")),
-    "bars", "valuations", "actions")
+def _health_sql(prices, values):
+    rows = " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS rows, count(DISTINCT code) AS codes, count(*) FILTER (WHERE code='BENCH0') AS benchmark_rows FROM {f}"""
+                              for t, f in (("bars", prices), ("valuations", values), ("features", "features"), ("labels", "labels_h")))
+    return f"""SELECT *, bool_and(healthy) OVER () AS all_healthy FROM (SELECT *, rows>0 AND ("table"<>'bars' OR codes>=2 AND benchmark_rows>0) AS healthy FROM ({rows}))"""
+
+
+PRICES = "(SELECT code, date FROM bars UNION ALL SELECT 'BENCH0', date FROM bench)"
+cte("health", _health_sql(PRICES, "valuations"), "bars", "bench", "valuations", "features", "labels_h")
+cte("health_copy", _health_sql(f"(SELECT * FROM {PRICES} WHERE code<>'BENCH0' OR date<'19980101')", "(SELECT * FROM valuations WHERE code<>'000001')"),
+    "bars", "bench", "valuations", "features", "labels_h")
 
 
 @query("table_health", "SRC25", sql('SELECT * FROM health', "health"))
@@ -310,16 +323,25 @@ def table_health(spark, sf):
     return health(spark, sf)
 
 
-@query("copy_verification", "SRC26", sql('SELECT "table", true AS matches, rows AS source_rows FROM health', "health"))
+@query("copy_verification", "SRC26", sql("""SELECT "table", a.rows AS source_rows, b.rows AS copy_rows, a.rows=b.rows AND a.codes=b.codes AND a.benchmark_rows=b.benchmark_rows AS matches,
+ concat_ws('|', CASE WHEN a.rows<>b.rows THEN 'rows' END, CASE WHEN a.codes<>b.codes THEN 'codes' END, CASE WHEN a.benchmark_rows<>b.benchmark_rows THEN 'benchmark_rows' END) AS mismatches
+ FROM health a JOIN health_copy b USING ("table")""", "health", "health_copy"))
 def copy_verification(spark, sf):
-    return ig.verify_copy(health(spark, sf), health(spark, sf)).select("table", "matches", "source_rows")
+    return ig.verify_copy(health(spark, sf), health(spark, sf, copied=True)).select(
+        "table", "source_rows", "copy_rows", "matches", F.concat_ws("|", "mismatches").alias("mismatches"))
+
 
+READY = {"bars": ("bars", 756), "quarters": ("statements", 120), "annual_years": ("(SELECT DISTINCT code, fiscal_year FROM statements)", 3), "features": ("features", 500), "labels": ("labels_h", 400)}
 
-@query("training_readiness", "SRC27", sql("""SELECT i.code, coalesce(b.n,0) AS bars_rows, coalesce(l.n,0) AS labels_rows, coalesce(b.n,0)>=756 AND coalesce(l.n,0)>=400 AS ready FROM industries i
- LEFT JOIN (SELECT code, count(*) AS n FROM bars GROUP BY 1) b ON i.code=b.code LEFT JOIN (SELECT code, count(*) AS n FROM labels_h GROUP BY 1) l ON i.code=l.code""",
-    "industries", "bars", "labels_h"))
+
+@query("training_readiness", "SRC27", sql("SELECT i.code, " + ", ".join(f"coalesce({n}.n,0) AS {n}_rows" for n in READY) + ", "
+       + " AND ".join(f"coalesce({n}.n,0)>={least}" for n, (_, least) in READY.items()) + " AS ready FROM industries i "
+       + " ".join(f"LEFT JOIN (SELECT code, count(*) AS n FROM {t} GROUP BY 1) {n} ON i.code={n}.code" for n, (t, _) in READY.items()),
+       "industries", "bars", "statements", "features", "labels_h"))
 def training_readiness(spark, sf):
-    return ig.ml_readiness(d.industries(spark, sf), {"bars": d.bars(spark, sf), "labels": labels(spark, sf)})
+    s = d.statements(spark, sf)
+    return ig.ml_readiness(d.industries(spark, sf), {"bars": d.bars(spark, sf), "quarters": s, "annual_years": s.select("code", "fiscal_year").distinct(),
+                                                     "features": full_features(spark, sf), "labels": label_table(spark, sf)})
 
 
 @query("run_log_status", "SRC28", sql("""SELECT run_id, portfolio_id, run_date, status, last_success, date_diff('day', strptime(last_success,'%Y%m%d'), DATE '2002-01-01')>4 AS stale_warning FROM (

@@ -318,29 +318,36 @@ def trading_calendar(bars: DataFrame, cutoff: str) -> DataFrame:
     return bars.where(F.col("date") <= cutoff).select("date").distinct()
 
 
-def table_health(tables: dict[str, DataFrame], benchmark_code: str) -> DataFrame:
-    """Row, code and benchmark-row counts per table and the healthy flag."""
+def table_health(tables: dict[str, DataFrame], benchmark_code: str, prices: str = "bars", least_codes: int = 2) -> DataFrame:
+    """Row, code and benchmark-row counts per table; ``healthy`` per table and ``all_healthy`` for the whole base.
+
+    Prices need rows of ``least_codes`` codes and of the benchmark, every other
+    table some row. Existence is checked, not exact counts, so that legitimate
+    updates do not trip it.
+    """
     out = None
     for name, df in tables.items():
         row = df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("code").alias("codes"),
                      F.count_if(F.col("code") == benchmark_code).alias("benchmark_rows")).withColumn("table", F.lit(name))
         out = row if out is None else out.unionByName(row)
-    return out.withColumn("healthy", F.col("rows") > 0)
+    guard = F.when(F.col("table") == prices, (F.col("codes") >= least_codes) & (F.col("benchmark_rows") > 0)).otherwise(True)
+    out = out.withColumn("healthy", (F.col("rows") > 0) & guard)
+    return out.withColumn("all_healthy", F.bool_and("healthy").over(Window.partitionBy(F.lit(0))))   # one row for each table
 
 
 def verify_copy(source: DataFrame, copy: DataFrame) -> DataFrame:
-    """Do the counts of two health reports agree?"""
+    """Do the counts of two health reports agree? ``mismatches`` names the counts that differ."""
     metrics = ("rows", "codes", "benchmark_rows")
     both = source.select("table", *[F.col(m).alias(f"source_{m}") for m in metrics]).join(
         copy.select("table", *[F.col(m).alias(f"copy_{m}") for m in metrics]), "table", "full_outer")
-    same = F.lit(True)
-    for m in metrics:
-        same = same & F.col(f"source_{m}").eqNullSafe(F.col(f"copy_{m}"))
-    return both.withColumn("matches", same)
+    differs = [F.when(~F.col(f"source_{m}").eqNullSafe(F.col(f"copy_{m}")), F.lit(m)) for m in metrics]
+    return both.withColumn("mismatches", F.array_compact(F.array(*differs))).withColumn("matches", F.size("mismatches") == 0)
 
 
 def ml_readiness(codes: DataFrame, counts: dict[str, DataFrame], limits: dict[str, int] = READINESS) -> DataFrame:
-    """Rows per code and source against the thresholds for training."""
+    """Rows per code and source against the thresholds for training; a limit without facts is an error."""
+    if set(counts) != set(limits):
+        raise ValueError(f"facts and limits differ: {sorted(set(counts) ^ set(limits))}")
     df, ready = codes.select("code").distinct(), F.lit(True)
     for name, facts in counts.items():
         df = df.join(facts.groupBy("code").agg(F.count(F.lit(1)).alias(f"{name}_rows")), "code", "left").fillna(0, [f"{name}_rows"])
