@@ -428,6 +428,7 @@ def criteria_table(facts: DataFrame, criteria: dict[str, Column]) -> DataFrame:
 def adoption_facts_criteria() -> dict[str, Column]:
     """The adoption tests over a one-row fact table (column names are the inputs)."""
     c = F.col
+    # Names and limits of the criteria.
     return {
         "nested_purged_selection_completed": c("nested_folds") >= 3,
         "nested_selection_leakage_free": c("nested_clean"),

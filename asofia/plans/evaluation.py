@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from asofia.functions.rounding import snap, snap_sql as r
 from asofia.operators import analytics as pa, fundamentals as fa, indicators as ti, joins as jn, labels as lb
-from asofia.operators import ranks as rk, splits as sp
+from asofia.operators import ranks as rk, signals as sg, splits as sp
 from asofia.plans.market import osql, out
 from asofia.plans.registry import query
 from asofia.plans.research import dataset, fund_features, labels, predictions
@@ -300,13 +300,24 @@ def selection_persistence(spark, sf):
                      snap("mean_etf_excess").alias("mean_etf_excess"), snap("held_rate", 6).alias("held_rate"))
 
 
+def constraints(rows, held):
+    """Caps and the market's exposure limit against what the book holds at each rebalance."""
+    limit = sg.market_exposure(rows, ["period"]).select("period", "market_exposure_limit")
+    exposure = held.groupBy("scope", "top_fraction", "period").agg(F.sum("weight").alias("target_exposure"))
+    periods = pa.book_periods(rows, held).join(exposure, ["scope", "top_fraction", "period"]).join(limit, "period")
+    return pa.constraint_audit(held, periods)
+
+
+cte("limits", """SELECT period, CASE WHEN r>0 THEN 1.0::DOUBLE WHEN r=0 THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS exposure_limit FROM (
+ SELECT period, CAST(trunc(median(market_regime)) AS INTEGER) AS r FROM preds JOIN reb USING (feature_date) GROUP BY 1)""", "preds", "reb")
+
+
 @query("constraint_audit", "PA15", sql(f"""SELECT p.top_fraction, p.feature_date, {r('coalesce(max_stock_weight,0)', 6)} AS max_stock_weight,
  coalesce(max_stock_weight,0)>0.15::DOUBLE+1e-9::DOUBLE AS stock_cap_violation, coalesce(max_industry_weight,0)>0.40::DOUBLE+1e-9::DOUBLE AS industry_cap_violation,
- 1.0>0.7+1e-9 AS exposure_violation FROM per p LEFT JOIN hrisk h ON p.top_fraction=h.top_fraction AND p.feature_date=h.feature_date""", "per", "hrisk"))
+ x.s>l.exposure_limit+1e-9::DOUBLE AS exposure_violation FROM per p LEFT JOIN hrisk h ON p.top_fraction=h.top_fraction AND p.feature_date=h.feature_date
+ JOIN limits l ON l.period=p.period JOIN (SELECT top_fraction, period, sum(weight) AS s FROM holds GROUP BY 1,2) x ON x.top_fraction=p.top_fraction AND x.period=p.period""", "per", "hrisk", "limits", "holds"))
 def constraint_audit(spark, sf):
-    rows, held = book(spark, sf)
-    periods = pa.book_periods(rows, held).withColumns({"target_exposure": F.lit(1.0), "market_exposure_limit": F.lit(.7)})
-    return out(pa.constraint_audit(held, periods), ["top_fraction", "feature_date", "stock_cap_violation",
+    return out(constraints(*book(spark, sf)), ["top_fraction", "feature_date", "stock_cap_violation",
                                                     "industry_cap_violation", "exposure_violation"], ["max_stock_weight"], 6)
 
 
@@ -405,18 +416,25 @@ def adoption_criteria(spark, sf):
     facts = (top20.join(fix.drop("scope"), "top_fraction").join(stress.drop("scope"), "top_fraction")
              .join(pa.monotonic(summary), "scope"))
     one = {c: ic.select(c).scalar() for c in ("nonoverlap_rank_ic", "independent_ic_periods")}
+    folds = sp.fold_audit(pred, sp.walk_forward_folds(pred, 504, 126, H), H)
+    audit = constraints(rows, held)
+    history = jn.universe_audit(jn.interval_join(d.bars(spark, sf), d.universe_history(spark, sf), day="date"), d.universe_history(spark, sf), day="date")
+    # every fact is computed; what this base has no record of (total returns, filed actions, a registered lockbox, another champion) is unknown and fails
+    unknown = F.lit(None).cast("boolean")
     facts = facts.withColumns(one).withColumns({
-        "nested_folds": sp.walk_forward_folds(pred, 504, 126, H).agg(F.count(F.lit(1))).scalar(),
-        "nested_clean": F.lit(True), "champion_present": F.lit(True), "universe_verified": F.lit(False),
-        "total_return_verified": F.lit(False), "financial_verified": F.lit(False), "corporate_verified": F.lit(False),
-        "nested_dual_rate": F.col("simultaneous_dual_win_rate"), "nonoverlap_ic_ci_low": F.lit(None).cast("double"),
+        "nested_folds": folds.agg(F.count(F.lit(1))).scalar(),
+        "nested_clean": folds.agg(F.bool_and(F.col("purge_passed") & (F.col("embargo_days") >= H))).scalar(),
+        "champion_present": unknown, "universe_verified": history.agg(F.bool_and("coverage_complete")).scalar(),
+        "total_return_verified": unknown, "corporate_verified": unknown,
+        "financial_verified": pa.pit_verdict(pit_rows(spark, sf)).select(F.col("status") == "FULL_PIT_VERIFIED").scalar(),
+        "nested_dual_rate": F.col("simultaneous_dual_win_rate"),
+        "nonoverlap_ic_ci_low": rank_ic_bootstrap(spark, sf).select("ci_low").scalar(),
         "cumulative_dual_outperformance": (F.col("universe_net_excess_return") > 0) & (F.col("etf_net_excess_return") > 0),
         "unsupported_persistent": pa.persistence(held, periods).where(
             "persistent_flag AND NOT persistent_but_supported").agg(F.count(F.lit(1))).scalar(),
-        "validation_constraints_ok": F.lit(True), "published_constraints_ok": F.lit(True),
-        "lockbox_registered": F.lit(False), "fresh_lockbox": F.lit(False),
-        "published_universe_excess": F.col("universe_net_excess_return"),
-        "published_etf_excess": F.col("etf_net_excess_return")})
+        "validation_constraints_ok": audit.agg(F.bool_and(~(F.col("stock_cap_violation") | F.col("industry_cap_violation") | F.col("exposure_violation")))).scalar(),
+        "published_constraints_ok": unknown, "lockbox_registered": unknown, "fresh_lockbox": unknown,
+        "published_universe_excess": F.lit(None).cast("double"), "published_etf_excess": F.lit(None).cast("double")})
     return pa.criteria_table(facts, pa.adoption_facts_criteria())
 
 
