@@ -1,8 +1,9 @@
 """Terms, dates, amounts and links from document text.
 
 Operators are built-in expressions over whole texts, and a document is never
-cut. The one exception is ``contexts``, the list of matches with their places,
-which no built-in function gives: Arrow batches with a scan of each text.
+cut. The exceptions are ``contexts``, the list of matches with their places, and
+``names_in_text``, many patterns at once, which no built-in function gives:
+Arrow batches with one scan of each text.
 Exploding operators emit rows per document in proportion to its length, so a few
 huge documents spread like any other rows.
 """
@@ -344,22 +345,38 @@ def none_after(text: Column | str, label: str, width: int = 40, words: Sequence[
     return _c(text).rlike(rf"(?s){re.escape(label)}.{{0,{width}}}?(?:{'|'.join(words)})")
 
 
-def names_in_text(names: DataFrame, docs: DataFrame, name: str, key: str, text: str, gram: int = 6) -> DataFrame:
+NAME_BYTES = 1 << 20   # names that one automaton holds
+
+
+def names_in_text(names: DataFrame, docs: DataFrame, name: str, key: str, text: str, most_bytes: int = NAME_BYTES) -> DataFrame:
     """(key, name) for every name that occurs in a text.
 
-    Names are looked up by their first characters: texts are cut into distinct
-    character grams, joined with the names by equality and then checked with
-    ``contains``. Names shorter than the gram use their own length. No text is
-    compared with a name it shares no gram with.
+    Each task scans its texts once for all names, by an automaton; only hits
+    leave it. Names go through in groups of bounded bytes, each with a scan of
+    its own, so an automaton never grows with the table of names.
     """
     wanted = names.select(F.col(name).alias("_name")).where(F.length("_name") > 0).distinct()
-    keyed = wanted.withColumn("_g", F.substring("_name", 1, gram))
-    lengths = [r[0] for r in keyed.select(F.length("_g")).distinct().collect()]     # at most ``gram`` values
-
-    # all overlapping grams in one pass over the text (a zero-width match at every position)
-    every = F.array_distinct(F.flatten(F.array(*[
-        F.regexp_extract_all(_c(text), F.lit(rf"(?s)(?=(.{{{n}}}))"), 1) for n in lengths])))
-    # the texts stay behind: only (document, gram) travels, and the few candidates fetch their text
-    candidates = docs.select(key, F.explode(every).alias("_g")).join(keyed, "_g").select(key, "_name").distinct()
-    hit = docs.select(key, text).join(candidates, key).where(F.contains(F.col(text), F.col("_name")))
-    return hit.select(key, F.col("_name").alias(name)).distinct()
+    total = wanted.agg(F.sum(F.octet_length("_name"))).first()[0] or 0
+    groups = -(-total // most_bytes)
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, {name} string"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for g in range(groups):
+        words = [r[0] for r in wanted.where(F.pmod(F.xxhash64("_name"), F.lit(groups)) == g).collect()]   # bounded by most_bytes, or by one name
+
+        def run(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+            found = ahocorasick.Automaton()
+            for w in words:
+                found.add_word(w, w)
+            found.make_automaton()
+            for batch in batches:
+                keys, hits = [], []
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    own = {w for _, w in found.iter(t)} if t else ()
+                    keys += [k] * len(own)
+                    hits += own
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(hits, pa.string())], names=[key, name])
+
+        if words:
+            out = out.unionByName(docs.select(key, text).mapInArrow(run, schema))
+    return out.distinct()

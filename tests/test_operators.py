@@ -471,3 +471,15 @@ def test_upsert_reads_and_replaces_touched_partitions_only(spark, folder):
     assert after[2019] == before[2019] and after[2021] == before[2021] and after[2020] != before[2020]
     got = {(r.code, r.date): r.close for r in spark.read.parquet(path).collect()}
     assert got == {(c, d): v for c, d, v, _, _ in rows_} | {("a", "20200101"): 8.0, ("c", "20220101"): 9.0}
+
+
+def test_names_are_found_by_one_scan_in_any_groups(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab c漢") for _ in range(rng.randint(0, 60))) for _ in range(200)] + [None, "", "ab" * 5_000]
+    names = ["".join(rng.choice("abc漢") for _ in range(rng.randint(1, 4))) for _ in range(40)] + ["", None, "ab", "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    table = spark.createDataFrame([(n,) for n in names], "n string")
+    want = sorted({(i, n) for i, t in enumerate(texts) for n in names if n and t and n in t})
+    for most in (1 << 20, 20):
+        assert sorted(map(tuple, dx.names_in_text(table, docs, "n", "id", "t", most).collect())) == want
+    assert dx.names_in_text(table.limit(0), docs, "n", "id", "t").count() == 0
