@@ -48,12 +48,24 @@ def ic_summary(ic: DataFrame) -> DataFrame:
                   F.count(F.when(use, F.col("rank_ic"))).alias("independent_ic_periods"))
 
 
+DRAW_MODULUS, DRAW_FACTOR = 2_147_483_647, 40_503
+
+
+def counter_draw(sim: Column, step: Column, seed: int) -> Column:
+    """A number below DRAW_MODULUS for each (sim, step); products stay far below 64 bits."""
+    x = (sim.cast("long") * 1_640_531_527 + step.cast("long") * 362_437 + seed * 9_973 + 1) % DRAW_MODULUS
+    for k in range(3):
+        x = (x * (F.floor(x / 65_536) + DRAW_FACTOR) + F.floor(x / 7) + k) % DRAW_MODULUS
+    return x
+
+
 def bootstrap_draws(values: DataFrame, order: str, value: str, sims: int, seed: int) -> DataFrame:
     """(sim, step, value): every simulation draws as many values as there are.
 
-    A draw is the hash of (seed, sim, step) modulo the number of values, so it
-    is the same on every run and after every retry. Values are one per
-    rebalance or per trade of one report; they are numbered once and joined.
+    A draw is a number made of (seed, sim, step) by whole-number arithmetic,
+    modulo the number of values, so it is the same on every run, after every
+    retry and in any engine. Values are one per rebalance or per trade of one
+    report; they are numbered once and joined.
     """
     known = values.where(F.col(value).isNotNull())
     whole = Window.partitionBy(F.lit(0))
@@ -63,7 +75,7 @@ def bootstrap_draws(values: DataFrame, order: str, value: str, sims: int, seed:
     spark = values.sparkSession
     draws = (spark.range(sims).withColumnRenamed("id", "sim").withColumn("n", size).where(F.col("n") >= 2)
              .withColumn("step", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-             .withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "sim", "step"), F.col("n")).cast("int")))
+             .withColumn("pick", (counter_draw(F.col("sim"), F.col("step"), seed) % F.col("n")).cast("int")))
     return draws.select("sim", "step", "pick").join(numbered.select("pick", "value"), "pick")
 
 

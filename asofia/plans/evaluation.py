@@ -142,10 +142,22 @@ def rank_ic_series(spark, sf):
     return out(pa.ic_rows(predictions(spark, sf), H), ["feature_date", "non_overlapping"], ["rank_ic"])
 
 
-@query("rank_ic_bootstrap", "PA3")
+def _draw_sql(sim, step, seed=42):
+    x = f"(({sim}*1640531527+{step}*362437+{seed * 9_973 + 1})%{pa.DRAW_MODULUS})"
+    return x, [f"(x*(x//65536+{pa.DRAW_FACTOR})+x//7+{k})%{pa.DRAW_MODULUS}" for k in range(3)]
+
+
+_FIRST, _NEXT = _draw_sql("s", "j")
+cte("icv", f"""SELECT rank_ic, row_number() OVER (ORDER BY c.feature_date)-1 AS pick, count(*) OVER () AS n
+ FROM icr c JOIN pday p ON p.feature_date=c.feature_date WHERE i%{H}=0 AND rank_ic IS NOT NULL""", "icr", "pday")
+cte("icb", f"""SELECT s, avg(rank_ic) AS m FROM (SELECT s, ({_NEXT[2]})%n AS pick FROM (SELECT s, n, {_NEXT[1]} AS x FROM (SELECT s, n, {_NEXT[0]} AS x FROM (
+ SELECT s, n, {_FIRST} AS x FROM (SELECT s, n, unnest(range(n)) AS j FROM (SELECT DISTINCT n FROM icv), range(2000) r(s)))))) d JOIN icv v ON v.pick=d.pick GROUP BY s""", "icv")
+
+
+@query("rank_ic_bootstrap", "PA3", sql(f"SELECT {r('quantile_cont(m, 0.025)')} AS ci_low, {r('quantile_cont(m, 0.975)')} AS ci_high FROM icb", "icb"))
 def rank_ic_bootstrap(spark, sf):
     ic = pa.ic_rows(predictions(spark, sf), H).where("non_overlapping")
-    return pa.bootstrap_ci(ic, "feature_date", "rank_ic")
+    return out(pa.bootstrap_ci(ic, "feature_date", "rank_ic"), [], ["ci_low", "ci_high"])
 
 
 cte("probs", f"""SELECT *, {r('score*0.6::DOUBLE+0.2::DOUBLE', 6)} AS probability, CASE WHEN feature_date<'19990101' THEN 'validation'

@@ -483,3 +483,14 @@ def test_names_are_found_by_one_scan_in_any_groups(spark):
     for most in (1 << 20, 20):
         assert sorted(map(tuple, dx.names_in_text(table, docs, "n", "id", "t", most).collect())) == want
     assert dx.names_in_text(table.limit(0), docs, "n", "id", "t").count() == 0
+
+
+def test_draws_are_even_and_give_the_usual_interval(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=37)
+    v = spark.createDataFrame([(i, float(y)) for i, y in enumerate(x)], "k int, v double")
+    picks = pa.bootstrap_draws(v, "k", "v", 2_000, 42).groupBy("pick").count().toPandas()["count"]
+    assert len(picks) == 37 and abs(picks / 2_000 - 1).max() < 0.12
+    got = pa.bootstrap_ci(v, "k", "v").first()
+    low, high = np.quantile(x[rng.integers(0, 37, (20_000, 37))].mean(1), [.025, .975])
+    assert abs(got.ci_low - low) < 0.03 and abs(got.ci_high - high) < 0.03
