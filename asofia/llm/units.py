@@ -25,6 +25,7 @@ BEFORE_SPACE = re.compile(r" (?:\s|\Z)")   # the same without its first characte
 AFTER_WORD = re.compile(r"(?<=\S)(?= )")
 # Distinct units that a worker keeps; beyond that, those that were met only once go.
 MOST_UNITS = 400_000
+JOINED = 1_024   # units that go through the library in one text
 
 
 def keys_of(text: str) -> list:
@@ -70,6 +71,7 @@ class TokenIds:
             if re.search(r"[\s,.]", t.content) or t.single_word or t.lstrip or t.rstrip:   # it could reach into another unit
                 raise ValueError(f"added token {t.content!r} does not lie inside one unit")
         self.mark = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.reset()
 
     def reset(self) -> None:
@@ -93,24 +95,52 @@ class TokenIds:
         self.ids = ids[np.arange(self.used) + np.repeat(starts[keep] - self.starts, self.lens)] if len(keep) else np.zeros(1 << 16, np.int32)
 
     def _add(self, fresh: list) -> None:
-        first = len(self.lens)
+        first, n = len(self.lens), len(fresh)
         # a comma or stop after a letter is a match of its own: its unit is the word's ids and one more
         ends = [type(k) is str and k[-1:] in self.mark and k[-2:-1].isalpha() and k[:-1] in self.number for k in fresh]
-        plain = iter(self.tokenizer.encode_batch_fast([text_of(k) for k, e in zip(fresh, ends) if not e], add_special_tokens=False))
-        made = [None if e else next(plain).ids for e in ends]
-        for j, e in enumerate(ends):
-            if e:
-                b = self.number[fresh[j][:-1]]
-                word = made[b - first] if b >= first else self.ids[self.starts[b]:self.starts[b] + self.lens[b]].tolist()
-                made[j] = word + self.mark[fresh[j][-1]]
-        lens = np.fromiter(map(len, made), np.int32, len(made))
-        total = int(lens.sum())
+        ended = np.flatnonzero(ends)
+        plain = np.flatnonzero(~np.array(ends, bool))
+        texts = [text_of(fresh[i]) for i in plain.tolist()]
+        # units go through the library many in one text, each closed by a line feed, which no other match can reach over
+        alone = np.array([("\n" in t or "<|" in t or t[-1:].isspace() or not t) for t in texts], bool)
+        closed = [t for t, x in zip(texts, alone.tolist()) if not x]
+        joined = ["\n".join(closed[i:i + JOINED]) + "\n" for i in range(0, len(closed), JOINED)]
+        flat = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        stops = np.flatnonzero(ids == self.line_feed)
+        if len(stops) != len(closed):
+            raise ValueError("this vocabulary joins line feeds with other characters")
+        lens, starts = np.zeros(n, np.int32), np.zeros(n, np.int64)
+        lens[plain[~alone]] = np.diff(np.r_[-1, stops]) - 1
+        starts[plain[~alone]] = np.r_[0, stops + 1][:-1]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, x in zip(texts, alone.tolist()) if x], add_special_tokens=False)]
+        more = np.array([len(x) for x in made], np.int64)
+        lens[plain[alone]] = more
+        starts[plain[alone]] = len(ids) + np.cumsum(more) - more
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(made), np.int32, int(more.sum()))])
+        if len(ended):
+            word = np.fromiter((self.number[fresh[i][:-1]] for i in ended.tolist()), np.int64, len(ended))
+            old = word < first
+            size = np.zeros(len(ended), np.int64)
+            size[old], size[~old] = self.lens[word[old]], lens[word[~old] - first]
+            begin = np.zeros(len(ended), np.int64)      # in the ids kept so far, followed by the new ones
+            begin[old], begin[~old] = self.starts[word[old]], self.used + starts[word[~old] - first]
+            stop = np.cumsum(size + 1)
+            own = np.empty(int(stop[-1]), np.int32)
+            body = np.ones(len(own), bool)
+            body[stop - 1] = False
+            both = np.concatenate([self.ids[:self.used], ids])
+            own[body] = both[np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)]
+            own[~body] = np.fromiter((self.mark[fresh[i][-1]][0] for i in ended.tolist()), np.int32, len(ended))
+            lens[ended], starts[ended] = size + 1, len(ids) + stop - size - 1
+            ids = np.concatenate([ids, own])
+        total = len(ids)
         if self.used + total > len(self.ids):
             self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + total))
-        self.ids[self.used:self.used + total] = np.fromiter(chain.from_iterable(made), np.int32, total)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
+        self.ids[self.used:self.used + total] = ids
+        self.starts = np.concatenate([self.starts, self.used + starts])
         self.lens = np.concatenate([self.lens, lens])
-        self.hits = np.concatenate([self.hits, np.zeros(len(lens), np.int32)])
+        self.hits = np.concatenate([self.hits, np.zeros(n, np.int32)])
         self.used += total
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:

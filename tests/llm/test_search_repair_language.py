@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from asofia.llm import dialogue_repair as dr, dual_tree_search as dt, language_mixture as lm
+from asofia.llm import base, blob_ledger, dialogue_repair as dr, dual_tree_search as dt, grammar, language_mixture as lm, near_dedup, units
 from asofia.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -359,3 +359,74 @@ def test_repair_of_dropped_and_empty_conversations(spark):
 
 def test_repair_query_equals_sql(spark):
     assert same_as_sql(spark, "op13_dialogue_repair", SMALL, ("conversations",))
+
+
+# ---- near duplicates, redaction, units, shards -------------------------------
+
+def test_a_text_goes_only_if_another_document_stands_for_it(spark):
+    a, b = "one two three four five six seven eight nine ten", "red green blue white black brown pink grey gold violet"
+    docs = spark.createDataFrame([(5, a, 1, "x"), (5, b, 2, "y"), (3, b, 3, "z"), (None, b, 4, "w"), (9, None, 5, "v")], "doc_id long, text string, gone_id int, GONE_KEY string")
+    kept = sorted((str(r.doc_id), str(r.text), r.gone_id) for r in near_dedup.drop_duplicates(docs).collect())
+    assert kept == sorted([("5", a, 1), ("3", b, 3), ("None", b, 4), ("9", "None", 5)])
+    assert near_dedup.drop_duplicates(docs.limit(0)).count() == 0
+
+
+def test_blocks_unite_without_losing_a_link(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(260):   # one hot group of edited copies, cut into many small blocks
+        text = list(words)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        docs.append((i, " ".join(text)))
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    sets = near_dedup.shingle_sets([t for _, t in docs])
+    name = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if near_dedup.linked(sets[i], sets[j], 80) and name[i] != name[j]:
+                low, high = min(name[i], name[j]), max(name[i], name[j])
+                name = [low if x == high else x for x in name]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[i] != name[i] for i in range(len(docs))) <= 2    # candidates come from hashed bands
+
+
+def test_redaction_with_clashing_columns_and_a_hot_text(spark):
+    secret = "token = abcdefgh1234 here"
+    docs = spark.createDataFrame([(i, secret if i % 2 else f"clean {i}", "b", "s", 1) for i in range(60)] + [(None, None, "b", "s", 1)],
+                                 "doc_id long, text string, _blob string, blob string, SALT int")
+    out = blob_ledger.redact(docs, blob_ledger.extend_ledger(spark, docs, base.shared_folder(spark)))
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert len(rows) == 61 and all("abcdefgh1234" not in (r.text or "") and r.blob == "s" and r._blob == "b" and r.SALT == 1 for r in rows)
+    assert sum("[secret]" in (r.text or "") for r in rows) == 30
+
+
+def test_units_equal_the_library_in_any_order():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(3)
+    pieces = ["word", "word,", "word.", "Ünï", ",", ".", "\n", "a\nb", "\t", " ", "<|endoftext|>", "don't", "12,5", "漢字。", "x.y,z", "it.\nThe", "é,"]
+    texts = ["", None] + [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    tokens = units.TokenIds(path, True)
+    for part in (texts[:150], texts[150:], texts):
+        ids, n = tokens.encode(part)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t or "", add_special_tokens=False).ids for t in part]
+
+
+def test_shards_are_read_back_whatever_the_symbols():
+    rng = np.random.default_rng(4)
+    for n, top in ((0, 1), (1, 1 << 18), (7, 1 << 16), (8, 1 << 17), (1_001, 1 << 19)):
+        symbols = rng.integers(0, top, n).astype(np.uint32)
+        planes, packed = grammar.pack_symbols(symbols)
+        assert (grammar.unpack_symbols(packed, planes) == symbols).all()
+    for _ in range(100):
+        ids = rng.choice([1, 2, 3, 9], rng.integers(1, 500)).astype(np.int32)
+        lens = np.diff(np.r_[0, np.sort(rng.choice(len(ids) + 1, 3)), len(ids)])
+        rules, symbols = grammar.compress(ids, lens, 10, least=4)
+        assert (grammar.expand(symbols, rules, 10) == ids).all() and (grammar.unfold(symbols, rules, 10) == ids).all()
+        inside = np.cumsum(grammar.lengths_of(symbols, grammar.expansion_lengths(rules, 10), 10))
+        assert set(np.cumsum(lens[lens > 0]).tolist()) <= set(inside.tolist())
