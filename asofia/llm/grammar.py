@@ -6,10 +6,11 @@ again and again; a pair never spans two documents. A shard row holds the rules,
 the length of each rule's expansion and the remaining sequence, so that any
 range of ids is decoded from the few symbols that cover it.
 
-Each round counts the pairs of the whole shard in a table of hashed counters,
-takes the most frequent counters, lets each stand for one pair, and replaces
-all non-overlapping occurrences, left to right. Pairs that share a counter with
-another wait for a later round; nothing is lost by it but a little compression.
+The pairs of a shard are counted in a table of hashed counters. Each round takes
+the most frequent counters, lets each stand for one pair, replaces all its
+non-overlapping occurrences, left to right, and counts the places beside them
+anew, until no pair reaches LEAST. Pairs that share a counter with another wait
+for a later round.
 
 Defined cases: a null text has the end id only; a null doc_id sorts first;
 rows with one doc_id are ordered by a hash of their text; a text longer than a
@@ -30,60 +31,84 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from asofia.llm import base, units
 
 SHARD_IDS = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST = 6, 2_048, 8
+LEAST = 8         # places that a pair needs
+SPAN = 2_048      # a round takes the counters within this factor of the highest
 COUNTERS = 18   # bits
+NOTHING = 1 << COUNTERS
 
 SHARDS = ("part int, ids_before long, n_ids long, doc_ids array<bigint>, doc_lens array<bigint>, first_rule int,"
-          " rules binary, rule_lens binary, wide boolean, symbols binary")
+          " rules binary, rule_lens binary, planes int, symbols binary")
 
 
 # ---- grammar -------------------------------------------------------------
 
-def compress(ids: np.ndarray, doc_lens: np.ndarray, first_rule: int, rounds: int = ROUNDS, most: int = RULES_A_ROUND,
-             least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rule k is the pair that symbol first_rule + k stands for."""
+def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counter of each pair (a, b)."""
+    return (((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77) + np.uint32(0x27D4EB2F))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - COUNTERS)).astype(np.int64)
+
+
+def compress(ids: np.ndarray, doc_lens: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, symbols): rule k is the pair that symbol first_rule + k stands for.
+
+    Goes on until no pair that could be replaced reaches `least`; a pair whose
+    places overlap needs half as many. Only the places beside a replaced pair
+    are counted anew.
+    """
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
     ends = np.cumsum(doc_lens)
     last[ends[np.asarray(doc_lens) > 0] - 1] = True
-    rules = []
-    nothing = 1 << COUNTERS
-    for _ in range(rounds):
-        if len(s) < 2:
+    rules: list[np.ndarray] = []
+    made = 0
+    stuck = np.zeros(NOTHING + 1, bool)       # counters whose pair has too few places of its own
+    slot = _slots(s[:-1], s[1:])
+    slot[last[:-1]] = NOTHING
+    counts = np.bincount(slot, minlength=NOTHING + 1)
+    while True:
+        counts[NOTHING] = 0
+        counts[stuck] = 0
+        top = int(counts.max())
+        if top < least:
             break
-        slot = ((s[:-1] * np.uint32(0x9E3779B1)) ^ (s[1:] * np.uint32(0x85EBCA77) + np.uint32(0x27D4EB2F))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - COUNTERS)
-        slot = slot.astype(np.int64)   # index and counter type of what follows
-        slot[last[:-1]] = nothing
-        counts = np.bincount(slot, minlength=nothing + 1)
-        counts[nothing] = 0
-        floor = max(least, int(np.partition(counts, -most)[-most]) + 1)
+        floor = max(least, top // SPAN)
         at = np.flatnonzero((counts >= floor)[slot])
-        if not len(at):
-            floor = least
-            at = np.flatnonzero((counts >= floor)[slot])
-            if not len(at):
-                break
-        pair = s[at].astype(np.int64) << 32 | s[at + 1]
-        stands_for = np.zeros(nothing + 1, np.int64)
-        stands_for[slot[at]] = pair
-        at = at[stands_for[slot[at]] == pair]
+        pair, own = s[at].astype(np.int64) << 32 | s[at + 1], slot[at]
+        stands_for = np.zeros(NOTHING + 1, np.int64)
+        stands_for[own] = pair
+        same = stands_for[own] == pair
+        at, own = at[same], own[same]
         order = np.arange(len(at))
         begin = np.r_[True, at[1:] != at[:-1] + 1]
-        at = at[(order - np.maximum.accumulate(np.where(begin, order, 0))) % 2 == 0]   # of overlapping ones the left
-        uses = np.bincount(slot[at], minlength=nothing + 1)
-        taken = np.flatnonzero(uses >= 2)
-        taken = taken[np.argsort(-uses[taken], kind="stable")][:most]
+        left = (order - np.maximum.accumulate(np.where(begin, order, 0))) % 2 == 0   # of overlapping ones the left
+        at, own = at[left], own[left]
+        uses = np.bincount(own, minlength=NOTHING + 1)
+        enough = uses >= max(2, least // 2)
+        stuck |= (counts >= floor) & ~enough
+        taken = np.flatnonzero(enough)
         if not len(taken):
-            break
-        name = np.zeros(nothing + 1, np.uint32)
-        name[taken] = first_rule + sum(map(len, rules)) + np.arange(len(taken))
-        at = at[name[slot[at]] > 0]
+            continue
+        taken = taken[np.argsort(-uses[taken], kind="stable")]
+        name = np.zeros(NOTHING + 1, np.uint32)
+        name[taken] = first_rule + made + np.arange(len(taken))
+        chosen = enough[own]
+        at, own = at[chosen], own[chosen]
         rules.append(np.stack([stands_for[taken] >> 32, stands_for[taken] & 0xFFFFFFFF], 1).astype(np.uint32))
-        s[at] = name[slot[at]]
+        made += len(taken)
+        gained = len(at)
+        near = np.zeros(len(slot) + 2, bool)   # pairs that begin before, in or after a replaced pair, moved by one
+        near[at], near[at + 1], near[at + 2] = True, True, True
+        counts -= np.bincount(slot[near[1:-1]], minlength=NOTHING + 1)
+        s[at] = name[own]
         last[at] = last[at + 1]
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
-        s, last = s[stay], last[stay]
+        s, last, slot = s[stay], last[stay], slot[stay[:-1]][:len(s) - gained - 1]
+        at = at - np.arange(gained)            # one symbol went after each place before
+        beside = np.zeros(len(s) + 1, bool)    # moved by one as well
+        beside[at], beside[at + 1] = True, True
+        at = np.flatnonzero(beside[1:len(s)])
+        slot[at] = np.where(last[at], NOTHING, _slots(s[at], s[at + 1]))
+        counts += np.bincount(slot[at], minlength=NOTHING + 1)
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), s
 
 
@@ -99,7 +124,8 @@ def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
     return n
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
+def unfold(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
+    """Ids of a few symbols, by replacing rules layer by layer."""
     s = symbols.astype(np.uint32)
     while True:
         inner = s >= first_rule
@@ -112,6 +138,24 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarra
         s[ends - 1], s[ends] = rules[rule, 0], rules[rule, 1]
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
+    """Ids of a whole shard: every rule is unfolded once and then copied to its places."""
+    s = symbols.astype(np.uint32)
+    inner = s >= first_rule
+    if not inner.any():
+        return s
+    lens = expansion_lengths(rules, first_rule)
+    body, begin = unfold(rules.ravel(), rules, first_rule), np.cumsum(lens) - lens
+    rule = s[inner].astype(np.int64) - first_rule
+    size = np.ones(len(s), np.int64)
+    size[inner] = lens[rule]
+    out = np.repeat(s, size)
+    own = size[inner]
+    filled = np.repeat(inner, size)
+    out[filled] = body[np.arange(int(own.sum())) + np.repeat(begin[rule] - (np.cumsum(own) - own), own)]
+    return out
+
+
 def lengths_of(symbols: np.ndarray, rule_lens: np.ndarray, first_rule: int) -> np.ndarray:
     s = symbols.astype(np.int64)
     if not len(rule_lens):
@@ -124,7 +168,26 @@ def decode_range(symbols, rules, rule_lens, first_rule: int, start: int, stop: i
     ends = np.cumsum(lengths_of(symbols, rule_lens, first_rule))
     a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
     before = int(ends[a - 1]) if a else 0
-    return expand(symbols[a:b], rules, first_rule)[start - before:max(start, stop) - before]
+    return unfold(symbols[a:b], rules, first_rule)[start - before:max(start, stop) - before]
+
+
+def pack_symbols(symbols: np.ndarray) -> tuple[int, bytes]:
+    """(number of bit planes, bytes): the low 16 bits of all symbols, then a plane of bits for each higher one in use."""
+    planes = max(0, int(symbols.max(initial=0)).bit_length() - 16)
+    high = [np.packbits((symbols >> np.uint32(16 + p)) & np.uint32(1)).tobytes() for p in range(planes)]
+    return planes, symbols.astype("<u2").tobytes() + b"".join(high)
+
+
+def unpack_symbols(packed: bytes, planes: int) -> np.ndarray:
+    n = len(packed) * 8 // (16 + planes)
+    while 2 * n + planes * -(-n // 8) > len(packed):   # planes end on whole bytes
+        n -= 1
+    out = np.frombuffer(packed, "<u2", n).astype(np.uint32)
+    size = -(-n // 8)
+    for p in range(planes):
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8, size, 2 * n + p * size), count=n)
+        out |= bits.astype(np.uint32) << np.uint32(16 + p)
+    return out
 
 
 # ---- files ---------------------------------------------------------------
@@ -139,10 +202,10 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids
         nonlocal doc_ids, parts, lens, held, before
         ids, doc_lens = np.concatenate(parts), np.concatenate(lens)
         rules, symbols = compress(ids, doc_lens, first_rule)
-        wide = bool(len(symbols) and symbols.max() > 0xFFFF)
+        planes, packed = pack_symbols(symbols)
         row = {"part": TaskContext.get().partitionId(), "ids_before": before, "n_ids": held, "doc_ids": doc_ids, "doc_lens": doc_lens,
                "first_rule": first_rule, "rules": rules.astype("<u4").tobytes(), "rule_lens": expansion_lengths(rules, first_rule).astype("<u4").tobytes(),
-               "wide": wide, "symbols": symbols.astype("<u4" if wide else "<u2").tobytes()}
+               "planes": planes, "symbols": packed}
         before += held
         doc_ids, parts, lens, held = [], [], [], 0
         return row
@@ -195,7 +258,7 @@ def _documents(spark: SparkSession, folder: str, schema: str, columns) -> DataFr
         for batch in batches:
             for row in batch.to_pylist():
                 rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
-                ids = expand(np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2"), rules, row["first_rule"])
+                ids = expand(unpack_symbols(row["symbols"], row["planes"]), rules, row["first_rule"])
                 ends = np.cumsum(np.array(row["doc_lens"], np.int64))
                 starts = row["_offset"] + row["ids_before"] + np.r_[0, ends[:-1]].astype(np.int64)
                 made = columns(row["doc_ids"], starts, np.split(ids, ends[:-1]))
