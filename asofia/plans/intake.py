@@ -353,6 +353,44 @@ def run_log_status(spark, sf):
     return ig.run_status(logs, 25, "20020101")
 
 
+def _new_folder(spark):
+    return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
+@query("report_sink", "SRC22", sql("SELECT code, substr(date,1,6) AS month, count(*) AS bars, max(date) AS last_date FROM bars GROUP BY 1,2", "bars"))
+def report_sink(spark, sf):
+    """A monthly report written as text and read again: codes keep their zeros."""
+    report = d.bars(spark, sf).groupBy("code", F.substring("date", 1, 6).alias("month")).agg(F.count(F.lit(1)).alias("bars"), F.max("date").alias("last_date"))
+    path = _new_folder(spark)
+    ig.write_report(report, path, "csv")
+    return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+@query("portfolio_export", "SRC23", sql("""SELECT 'prices' AS book, code AS portfolio_id, date AS day FROM bars WHERE code='000003'
+ UNION ALL SELECT 'runs', code, rcept_dt FROM disc WHERE code='000003'""", "bars", "disc"))
+def portfolio_export(spark, sf):
+    """Every table of one portfolio, written on its own and read again."""
+    tables = {"prices": d.bars(spark, sf).select(F.col("code").alias("portfolio_id"), F.col("date").alias("day")),
+              "runs": d.disclosures(spark, sf).select(F.col("code").alias("portfolio_id"), F.col("rcept_dt").alias("day"))}
+    out_ = None
+    for name, df in ig.book_tables(tables, "000003").items():
+        path = _new_folder(spark)
+        ig.write_report(df, path)
+        part = spark.read.parquet(path).select(F.lit(name).alias("book"), "portfolio_id", "day")
+        out_ = part if out_ is None else out_.unionByName(part)
+    return out_
+
+
+@query("run_registry", "SRC29", sql("""SELECT run_id, rows, first_date, last_date FROM (SELECT count(*) AS rows, min(date) AS first_date, max(date) AS last_date FROM bars), (VALUES (1::BIGINT),(2::BIGINT)) v(run_id)""", "bars"))
+def run_registry(spark, sf):
+    """Two runs appended to a registry, each with what it saw."""
+    path = _new_folder(spark)
+    for run in (1, 2):
+        seen = d.bars(spark, sf).agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).first()
+        ig.append_run(spark, {"run_id": run} | seen.asDict(), path)
+    return spark.read.parquet(path).select("run_id", "rows", "first_date", "last_date")
+
+
 @query("report_disclosure_dates", "SRC30", sql("""SELECT code, fiscal_year, coalesce(min(rcept_dt) FILTER (WHERE report_nm LIKE '%정정%'), min(rcept_dt)) AS disclosed_at
  FROM disc WHERE report_nm LIKE '%배당결정%' GROUP BY 1,2""", "disc"))
 def report_disclosure_dates(spark, sf):
