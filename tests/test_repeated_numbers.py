@@ -11,6 +11,7 @@ from tools.parity import TABLES, rows
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "amendment_parents",
+    "consolidated_chains",
 ]
 
 
