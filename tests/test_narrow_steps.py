@@ -40,3 +40,24 @@ def test_buckets_follow_the_lines(spark, monkeypatch):
     monkeypatch.setattr(d, "bucketed_once", lambda spark, name, source, build, **layout: seen.setdefault(name, layout["least"]))
     d.bars(spark, SF), d.statements(spark, SF)
     assert seen["bars"] == seen["statements"] == d.table(spark, SF, "lineitem").count() // 1000 + 1
+
+
+def test_features_of_small_groups_are_ranked_without_stacking(spark):
+    from asofia.operators import ranks as rk
+    rows = [(f"c{i}", f"d{i % 40}", "x" if i % 3 else None, float(i * 7919 % 11) if i % 5 else None, float("nan") if i % 9 == 0 else i / 3) for i in range(2000)]
+    df = spark.createDataFrame(rows, "code string, feature_date string, industry string, a double, b double")
+    for by in (["feature_date"], ["feature_date", "industry"]):
+        got = rk.rank_features(df, ["a", "b"], by)
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+        wide = rk.average_rank(rk.average_rank(df, "a", by, "a_rank"), "b", by, "b_rank")
+        want = wide.select("code", "feature_date", *by[1:], wide["a_rank"].alias("a"), wide["b_rank"].alias("b"))
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_features_of_hot_and_small_groups(spark):
+    from asofia.operators import ranks as rk
+    rows = [(f"c{i}", "d0" if i < 900 else f"d{i % 60}", float(i * 7919 % 101) if i % 5 else None) for i in range(2400)]
+    df = spark.createDataFrame(rows, "code string, feature_date string, a double")
+    got = rk.rank_features(df, ["a"])
+    want = rk.average_rank(df, "a", ["feature_date"], "r").select("code", "feature_date", F.col("r").alias("a"))
+    assert got.count() == 2400 and got.exceptAll(want).isEmpty()
