@@ -44,7 +44,7 @@ SHARDS = ("part int, ids_before long, n_ids long, doc_ids array<bigint>, doc_len
 
 def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Counter of each pair (a, b)."""
-    return (((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77) + np.uint32(0x27D4EB2F))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - COUNTERS)).astype(np.int64)
+    return (((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77) + np.uint32(0x27D4EB2F))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - COUNTERS)).astype(np.int32)
 
 
 def compress(ids: np.ndarray, doc_lens: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +55,13 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, first_rule: int, least: int
     are counted anew.
     """
     s = ids.astype(np.uint32)
-    last = np.zeros(len(s), bool)
     ends = np.cumsum(doc_lens)
-    last[ends[np.asarray(doc_lens) > 0] - 1] = True
     rules: list[np.ndarray] = []
     made = 0
     stuck = np.zeros(NOTHING + 1, bool)       # counters whose pair has too few places of its own
-    slot = _slots(s[:-1], s[1:])
-    slot[last[:-1]] = NOTHING
+    slot = np.full(len(s), NOTHING, np.int32)   # of the pair that begins at each place; the end of a document begins none
+    slot[:-1] = _slots(s[:-1], s[1:])
+    slot[ends[np.asarray(doc_lens) > 0] - 1] = NOTHING
     counts = np.bincount(slot, minlength=NOTHING + 1)
     while True:
         counts[NOTHING] = 0
@@ -71,15 +70,15 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, first_rule: int, least: int
         if top < least:
             break
         floor = max(least, top // SPAN)
-        at = np.flatnonzero((counts >= floor)[slot])
+        at = np.flatnonzero((counts >= floor).take(slot))
         pair, own = s[at].astype(np.int64) << 32 | s[at + 1], slot[at]
         stands_for = np.zeros(NOTHING + 1, np.int64)
         stands_for[own] = pair
         same = stands_for[own] == pair
         at, own = at[same], own[same]
-        order = np.arange(len(at))
+        order = np.arange(len(at), dtype=np.int32)
         begin = np.r_[True, at[1:] != at[:-1] + 1]
-        left = (order - np.maximum.accumulate(np.where(begin, order, 0))) % 2 == 0   # of overlapping ones the left
+        left = (order - np.maximum.accumulate(np.where(begin, order, 0))) & 1 == 0   # of overlapping ones the left
         at, own = at[left], own[left]
         uses = np.bincount(own, minlength=NOTHING + 1)
         enough = uses >= max(2, least // 2)
@@ -95,19 +94,17 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, first_rule: int, least: int
         rules.append(np.stack([stands_for[taken] >> 32, stands_for[taken] & 0xFFFFFFFF], 1).astype(np.uint32))
         made += len(taken)
         gained = len(at)
-        near = np.zeros(len(slot) + 2, bool)   # pairs that begin before, in or after a replaced pair, moved by one
-        near[at], near[at + 1], near[at + 2] = True, True, True
-        counts -= np.bincount(slot[near[1:-1]], minlength=NOTHING + 1)
+        before = at[np.r_[at[:1] > 0, at[1:] - 2 != at[:-1]]] - 1   # where it is not the second of another place
+        counts -= np.bincount(slot[np.concatenate([before, at, at + 1])], minlength=NOTHING + 1)
         s[at] = name[own]
-        last[at] = last[at + 1]
+        slot[at] = slot[at + 1]                # ends a document if the second symbol did
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
-        s, last, slot = s[stay], last[stay], slot[stay[:-1]][:len(s) - gained - 1]
+        s, slot = s[stay], slot[stay]
         at = at - np.arange(gained)            # one symbol went after each place before
-        beside = np.zeros(len(s) + 1, bool)    # moved by one as well
-        beside[at], beside[at + 1] = True, True
-        at = np.flatnonzero(beside[1:len(s)])
-        slot[at] = np.where(last[at], NOTHING, _slots(s[at], s[at + 1]))
+        at = np.concatenate([at[np.r_[at[:1] > 0, at[1:] - 1 != at[:-1]]] - 1, at])
+        at = at[slot[at] != NOTHING]
+        slot[at] = _slots(s[at], s[at + 1])
         counts += np.bincount(slot[at], minlength=NOTHING + 1)
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), s
 

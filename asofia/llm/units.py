@@ -15,7 +15,8 @@ import ctypes
 import gc
 import os
 import re
-from itertools import chain
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 
@@ -23,8 +24,13 @@ import numpy as np
 INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 BEFORE_SPACE = re.compile(r" (?:\s|\Z)")   # the same without its first character: rare, and found faster
 AFTER_WORD = re.compile(r"(?<=\S)(?= )")
+BESIDE_FEED = re.compile(r"\n(?:\s|(?<=\s\n))")   # a line feed with another space beside it
+# letters in every version of Unicode that a library may follow
+WORD = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ɏ]+")
+SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"   # after a letter a match of their own; an apostrophe may belong to what follows
+FEED = ("\n",)   # key of a line feed
 # Distinct units that a worker keeps; beyond that, those that were met only once go.
-MOST_UNITS = 400_000
+MOST_UNITS = 1_200_000
 JOINED = 1_024   # units that go through the library in one text
 
 
@@ -41,6 +47,17 @@ def text_of(key) -> str:
     return key[0] if type(key) is tuple else " " + key
 
 
+def line_keys(text: str) -> list:
+    """As keys_of, but a line feed between two words begins a unit as well; the key of that unit begins with it."""
+    if "\n" not in text:
+        return keys_of(text)
+    if (BEFORE_SPACE.search(text) and INSIDE_RUN.search(text)) or BESIDE_FEED.search(text):
+        return [u[1:] if u[:1] == " " and u[1:2] != "\n" else (u,) for u in AFTER_WORD.split(text)]
+    keys = text.replace("\n", " \n").split(" ")
+    keys[0] = (keys[0],)
+    return keys
+
+
 class Numbering(dict):
     """Number of each key; new keys are remembered in `fresh` until they are handled."""
 
@@ -65,20 +82,32 @@ class TokenIds:
     def __init__(self, path: str, whole_added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark has a task for every core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not whole_added
+        self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if whole_added else []
         for t in self.tokenizer.get_added_tokens_decoder().values() if whole_added else ():
-            if re.search(r"[\s,.]", t.content) or t.single_word or t.lstrip or t.rstrip:   # it could reach into another unit
+            if re.search(r"[\s,.]", t.content) or WORD.search(t.content) and t.content.isalpha() or t.single_word or t.lstrip or t.rstrip:   # it could reach into another unit
                 raise ValueError(f"added token {t.content!r} does not lie inside one unit")
-        self.mark = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        # the same merges for words, each of which is one match, without a search for matches
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = Sequence([CharDelimiterSplit("\n"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int32)   # a token has a character for each byte
+        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.reset()
 
     def reset(self) -> None:
-        self.number = Numbering()
+        self._numbered(())
         self.lens, self.starts, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
+    def _numbered(self, keys) -> None:
+        """Numbers of the keys in order; a key that is looked up and not known gets the next one."""
+        self.number = defaultdict(None, zip(keys, range(len(keys))))
+        self.number.default_factory = count(len(keys)).__next__
+
     def shrink(self) -> None:
         """Keep the units that were met more than once."""
         keep = np.flatnonzero(self.hits > 1)
@@ -87,22 +116,77 @@ class TokenIds:
             return self.reset()
         ids = self.ids[:self.used]
         self.reset()
-        for i in keep.tolist():
-            self.number[keys[i]] = len(self.number)
+        self._numbered([keys[i] for i in keep.tolist()])
         self.lens, self.hits = lens[keep], np.ones(len(keep), np.int32)
         ends = np.cumsum(self.lens, dtype=np.int64)
         self.starts, self.used = ends - self.lens, int(ends[-1]) if len(keep) else 0
         self.ids = ids[np.arange(self.used) + np.repeat(starts[keep] - self.starts, self.lens)] if len(keep) else np.zeros(1 << 16, np.int32)
 
-    def _add(self, fresh: list) -> None:
-        first, n = len(self.lens), len(fresh)
-        # a comma or stop after a letter is a match of its own: its unit is the word's ids and one more
-        ends = [type(k) is str and k[-1:] in self.mark and k[-2:-1].isalpha() and k[:-1] in self.number for k in fresh]
-        ended = np.flatnonzero(ends)
-        plain = np.flatnonzero(~np.array(ends, bool))
-        texts = [text_of(fresh[i]) for i in plain.tolist()]
-        # units go through the library many in one text, each closed by a line feed, which no other match can reach over
-        alone = np.array([("\n" in t or "<|" in t or t[-1:].isspace() or not t) for t in texts], bool)
+    def _add(self) -> None:
+        """Settle new units: words and odd ones by the library, the others as two units in a row."""
+        first = len(self.lens)
+        fresh: list = []
+        words, odd, ended, fed = [], [], ([], [], []), ([], [], [])
+        while (more := len(self.number) - first - len(fresh)):   # once more for the parts of the units before
+            seen = len(fresh)
+            fresh += list(islice(reversed(self.number), more))[::-1]
+            for i, k in enumerate(islice(fresh, seen, None), seen):
+                t = k if type(k) is str else k[0]
+                if t.isalpha() and (t.isascii() or WORD.fullmatch(t)):
+                    words.append(i)
+                    continue
+                if type(k) is str and t[:1] == "\n" and len(t) > 1:
+                    row, left, right = fed, FEED, (t[1:],)
+                else:
+                    head = t.rstrip(SYMBOLS)
+                    if len(head) == len(t) or not head[-1:].isalpha() or any(c in t for c in self.whole):
+                        odd.append(i)
+                        continue
+                    row, left, right = ended, head if type(k) is str else (head,), (t[len(head):],)
+                row[0].append(first + i)
+                row[1].append(self.number[left])
+                row[2].append(self.number[right])
+        n = len(fresh)
+        self.starts = np.concatenate([self.starts, np.zeros(n, np.int64)])
+        self.lens = np.concatenate([self.lens, np.zeros(n, np.int32)])
+        self.hits = np.concatenate([self.hits, np.zeros(n, np.int32)])
+        for some, encoded in ((words, self._words), (odd, self._odd)):
+            if some:
+                at = first + np.array(some)
+                self._keep(at, *encoded([k if k == "\n" else text_of(k) for k in map(fresh.__getitem__, some)]))
+        for pairs in (ended, fed):   # what follows a line feed may be ended itself
+            if pairs[0]:
+                at, *parts = map(np.array, pairs)
+                parts = np.stack(parts, 1).ravel()
+                lens = self.lens[parts]
+                ends = np.cumsum(lens, dtype=np.int64)
+                ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[parts] - (ends - lens), lens)]
+                self._keep(at, ids, lens[::2] + lens[1::2])
+
+    def _keep(self, at: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + len(ids)))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.lens[at], self.starts[at] = lens, self.used + np.cumsum(lens, dtype=np.int64) - lens
+        self.used += len(ids)
+
+    def _words(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of words; the bytes of the tokens tell where each ends."""
+        joined = ["\n".join(texts[i:i + JOINED]) for i in range(0, len(texts), JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.words.encode_batch_fast(joined, add_special_tokens=False)])
+        raw = np.frombuffer("\n".join(joined).encode(), np.uint8)
+        ends = np.r_[np.flatnonzero(raw == 10), len(raw)] - np.arange(len(texts))
+        told = np.cumsum(self.n_bytes[ids], dtype=np.int64)
+        stops = np.searchsorted(told, ends)
+        if not (len(told) and told[-1] == ends[-1] and (told[stops] == ends).all()):
+            raise ValueError("the tokens of this vocabulary do not spell the bytes of a word")
+        return ids, np.diff(np.r_[-1, stops])
+
+    def _odd(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of any units, in order."""
+        # many go through the library in one text, each closed by a line feed, which no other match can reach over
+        # or, before more than one space, could
+        alone = np.array([("\n" in t or "<|" in t or t[-1:].isspace() or not t or t[t[0] == " ":][:1].isspace()) for t in texts], bool)
         closed = [t for t, x in zip(texts, alone.tolist()) if not x]
         joined = ["\n".join(closed[i:i + JOINED]) + "\n" for i in range(0, len(closed), JOINED)]
         flat = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
@@ -110,38 +194,10 @@ class TokenIds:
         stops = np.flatnonzero(ids == self.line_feed)
         if len(stops) != len(closed):
             raise ValueError("this vocabulary joins line feeds with other characters")
-        lens, starts = np.zeros(n, np.int32), np.zeros(n, np.int64)
-        lens[plain[~alone]] = np.diff(np.r_[-1, stops]) - 1
-        starts[plain[~alone]] = np.r_[0, stops + 1][:-1]
-        made = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, x in zip(texts, alone.tolist()) if x], add_special_tokens=False)]
-        more = np.array([len(x) for x in made], np.int64)
-        lens[plain[alone]] = more
-        starts[plain[alone]] = len(ids) + np.cumsum(more) - more
-        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(made), np.int32, int(more.sum()))])
-        if len(ended):
-            word = np.fromiter((self.number[fresh[i][:-1]] for i in ended.tolist()), np.int64, len(ended))
-            old = word < first
-            size = np.zeros(len(ended), np.int64)
-            size[old], size[~old] = self.lens[word[old]], lens[word[~old] - first]
-            begin = np.zeros(len(ended), np.int64)      # in the ids kept so far, followed by the new ones
-            begin[old], begin[~old] = self.starts[word[old]], self.used + starts[word[~old] - first]
-            stop = np.cumsum(size + 1)
-            own = np.empty(int(stop[-1]), np.int32)
-            body = np.ones(len(own), bool)
-            body[stop - 1] = False
-            both = np.concatenate([self.ids[:self.used], ids])
-            own[body] = both[np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)]
-            own[~body] = np.fromiter((self.mark[fresh[i][-1]][0] for i in ended.tolist()), np.int32, len(ended))
-            lens[ended], starts[ended] = size + 1, len(ids) + stop - size - 1
-            ids = np.concatenate([ids, own])
-        total = len(ids)
-        if self.used + total > len(self.ids):
-            self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + total))
-        self.ids[self.used:self.used + total] = ids
-        self.starts = np.concatenate([self.starts, self.used + starts])
-        self.lens = np.concatenate([self.lens, lens])
-        self.hits = np.concatenate([self.hits, np.zeros(n, np.int32)])
-        self.used += total
+        pieces = iter(np.split(ids, stops + 1))
+        made = iter(self.tokenizer.encode_batch_fast([t for t, x in zip(texts, alone.tolist()) if x], add_special_tokens=False))
+        own = [np.array(next(made).ids, np.int32) if x else next(pieces)[:-1] for x in alone.tolist()]
+        return np.concatenate(own), np.array(list(map(len, own)))
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text; a null text has none."""
@@ -151,13 +207,12 @@ class TokenIds:
             self.shrink()
         keys, counts = [], []
         for t in texts:
-            own = keys_of(t or "")
+            own = line_keys(t or "")
             counts.append(len(own))
             keys += own
         at = np.fromiter(map(self.number.__getitem__, keys), np.int32, len(keys))
-        if self.number.fresh:
-            self._add(self.number.fresh)
-            self.number.fresh = []
+        if len(self.number) > len(self.lens):
+            self._add()
         self.hits += np.bincount(at, minlength=len(self.hits)).astype(np.int32)
         lens = self.lens[at]
         ends = np.cumsum(lens, dtype=np.int64)
