@@ -22,3 +22,11 @@ def test_a_block_is_small(monkeypatch):
     sg._walks(np.ones(500), 2500, np.random.default_rng(1))
     sg._walks(np.ones(4000), 100, np.random.default_rng(1))
     assert seen == [1000, 500]
+
+
+def test_few_steps_are_looked_up_at_once(monkeypatch):
+    seen = []
+    real = np.take
+    monkeypatch.setattr(sg.np, "take", lambda values, at, **rest: seen.append(at.shape) or real(values, at, **rest))
+    sg._walks(np.ones(70), 1500, np.random.default_rng(1))
+    assert seen == [(32, 1000), (32, 1000), (6, 1000), (32, 500), (32, 500), (6, 500)]
